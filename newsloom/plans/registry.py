@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.operators import timestamps
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return _table(spark, sf_dir, "documents").select("doc_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.found_times(*(_table(spark, sf_dir, t) for t in ("documents", "chunks", "feeds")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
