@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import packing, shared_spans, tokenizer
+from newsloom.llm import canonical_text, packing, shared_spans, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_text.found_same_looking(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "entities"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_documents(_table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
