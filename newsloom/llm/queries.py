@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import canonical_text, near_duplicates, packing, shared_spans, splitting, tokenizer
+from newsloom.llm import canonical_text, near_duplicates, packing, shared_spans, similar_vectors, splitting, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors.found_similar(_table(spark, sf_dir, "vectors"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized(_table(spark, sf_dir, "parsed_pages"), _table(spark, sf_dir, "chunks"))
 
@@ -44,7 +48,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
