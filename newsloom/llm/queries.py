@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import canonical_text, near_duplicates, packing, shared_spans, similar_vectors, splitting, tokenizer
+from newsloom.llm import canonical_text, name_variants, near_duplicates, packing, shared_spans, similar_vectors, splitting, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors.found_similar(_table(spark, sf_dir, "vectors"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.found_variants(*(_table(spark, sf_dir, t) for t in ("entities", "relations", "lexicon")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized(_table(spark, sf_dir, "parsed_pages"), _table(spark, sf_dir, "chunks"))
 
@@ -48,7 +52,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
