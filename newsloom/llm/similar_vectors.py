@@ -160,6 +160,8 @@ def postings(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def best_in_list(x: np.ndarray, member: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(asker, member, cosine) of the ``k`` nearest members of each row, equal ones included; in blocks."""
     held = np.flatnonzero(member)
+    if not len(held):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     y = x[held]
     block = max(16, 4_000_000 // max(len(held), 1))
@@ -173,7 +175,7 @@ def best_in_list(x: np.ndarray, member: np.ndarray, k: int, least: float) -> tup
             bar = np.maximum(bar, np.partition(scores, len(held) - k, axis=1)[:, len(held) - k, None] - 1e-5)
         i, j = np.nonzero(scores >= bar)
         out.append((i + a, held[j]))
-    i, j = (np.concatenate(p) for p in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    i, j = (np.concatenate(p) for p in zip(*out, strict=True))
     exact = x.astype(np.float64)
     exact /= np.linalg.norm(exact, axis=1, keepdims=True)
     cosine = np.einsum("ij,ij->i", exact[i], exact[j])
