@@ -4,8 +4,10 @@ Fast similarity sketching: every shingle of a record is thrown into one of ``bin
 round with a fresh hash, and each bin keeps its smallest (round, hash); in the last ``bins`` rounds
 round i fills bin i. A record stops as soon as all its bins are filled, so the cost is about
 bins * ln(bins) hashes and the share of equal bins has the concentration of as many independent
-samples. Bands of ``rows`` bins give keys; records that share a key are candidates, and the
-Jaccard similarity of every candidate pair is computed exactly.
+samples. Bands of ``rows`` bins give keys; records that share a key are candidates. A candidate
+pair is dropped if 128 one-bit samples of its sketches agree less often than at the least
+similarity by ``SIGMAS`` standard deviations (a chance of 3 in a million to lose a pair); the
+Jaccard similarity of every other pair is computed exactly.
 
 Shingles are sets of code points as written. A record with fewer than ``k`` characters has no
 shingle and matches nothing; null texts match nothing. Equal texts form one class: keys and
@@ -24,10 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.runtime import materialize
 
 EXPAND = 200
+BITS, SIGMAS = 128, 4.5
 SEEN = 500_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -46,6 +50,12 @@ class Measure:
     def bins(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def most_unequal(self) -> int:
+        """Bits that may differ between the one-bit samples of a linked pair."""
+        agree = (1 + self.least) / 2
+        return int(BITS * (1 - agree) + SIGMAS * (BITS * agree * (1 - agree)) ** 0.5)
+
 
 CHUNK = Measure("chunk", 5, 0.6, 32, 4)
 TITLE = Measure("title", 2, 0.75, 36, 7)
@@ -128,6 +138,27 @@ def _bands(records: DataFrame, measures: dict[str, Measure]) -> DataFrame:
     return records.select("rec_kind", "text", "text_class").mapInArrow(run, "band bigint, text_class bigint")
 
 
+def _signed(texts: DataFrame, measures: dict[str, Measure]) -> DataFrame:
+    """The rows of ``texts`` and 128 one-bit samples of their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = np.array(batch.column(1).to_pylist())
+            all_texts = batch.column(2).to_pylist()
+            signs = np.zeros((batch.num_rows, 2), dtype=np.int64)
+            for kind in np.unique(kinds):
+                measure = measures[str(kind)]
+                at = np.flatnonzero(kinds == kind)
+                for part in np.array_split(at, max(1, sum(len(all_texts[i]) for i in at) // 200_000)):
+                    if len(part):
+                        sketch = sketches(*shingle_hashes([all_texts[i] for i in part], measure.k), len(part), measure.bins)
+                        bits = (mix(sketch[:, :BITS]) & np.uint64(1)).astype(np.uint8)
+                        signs[part] = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs[:, 0].copy()), pa.array(signs[:, 1].copy())], names=["text_class", "rec_kind", "text", "high", "low"])
+
+    return texts.select("text_class", "rec_kind", "text").mapInArrow(run, "text_class bigint, rec_kind string, text string, high bigint, low bigint")
+
+
 def _verify(pairs: DataFrame, measures: dict[str, Measure]) -> DataFrame:
     """Pairs (rec_kind, a, b, text_a, text_b) whose shingle sets share enough."""
 
@@ -162,23 +193,27 @@ def near_duplicate_pairs(records: DataFrame, measures: list[Measure]) -> DataFra
         enough = enough | ((F.col("rec_kind") == m.kind) & (F.length("text") >= m.k))
     rows = records.where(F.col("rec_id").isNotNull() & F.col("text").isNotNull() & enough).select("rec_kind", "rec_id", "text", F.xxhash64("rec_kind", "text").alias("text_class"))
 
-    bands = materialize(_bands(rows, by_kind), "bands")
-    common = bands.groupBy("band").agg(F.min("text_class").alias("low"), F.max("text_class").alias("high")).where("low <> high").select("band")
-    kept = materialize(bands.join(common, "band", "left_semi").distinct(), "kept-bands")
-    other = kept.select("band", F.col("text_class").alias("b"))
-    candidates = materialize(kept.withColumnRenamed("text_class", "a").join(other, "band").where("a < b").select("a", "b").distinct(), "candidates")
-
-    asked = candidates.select(F.col("a").alias("text_class")).union(candidates.select("b")).distinct()
-    texts = materialize(rows.select("rec_kind", "text_class", "text").join(asked, "text_class", "left_semi").dropDuplicates(["text_class"]), "texts")
+    by_class = Window.partitionBy("band").orderBy("text_class")
+    neighbours = _bands(rows, by_kind).withColumns({"before": F.lag("text_class").over(by_class), "after": F.lead("text_class").over(by_class)})
+    kept = materialize(neighbours.where("before <> text_class or after <> text_class").select("band", "text_class").distinct(), "kept-bands")
+    asked = kept.select("text_class").distinct()
+    texts = materialize(_signed(rows.select("rec_kind", "text_class", "text").join(asked, "text_class", "left_semi").dropDuplicates(["text_class"]), by_kind), "texts")
+    signed = materialize(kept.join(texts.select("text_class", "rec_kind", "high", "low"), "text_class"), "signed")
+    most = F.lit(0)
+    for m in measures:
+        most = F.when(F.col("rec_kind") == m.kind, m.most_unequal).otherwise(most)
+    other = signed.select("band", F.col("text_class").alias("b"), F.col("high").alias("high_b"), F.col("low").alias("low_b"))
+    unequal = F.bit_count(F.col("high").bitwiseXOR(F.col("high_b"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("low_b")))
+    candidates = materialize(signed.withColumnRenamed("text_class", "a").join(other, "band").where((F.col("a") < F.col("b")) & (unequal <= most)).select("a", "b").distinct(), "candidates")
     left = texts.select("rec_kind", F.col("text_class").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("text_class").alias("b"), F.col("text").alias("text_b"))
     linked = materialize(_verify(candidates.join(right, "b").join(left, "a"), by_kind), "linked")
 
-    members = rows.select("rec_kind", "text_class", "rec_id").distinct()
+    members = materialize(rows.select("rec_kind", "text_class", "rec_id").distinct(), "members")
     classes = members.groupBy("rec_kind", "text_class").agg(F.count("*").alias("copies"), F.min("rec_id").alias("first"))
     touched = linked.select("rec_kind", F.col("a").alias("text_class")).union(linked.select("rec_kind", "b")).distinct().withColumn("linked", F.lit(True))
     classes = classes.join(touched, ["rec_kind", "text_class"], "left").where("linked or copies > 1")
-    involved = materialize(members.join(classes, ["rec_kind", "text_class"]), "members")
+    involved = materialize(members.join(classes, ["rec_kind", "text_class"]), "involved")
     small = involved.where((F.col("copies") <= EXPAND) | (F.col("rec_id") == F.col("first")))
     own = classes.where(F.col("copies").between(2, EXPAND)).select("rec_kind", F.col("text_class").alias("a"), F.col("text_class").alias("b"))
     expanded = (
