@@ -39,7 +39,7 @@ def recency_bonus(published: Column, as_of: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.trim(published), "[年月/.]", "-"), "日", "")
     day = F.when(plain.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(plain, "yyyy-M-d"))
     age = F.greatest(F.datediff(as_of, day), F.lit(0))
-    return F.coalesce(F.lit(BONUS) / (1 + age / F.lit(float(BONUS_DAYS))), F.lit(0.0))
+    return F.when(day.isNotNull(), F.lit(BONUS) / (1 + age / F.lit(float(BONUS_DAYS)))).otherwise(0.0)
 
 
 def with_bonus(found: DataFrame, as_of: Column) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 BLOCK = 4096
@@ -53,6 +54,7 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk
     kind, query_kind = vectors.schema[key].dataType, queries.schema[query_key].dataType
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
     asked = queries.where(F.col(query_key).isNotNull() & F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    arrow, query_arrow = to_arrow_type(kind), to_arrow_type(query_kind)
     parts = []
     for ids, matrix in _blocks(asked, block):
         sent = spark.sparkContext.broadcast((ids, matrix))
@@ -81,7 +83,7 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk
                 rank = np.lexsort((code, -both), axis=1)[:, : 2 * k]
                 best_scores, best_keys = np.take_along_axis(both, rank, axis=1), np.take_along_axis(keys, rank, axis=1)
             q, at = np.nonzero(np.isfinite(best_scores))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array(list(best_keys[q, at])), pa.array(best_scores[q, at])], names=[query_key, key, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], query_arrow), pa.array(list(best_keys[q, at]), arrow), pa.array(best_scores[q, at])], names=[query_key, key, "score"])
 
         parts.append(rows.mapInArrow(run, f"`{query_key}` {query_kind.simpleString()}, `{key}` {kind.simpleString()}, score double"))
     if not parts:

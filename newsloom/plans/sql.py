@@ -119,8 +119,8 @@ def statements() -> dict[str, str]:
         "node_styles": f"""WITH {MERGED}, s AS (SELECT DISTINCT source, target FROM merged), d AS (SELECT name, count(*) AS degree FROM (SELECT source AS name FROM s UNION ALL SELECT target FROM s) GROUP BY name),
           t AS (SELECT name, arg_max(kind, seq * 2 + turn) AS entity_type FROM (SELECT source AS name, source_type AS kind, seq, 0 AS turn FROM merged UNION ALL SELECT target, target_type, seq, 1 FROM merged) GROUP BY name)
           SELECT name, entity_type, CAST(degree AS INTEGER) AS degree, CAST(least(48, 20 + 4 * degree) AS INTEGER) AS size, CASE WHEN length(name) <= 12 THEN name ELSE substr(name, 1, 11) || '…' END AS label, {style} AS colour FROM d JOIN t USING (name)""",
-        "date_bonus": f"""SELECT doc_id, round(coalesce(0.03 / (1 + greatest(date_diff('day', CAST(try_strptime(p, '%Y-%m-%d') AS DATE), DATE '2026-06-01'), 0) / 365.0), 0.0), 9) AS bonus
-          FROM (SELECT doc_id, CASE WHEN regexp_full_match({plain_date}, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN {plain_date} END AS p FROM documents)""",
+        "date_bonus": f"""SELECT doc_id, round(CASE WHEN d IS NULL THEN 0.0 ELSE 0.03 / (1 + greatest(date_diff('day', d, DATE '2026-06-01'), 0) / 365.0) END, 9) AS bonus
+          FROM (SELECT doc_id, CASE WHEN regexp_full_match({plain_date}, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN CAST(try_strptime({plain_date}, '%Y-%m-%d') AS DATE) END AS d FROM documents)""",
         "graph_channel": f"{LISTS} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM g",
         "graph_evidence": f"{LISTS} SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, first) AS INTEGER) AS rank, round(score, 6) AS score FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, first) <= 5",
         "rank_fusion": f"""{LISTS}, u AS (SELECT query_id, chunk_id, rank, 'vector' AS ch, 0 AS turn, 1.0 AS w FROM v UNION ALL SELECT query_id, chunk_id, rank, 'graph', 1, 0.9 FROM g),
