@@ -93,7 +93,9 @@ class Canonicalizer:
         self.alike = alike
         self.plain = {ord(k): v for k, v in _plain_forms().items()}
         self.unstable = _unstable()
-        self.any_alike = re.compile(f"[{''.join(map(re.escape, sorted(alike)))}]") if alike else None
+        # with the composed letters whose base looks like another
+        composed = {chr(c) for a, b in _ALIKE for c in range(a, b + 1) if unicodedata.normalize("NFD", chr(c))[0] in alike}
+        self.any_alike = re.compile(f"[{''.join(map(re.escape, sorted({*alike, *composed})))}]") if alike else None
 
     def _segment(self, found: re.Match[str]) -> str:
         text = found[0]

@@ -31,6 +31,7 @@ LIMIT = 512
 OVERLAP = 64
 SMALLEST = 224
 ROLL = 8
+MARKS = 8
 LANDMARK = 96  # one token in so many is a landmark
 _TOKEN = re.compile(r"[㐀-鿿]|[A-Za-z0-9_]+|[^\s]")
 _ENDS = frozenset("。！？!?；;")
@@ -67,10 +68,13 @@ class TokenSpans:
         self.longest_sentence = int(lengths[~single].max(initial=0))
         natural = lines.copy()
         closing = np.fromiter((t in _CLOSING for t in tokens), dtype=bool, count=n)
-        for i in inner.tolist():
-            while i + 1 < n and (ends[i + 1] or closing[i + 1]):
-                i += 1
-            natural[i] = True
+        done = -1
+        for i in inner.tolist():  # end marks and closing quotes that follow stay with the sentence, up to MARKS of them
+            if i > done:
+                done = i
+                while done + 1 < min(n, i + MARKS) and (ends[done + 1] or closing[done + 1]):
+                    done += 1
+                natural[done] = True
         self.natural = np.flatnonzero(natural) + 1  # a piece may stop before these tokens
 
     def rolling(self) -> np.ndarray:
