@@ -15,7 +15,7 @@ RULES = [("属于", "属于"), ("任职", "任职于"), ("发布", "发布"), ("
 POLICY_WORDS = ["意见", "办法", "规定", "规划", "通知"]
 DEFAULT_RELATION = "关联"
 SOURCE_RELATION = "来源于"
-MOST_TERMS = 5_000
+MOST_TERMS = 500  # the terms become one expression
 
 
 @dataclass(frozen=True)

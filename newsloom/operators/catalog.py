@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.graph import count_rows
 from newsloom.operators.vectors import latest
 
 COLUMNS = ["doc_id", "title", "source", "publish_time", "stored_path", "chunk_count", "indexed_at"]
@@ -26,8 +27,7 @@ def get(catalog: DataFrame, doc_id: str) -> DataFrame:
 
 def stats(catalog: DataFrame, vectors: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """``documents, chunks, entities, relations``: one row."""
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    return one(catalog, "documents").crossJoin(one(vectors, "chunks")).crossJoin(one(entities, "entities")).crossJoin(one(relations, "relations"))
+    return count_rows({"documents": catalog, "chunks": vectors, "entities": entities, "relations": relations})
 
 
 def rows_for_display(catalog: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def seeds(questions: DataFrame, names: DataFrame) -> DataFrame:
     inside_node = distinct_terms.withColumn("gram", F.substring("term", 1, 2)).join(nodes.select("name", "low", F.explode(_grams(F.col("low"))).alias("gram")), "gram").where(F.col("low").contains(F.col("term")))
     inside_term = distinct_terms.select("term", F.explode(_grams(F.col("term"))).alias("gram")).join(nodes.withColumn("gram", F.substring("low", 1, 2)), "gram").where(F.col("term").contains(F.col("low")))
     by_term = inside_node.select("term", "name").unionByName(inside_term.select("term", "name")).distinct()
-    empty = nodes.where("name = ''").select("name").crossJoin(q.select("query_id")).select("query_id", "name")  # at most one node
+    empty = q.select("query_id", F.lit("").alias("name")).join(nodes.select("name").distinct(), "name").select("query_id", "name")
     return exact.unionByName(terms.join(by_term, "term").select("query_id", "name")).unionByName(empty).distinct()
 
 
@@ -124,8 +124,8 @@ def traverse(seeded: DataFrame, relations: DataFrame, hops: int = 2, limit: int
 def fallback(questions: DataFrame, seeded: DataFrame, relations: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """``query_id, id, hop, pos`` for questions with terms but no seed: relations whose name holds a term."""
     terms = questions.join(seeded.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.explode("terms").alias("term"))
-    labels = relations.select("relation").distinct()  # a handful of names, whatever the number of relations
-    hits = terms.join(labels, F.lower("relation").contains(F.col("term"))).select("query_id", "relation").distinct()
+    labels = relations.select("relation").distinct().select("relation", F.explode(_grams(F.lower("relation"))).alias("gram"))
+    hits = terms.withColumn("gram", F.substring("term", 1, 2)).join(labels, "gram").where(F.lower("relation").contains(F.col("term"))).select("query_id", "relation").distinct()
     first = relations.withColumn("n", F.row_number().over(Window.partitionBy("relation").orderBy("seq"))).where(F.col("n") <= max(limit, 0)).select("relation", "id", "seq")
     order = Window.partitionBy("query_id").orderBy("seq")
     return hits.join(first, "relation").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", "id", F.lit(0).alias("hop"), "pos")
@@ -157,7 +157,16 @@ def search(questions: DataFrame, relations: DataFrame, hops: int = 2, limit: int
 
 def counts(relations: DataFrame) -> DataFrame:
     """``entities, relations``: one row."""
-    return entity_table(relations).agg(F.count("*").alias("entities")).crossJoin(relations.agg(F.count("*").alias("relations")))
+    return count_rows({"entities": entity_table(relations), "relations": relations})
+
+
+def count_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows of each table, by one aggregate."""
+    marked = None
+    for name in tables:
+        rows = tables[name].select(F.lit(name).alias("name"))
+        marked = rows if marked is None else marked.unionByName(rows)
+    return marked.agg(*(F.count_if(F.col("name") == name).alias(name) for name in tables))
 
 
 def simple_edges(relations: DataFrame) -> DataFrame:

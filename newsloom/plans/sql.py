@@ -114,6 +114,12 @@ def statements() -> dict[str, str]:
         "graph_one_hop": _walk(1, 30),
         "graph_two_hops": _walk(2, 30),
         "graph_limit": _walk(2, 3),
+        "graph_fallback": f"""WITH {MERGED}, q AS (SELECT CAST(ord AS BIGINT) AS query_id, '？' || term || '？' AS question FROM lexicon WHERE kind = 'rule'), {TERMS}, {ENDS}, {SEEDS},
+          edges AS (SELECT source, relation, target, chunk_id, min(seq) AS seq, arg_min(id, seq) AS id FROM merged GROUP BY ALL), h1 AS (SELECT DISTINCT query_id, seq, id, source, target FROM seeds d JOIN edges e ON d.name = e.source OR d.name = e.target),
+          d1 AS (SELECT query_id, name FROM seeds UNION SELECT query_id, unnest([source, target]) FROM h1), h2 AS (SELECT DISTINCT query_id, seq, id FROM d1 d JOIN edges e ON d.name = e.source OR d.name = e.target),
+          reach AS (SELECT query_id, seq, id, min(hop) AS hop FROM (SELECT query_id, seq, id, 1 AS hop FROM h1 UNION ALL SELECT query_id, seq, id, 2 FROM h2) GROUP BY ALL
+            UNION ALL SELECT DISTINCT t.query_id, m.seq, m.id, 0 FROM terms t JOIN merged m ON contains(lower(m.relation), t.term) WHERE t.query_id NOT IN (SELECT query_id FROM seeds))
+          SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS pos, CAST(hop AS INTEGER) AS hop, id FROM reach QUALIFY row_number() OVER w <= 30 WINDOW w AS (PARTITION BY query_id ORDER BY hop, seq)""",
         "graph_path_dialect": _walk(2, 30, PATH_SEEDS),
         "simple_edges": f"WITH {MERGED} SELECT source, target, arg_max_null(relation, seq) AS relation, arg_max_null(confidence, seq) AS confidence FROM merged GROUP BY source, target",
         "node_styles": f"""WITH {MERGED}, s AS (SELECT DISTINCT source, target FROM merged), d AS (SELECT name, count(*) AS degree FROM (SELECT source AS name FROM s UNION ALL SELECT target FROM s) GROUP BY name),

@@ -28,10 +28,10 @@ def test_bad_windows(size, overlap):
 
 
 def test_index_runs_through_pages_and_missing_page_is_none(spark):
-    rows = spark.createDataFrame([("d", 1, "甲乙丙丁", 0), ("d", None, "  　", 1), ("d", None, "x　 y z ", 2), ("e", 2, None, 0)], "doc_id string, page_number int, text string, page_pos int")
+    rows = spark.createDataFrame([("d", 1, "甲乙丙丁", 0), ("d", None, "  \u3000", 1), ("d", None, "x\u3000\u00a0y z ", 2), ("e", 2, None, 0)], "doc_id string, page_number int, text string, page_pos int")
     out = chunking.chunk_pages(rows, 3, 1).orderBy("chunk_index").collect()
-    assert [(r.chunk_index, r.content) for r in out] == [(0, "甲乙丙"), (1, "丙丁"), (2, "x　 y z")]
-    want = spark.sql("select substr(sha2(concat('d:None:2:', 'x　 y z'), 256), 1, 24) as i").first().i
+    assert [(r.chunk_index, r.content) for r in out] == [(0, "甲乙丙"), (1, "丙丁"), (2, "x\u3000\u00a0y z")]
+    want = spark.sql("select substr(sha2(concat('d:None:2:', 'x\u3000\u00a0y z'), 256), 1, 24) as i").first().i
     assert out[2].chunk_id == want
     empty = chunking.without_chunks(rows.select("doc_id").distinct(), chunking.chunk_pages(rows, 3, 1))
     assert [r.doc_id for r in empty.collect()] == ["e"]
@@ -82,7 +82,7 @@ def _xlsx() -> bytes:
 
 
 def test_parsers():
-    assert files.parse_bytes(".csv", "﻿a, b\n\"c,d\",e\n".encode()) == [("a | b\nc,d | e", None)]
+    assert files.parse_bytes(".csv", "\ufeffa, b\n\"c,d\",e\n".encode()) == [("a | b\nc,d | e", None)]
     assert files.parse_bytes(".html", b"<title>T</title><p> x &amp; y </p><script>s</script>") == [("T\nx & y\ns", None)]
     assert files.parse_bytes(".DOCX", _docx()) == [("One\nTwo\na | b", None)]
     assert files.parse_bytes(".xlsx", _xlsx()) == [('工作表：S\n"h, x",,3\n1,,\n', 1)]

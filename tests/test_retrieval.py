@@ -63,7 +63,7 @@ def test_limits_and_modes():
 
 
 def test_sentences_and_excerpts(spark):
-    rows = spark.createDataFrame([("字" * 200,), ("一　\n二。三",), ("。",), ("x" * 220,), ("y" * 221,)], "t string")
+    rows = spark.createDataFrame([("字" * 200,), ("一\u3000\n二。三",), ("。",), ("x" * 220,), ("y" * 221,)], "t string")
     out = rows.select(answering.first_sentence(F.col("t")).alias("s"), answering.excerpt(F.col("t")).alias("e")).collect()
     assert out[0].s == "字" * 180 + "…" and out[1].s == "一 二。" and out[2].s == "。"
     assert out[3].e == "x" * 220 and out[4].e == "y" * 220 + "…"
