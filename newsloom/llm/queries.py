@@ -55,5 +55,30 @@ def queries() -> dict[str, Query]:
     return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
+WHITE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+TOKENS = rf"[\x{{3400}}-\x{{9fff}}]|[A-Za-z0-9_]+|[^{WHITE}]"
+
+
+def _similar(kind: str, rows: str, k: int, least: float) -> str:
+    """Pairs of rows (id, text) by their sets of k-character substrings."""
+    return f"""SELECT '{kind}' AS rec_kind, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM {rows}_g a JOIN {rows}_g b ON a.g = b.g AND a.id < b.id
+      JOIN {rows}_n x ON x.id = a.id JOIN {rows}_n y ON y.id = b.id GROUP BY a.id, b.id, x.n, y.n HAVING count(*) >= {least} * (x.n + y.n - count(*))"""
+
+
+def _grams(rows: str, source: str, k: int) -> str:
+    return f"""{rows}_g AS (SELECT DISTINCT id, substr(text, i, {k}) AS g FROM (SELECT id, text, unnest(range(1, length(text) - {k - 2})) AS i FROM ({source}) WHERE length(text) >= {k})), {rows}_n AS (SELECT id, count(*) AS n FROM {rows}_g GROUP BY id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries whose results SQL can give; the others are tested against brute force."""
+    chunk = "SELECT DISTINCT chunk_id AS id, content AS text FROM chunks WHERE chunk_id IS NOT NULL"
+    titles = "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id, title AS text FROM documents"
+    return {
+        "p3_found": f"""WITH items AS (SELECT DISTINCT 'page' AS rec_kind, CAST(page_id AS VARCHAR) AS rec_id, text FROM parsed_pages UNION SELECT DISTINCT 'chunk', chunk_id, content FROM chunks),
+          big AS (SELECT * FROM items WHERE text IS NOT NULL AND rec_id IS NOT NULL AND len(regexp_extract_all(text, '{TOKENS}')) > 512)
+          SELECT rec_kind, rec_id, CAST(list_max(list_transform(string_split_regex(text, '[。！？!?；;\n]+'), lambda s: len(regexp_extract_all(s, '{TOKENS}')))) > 512 AS INTEGER) AS hard_cut FROM big""",
+        "p4_found": f"WITH {_grams('c', chunk, 5)}, {_grams('t', titles, 2)} {_similar('chunk', 'c', 5, 0.6)} UNION ALL {_similar('title', 't', 2, 0.75)}",
+        "p9_found": """WITH w AS (SELECT doc_id, i, md5(substr(text, i, 120)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 118)) AS i FROM documents WHERE length(text) >= 120)),
+          two AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), hit AS (SELECT DISTINCT doc_id, i FROM w WHERE h IN (SELECT h FROM two)),
+          covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 120)) AS at FROM hit) SELECT doc_id, count(*) AS shared_chars FROM covered GROUP BY doc_id""",
+    }
