@@ -119,7 +119,7 @@ def statements() -> dict[str, str]:
           d1 AS (SELECT query_id, name FROM seeds UNION SELECT query_id, unnest([source, target]) FROM h1), h2 AS (SELECT DISTINCT query_id, seq, id FROM d1 d JOIN edges e ON d.name = e.source OR d.name = e.target),
           reach AS (SELECT query_id, seq, id, min(hop) AS hop FROM (SELECT query_id, seq, id, 1 AS hop FROM h1 UNION ALL SELECT query_id, seq, id, 2 FROM h2) GROUP BY ALL
             UNION ALL SELECT DISTINCT t.query_id, m.seq, m.id, 0 FROM terms t JOIN merged m ON contains(lower(m.relation), t.term) WHERE t.query_id NOT IN (SELECT query_id FROM seeds))
-          SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS pos, CAST(hop AS INTEGER) AS hop, id FROM reach QUALIFY row_number() OVER w <= 30 WINDOW w AS (PARTITION BY query_id ORDER BY hop, seq)""",
+          SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS pos, CAST(hop AS INTEGER) AS hop, id FROM reach WINDOW w AS (PARTITION BY query_id ORDER BY hop, seq) QUALIFY row_number() OVER w <= 30""",
         "graph_path_dialect": _walk(2, 30, PATH_SEEDS),
         "simple_edges": f"WITH {MERGED} SELECT source, target, arg_max_null(relation, seq) AS relation, arg_max_null(confidence, seq) AS confidence FROM merged GROUP BY source, target",
         "node_styles": f"""WITH {MERGED}, s AS (SELECT DISTINCT source, target FROM merged), d AS (SELECT name, count(*) AS degree FROM (SELECT source AS name FROM s UNION ALL SELECT target FROM s) GROUP BY name),
@@ -137,6 +137,8 @@ def statements() -> dict[str, str]:
         "prompt_texts": f"""{EVIDENCE}, b AS (SELECT query_id, string_agg({block}, chr(10) || chr(10) ORDER BY rank) AS body, count(*) AS n FROM ev GROUP BY query_id),
           r AS (SELECT query_id, string_agg(line, chr(10) ORDER BY seq) AS lines FROM (SELECT doc_id AS query_id, seq, source || ' --' || relation || '--> ' || target AS line FROM merged QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq) <= 30) GROUP BY query_id)
           SELECT query_id, CAST(n AS INTEGER) AS n_evidence, md5('用户问题：' || query_id || chr(10) || chr(10) || '文本证据：' || chr(10) || body || chr(10) || chr(10) || '图谱关系：' || chr(10) || coalesce(lines, '无') || chr(10) || chr(10) || '请直接给出答案，并按规则引用证据。') AS prompt_md5 FROM b LEFT JOIN r USING (query_id)""",
+        "extractive_answers": f"""{EVIDENCE}, s AS (SELECT query_id, rank, {_first_sentence("coalesce(content, '')")} AS s FROM ev WHERE rank <= 3)
+          SELECT query_id, '根据当前知识库，可以得到以下信息：' || chr(10) || coalesce(string_agg('- ' || s || '[证据' || rank || ']' || chr(10), '' ORDER BY rank) FILTER (WHERE s <> ''), '') || chr(10) || '以上结论仅依据已索引材料，请结合原文发布日期和完整上下文核验。' AS answer FROM s GROUP BY query_id""",
         "catalog_rows": f"WITH {CATALOG} SELECT * FROM cat",
         "catalog_listing": f"WITH {CATALOG} SELECT doc_id, indexed_at, chunk_count FROM cat",
         "catalog_display": f"WITH {CATALOG} SELECT doc_id, title, source, coalesce(publish_time, '') AS publish_time, chunk_count, coalesce(title, '') || ' · ' || substr(doc_id, 1, 8) AS choice FROM cat",
