@@ -33,8 +33,9 @@ def remote_embed(texts: DataFrame, base_url: str, model: str, api_key: str = "",
     return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<double>")
 
 
-def point_id(chunk_id: str) -> str:
-    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"fnrag:{chunk_id}"))
+def point_id(chunk_id: str, prefix: str = "chunk:") -> str:
+    """A stable id of a chunk in the vector service."""
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, prefix + chunk_id))
 
 
 def write_points(vectors: DataFrame, url: str, collection: str) -> None:
