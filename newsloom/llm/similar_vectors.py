@@ -36,8 +36,10 @@ SAMPLE = 100_000
 LIST = 200
 LEAST_LEAF = 16
 DEGREE = 16
-REPLICAS, REPLICA_RATIO = 3, 1.12
-PROBES, PROBE_RATIO = 5, 1.3
+POOL = 64
+REPLICAS, REPLICA_RATIO = 4, 1.2
+PROBES, PROBE_RATIO = 5, 1.2
+BEAM, TURNS, EXPAND = 16, 6, 4
 SEEN = 500_000
 
 
@@ -91,24 +93,36 @@ class CentroidGraph:
 
     @classmethod
     def build(cls, centroids: np.ndarray, pivots: np.ndarray, degree: int = DEGREE) -> CentroidGraph:
-        degree = min(degree, len(centroids) - 1)
-        near = np.zeros((len(centroids), max(degree, 1)), dtype=np.int32)
-        for a in range(0, len(centroids), 1024):
+        """Neighbours are near and lie in different directions: a candidate that is nearer to a kept one than to the
+        centroid comes last, so that a search can leave a dense topic."""
+        near = np.tile(np.arange(len(centroids), dtype=np.int32)[:, None], (1, degree))
+        pool = min(POOL, len(centroids) - 1)
+        for a in range(0, len(centroids) if pool else 0, 1024):
             scores = centroids[a : a + 1024] @ centroids.T
             scores[np.arange(len(scores)), np.arange(a, a + len(scores))] = -2
-            if degree:
-                near[a : a + 1024] = np.argpartition(-scores, degree - 1, axis=1)[:, :degree]
+            nearest = np.argsort(-scores, axis=1, kind="stable")[:, :pool]
+            for r, found in enumerate(nearest):
+                among = centroids[found] @ centroids[found].T
+                kept: list[int] = []
+                for j in range(pool):
+                    if len(kept) == degree:
+                        break
+                    if not kept or among[j, kept].max() < scores[r, found[j]]:
+                        kept.append(j)
+                rest = [j for j in range(pool) if j not in kept]
+                kept = (kept + rest)[:degree]
+                near[a + r, : len(kept)] = found[kept]
         entries = np.concatenate([np.argmax(pivots[a : a + 1024] @ centroids.T, axis=1) for a in range(0, len(pivots), 1024)])
         return cls(centroids, near, pivots, entries.astype(np.int32))
 
-    def search(self, queries: np.ndarray, width: int, turns: int = 4, expand: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, width: int, turns: int = TURNS, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of about the ``width`` nearest centroids, best first; -1 where there are fewer."""
         n = len(queries)
         if len(self.centroids) <= 4 * width:
             scores = queries @ self.centroids.T
             ids = np.argsort(-scores, axis=1, kind="stable")[:, :width].astype(np.int32)
             return ids, np.take_along_axis(scores, ids, axis=1)
-        beam = max(width, 2 * expand)
+        beam = max(width, BEAM)
         start = min(beam, len(self.pivots))
         coarse = queries @ self.pivots.T
         ids = self.entries[np.argpartition(-coarse, start - 1, axis=1)[:, :start]]
@@ -197,7 +211,8 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, key: st
     total = max(1, vectors.count())
     share = min(1.0, SAMPLE / total)
     picked = rows if share == 1.0 else rows.where(F.pmod(F.xxhash64("code"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = picked.limit(2 * SAMPLE).select("code", "vec").toArrow()
+    # each distinct vector at most once, so that a vector that a third of the rows have counts as one
+    sample = picked.select("code", "vec").dropDuplicates(["code"]).toArrow()
     schema = f"`{key}` {kind}, neighbour {kind}, cosine double, rank int"
     if not sample.num_rows:
         return spark.createDataFrame([], schema)
