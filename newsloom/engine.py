@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from newsloom.config import EngineConfig
 from newsloom.lexicon import Lexicon
 from newsloom.operators import answering, catalog, chunking, embedding, extraction, graph, retrieval, vectors
 from newsloom.runtime import materialize
-from newsloom.sources import files
+from newsloom.sources import connectors, files
 from newsloom.sources.store import Store
 
 CHUNK_COLUMNS = ["chunk_id", "doc_id", "content", "title", "source", "page_number", "publish_time", "chunk_index", "metadata"]
@@ -28,12 +29,19 @@ class Answers:
 
 
 class EvidenceEngine:
-    def __init__(self, spark: SparkSession, config: EngineConfig | None = None, lexicon: Lexicon | None = None):
+    """``extractor`` takes chunks and gives relations like ``extraction.extract_relations``, which it replaces."""
+
+    def __init__(self, spark: SparkSession, config: EngineConfig | None = None, lexicon: Lexicon | None = None, extractor: Callable[[DataFrame], DataFrame] | None = None):
         self.spark = spark
         self.config = config or EngineConfig()
         self.lexicon = lexicon or Lexicon.default()
+        self.extractor = extractor or (lambda chunks: extraction.extract_relations(chunks, self.lexicon))
         self.store = Store(spark, self.config.warehouse)
 
+    def embed(self, texts: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
+        """``key, embedding`` by the provider of the settings."""
+        return embed_by(self.config, texts, key, text)
+
     # indexing
 
     def index_files(self, paths: list[str], replace: bool = False) -> DataFrame:
@@ -51,13 +59,13 @@ class EvidenceEngine:
         empty = chunking.without_chunks(pages.select("doc_id", "source").distinct(), chunks).limit(1).collect()
         if empty:
             raise ValueError(f"No searchable text found in {empty[0].source}")
-        embedded = embedding.hash_embed(chunks, c.embedding_dimensions, "blake2b")
+        embedded = self.embed(chunks)
         new_vectors = chunks.select("chunk_id", "doc_id").join(embedded, "chunk_id")
         old = {t: self.store.read(t) for t in ("chunks", "vectors", "relations", "catalog")}
         if replace and old["chunks"] is not None:
             fresh = chunks.select("doc_id").distinct()
             old = {t: df if t == "catalog" else df.join(fresh, "doc_id", "left_anti") for t, df in old.items()}
-        extracted = extraction.extract_relations(chunks, self.lexicon)
+        extracted = self.extractor(chunks)
         base = old["relations"].agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1 if old["relations"] is not None else 0
         numbered = materialize(extracted.join(chunks.select("chunk_id", "chunk_index"), "chunk_id"), "extracted")
         # a batch's order: document, chunk, sentence, place; numbered by ranges, not in one task
@@ -93,7 +101,12 @@ class EvidenceEngine:
             raise ValueError("nothing is indexed")
         evidence, found = evidence_for(questions, chunks, stored, relations, self.lexicon, mode, limit, self.config, doc_ids, as_of)
         prompted = answering.prompts(questions, evidence, found if mode != "vector" else None)
-        return Answers(answering.answers(prompted), answering.citations(evidence), found)
+        if self.config.answer_provider == "openai":
+            c = self.config
+            replies = answering.remote_answers(prompted, c.answer_base_url, c.answer_model, c.answer_api_key, c.answer_timeout_seconds)
+        else:
+            replies = answering.answers(prompted)
+        return Answers(replies, answering.citations(evidence), found)
 
     def documents(self) -> DataFrame | None:
         rows = self.store.read("catalog")
@@ -103,6 +116,12 @@ class EvidenceEngine:
         return catalog.stats(self.store.read("catalog"), self.store.read("vectors"), graph.entity_table(self.store.read("relations")), self.store.read("relations"))
 
 
+def embed_by(config: EngineConfig, texts: DataFrame, key: str, text: str, scheme: str = "blake2b") -> DataFrame:
+    if config.embedding_provider == "openai":
+        return connectors.remote_embed(texts, config.embedding_base_url, config.embedding_model, config.embedding_api_key, config.answer_timeout_seconds, key, text)
+    return embedding.hash_embed(texts, config.embedding_dimensions, scheme, key, text)
+
+
 def _numbered(rows: DataFrame, order: list[str], base: int) -> DataFrame:
     """``seq`` from ``base`` on in the given order: sorted ranges, their sizes summed up, then counted."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
@@ -118,7 +137,7 @@ def evidence_for(questions: DataFrame, chunks: DataFrame, stored: DataFrame, rel
     vector = graph_rows = None
     found = relations.select(F.lit(None).cast(questions.schema["query_id"].dataType).alias("query_id"), F.lit(None).cast("int").alias("pos"), "*").limit(0)
     if mode != "graph":
-        asked = embedding.hash_embed(questions, config.embedding_dimensions, scheme, "query_id", "question")
+        asked = embed_by(config, questions, "query_id", "question", scheme)
         vector = materialize(vectors.topk_batch(vectors.scoped(stored, doc_ids), asked, retrieval.vector_fetch(limit, mode)), "vector-channel")
     if mode != "vector":
         found = materialize(graph.search(questions, relations, config.graph_hops, retrieval.graph_fetch(limit), doc_ids, lexicon.aliases), "graph-hits")

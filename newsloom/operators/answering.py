@@ -38,6 +38,11 @@ def citations(evidence: DataFrame) -> DataFrame:
     return evidence.select("query_id", F.col("rank").alias("number"), "chunk_id", "title", "source", "page_number", "score", excerpt(F.col("content")).alias("excerpt"))
 
 
+def citations_for_display(cited: DataFrame) -> DataFrame:
+    """Scores to four places, blanks for missing pages."""
+    return cited.select("query_id", "number", "title", "source", F.coalesce(F.col("page_number").cast("string"), F.lit("")).alias("page"), F.round("score", 4).alias("score"), "excerpt")
+
+
 def first_sentence(text: Column) -> Column:
     """White space collapsed; up to and with the first end mark; longer ones cut."""
     plain = strip(F.regexp_replace(text, f"[{WS}]+", " "))

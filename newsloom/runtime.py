@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +38,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._newsloom_path = path
+    return out
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, whatever is lost later."""
+    for df in tables:
+        if path := getattr(df, "_newsloom_path", None):
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner delete the shuffle files of plans that nothing refers to any more."""
+    for _ in range(2):  # the first turn drops the driver's handles, the second what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from newsloom.config import EngineConfig
 from newsloom.engine import EvidenceEngine
-from newsloom.operators import answering, catalog, retrieval, vectors
+from newsloom.lexicon import Lexicon
+from newsloom.operators import answering, catalog, extraction, retrieval, vectors
 from newsloom.streaming.file_index import index_stream
 
 
@@ -110,6 +111,18 @@ def test_end_to_end(spark, tmp_path):
         engine.index_files([str(folder / "c.txt")])
 
 
+def test_replaceable_parts(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(TEXT, encoding="utf-8")
+    none = lambda chunks: extraction.extract_relations(chunks, Lexicon.default()).limit(0)
+    engine = EvidenceEngine(spark, EngineConfig(warehouse=str(tmp_path / "w"), embedding_dimensions=32), extractor=none)
+    assert engine.index_files([str(tmp_path / "a.txt")]).first().relations == 0
+    remote = EvidenceEngine(spark, EngineConfig(warehouse=str(tmp_path / "w"), embedding_provider="openai"))
+    with pytest.raises(ValueError, match="base_url"):
+        remote.embed(spark.createDataFrame([("a", "b")], "chunk_id string, content string"))
+    shown = answering.citations_for_display(engine.ask(spark.createDataFrame([(1, "资本市场")], "query_id int, question string"), "vector").citations)
+    assert shown.columns == ["query_id", "number", "title", "source", "page", "score", "excerpt"] and shown.count() == 1
+
+
 def test_stream_indexes_like_a_call(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
