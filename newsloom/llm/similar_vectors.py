@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from newsloom.runtime import materialize
+from newsloom.runtime import materialize, release
 
 SAMPLE = 100_000
 LIST = 200
@@ -38,7 +38,7 @@ LEAST_LEAF = 16
 DEGREE = 16
 POOL = 64
 REPLICAS, REPLICA_RATIO = 4, 1.2
-PROBES, PROBE_RATIO = 5, 1.2
+PROBES, PROBE_RATIO = 4, 1.2
 BEAM, TURNS, EXPAND = 16, 6, 4
 SEEN = 500_000
 
@@ -256,6 +256,8 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, key: st
     found = posted.groupBy("list").applyInArrow(compare, "code bigint, other bigint, cosine double")
     # the same pair has the same cosine in every list but for rounding
     found = materialize(found.groupBy("code", "other").agg(F.max("cosine").alias("cosine")), "found")
+    del posted
+    release(spark)
 
     named = rows.select("code", "id")
     few = named.withColumn("n", F.dense_rank().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)
