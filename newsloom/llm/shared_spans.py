@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.runtime import materialize
+from newsloom.runtime import drop, materialize, release
 
 SPAN = 120
 WINDOW = 40
@@ -130,6 +130,7 @@ class FingerprintIndex:
             if tier + 1 == len(self.tiers):
                 self.tiers.append([])
             self.tiers[tier + 1].append(materialize(self._merge(runs).sortWithinPartitions("fp"), "fp-run"))
+            drop(*runs)
             tier += 1
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
@@ -162,6 +163,7 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     index = FingerprintIndex(spark)
     for part in range(batches):
         index.add(prints if batches == 1 else prints.where(F.pmod(F.xxhash64("rec"), F.lit(batches)) == part))
+    release(spark)
     held = prints.join(index.shared(), "fp", "left_semi").groupBy("rec").agg(F.collect_set("fp").alias("fps"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +185,9 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     texts = rows.where(F.length(text) >= span).select(F.col(key).alias("rec"), F.col(text).alias("body"))
     marks = materialize(texts.join(held, "rec").select("rec", "body", "fps").mapInArrow(spans, f"rec {kind}, mark bigint, place int"), "spans")
+    drop(prints, *index.runs())
+    del held
+    release(spark)
     twice = marks.groupBy("mark").agg(F.min("rec").alias("low"), F.max("rec").alias("high")).where("low <> high").select("mark")
     found = marks.join(twice, "mark", "left_semi").groupBy("rec").agg(F.array_sort(F.collect_set("place")).alias("places"))
     covered = F.aggregate(
