@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.runtime import materialize
+from newsloom.runtime import drop, materialize, release
 
 EXPAND = 200
 BITS, SIGMAS = 128, 4.5
@@ -196,9 +196,12 @@ def near_duplicate_pairs(records: DataFrame, measures: list[Measure]) -> DataFra
     by_class = Window.partitionBy("band").orderBy("text_class")
     neighbours = _bands(rows, by_kind).withColumns({"before": F.lag("text_class").over(by_class), "after": F.lead("text_class").over(by_class)})
     kept = materialize(neighbours.where("before <> text_class or after <> text_class").select("band", "text_class").distinct(), "kept-bands")
+    del neighbours
+    release(records.sparkSession)
     asked = kept.select("text_class").distinct()
     texts = materialize(_signed(rows.select("rec_kind", "text_class", "text").join(asked, "text_class", "left_semi").dropDuplicates(["text_class"]), by_kind), "texts")
     signed = materialize(kept.join(texts.select("text_class", "rec_kind", "high", "low"), "text_class"), "signed")
+    drop(kept)
     most = F.lit(0)
     for m in measures:
         most = F.when(F.col("rec_kind") == m.kind, m.most_unequal).otherwise(most)
@@ -209,6 +212,8 @@ def near_duplicate_pairs(records: DataFrame, measures: list[Measure]) -> DataFra
     right = texts.select(F.col("text_class").alias("b"), F.col("text").alias("text_b"))
     linked = materialize(_verify(candidates.join(right, "b").join(left, "a"), by_kind), "linked")
 
+    drop(signed, texts, candidates)
+    release(records.sparkSession)
     members = materialize(rows.select("rec_kind", "text_class", "rec_id").distinct(), "members")
     classes = members.groupBy("rec_kind", "text_class").agg(F.count("*").alias("copies"), F.min("rec_id").alias("first"))
     touched = linked.select("rec_kind", F.col("a").alias("text_class")).union(linked.select("rec_kind", "b")).distinct().withColumn("linked", F.lit(True))
