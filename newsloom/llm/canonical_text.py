@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.runtime import materialize
+from newsloom.runtime import drop, materialize
 
 #: The decompositions that keep the look of a character.
 _KEPT_TAGS = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
@@ -34,6 +34,7 @@ _KEPT_TAGS = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<initial
 _IGNORABLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
 #: Scripts whose letters may pass for Latin ones: Greek, Cyrillic, Armenian, Cherokee, Lisu and letter-like forms.
 _ALIKE = [(0x370, 0x3FF), (0x400, 0x52F), (0x531, 0x58F), (0x13A0, 0x13FF), (0x1C80, 0x1C8F), (0x2C60, 0x2C7F), (0x2C80, 0x2CFF), (0xA4D0, 0xA4FF), (0xA640, 0xA69F), (0xAB70, 0xABBF)]
+EXPAND = 200
 _ASCII_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 
@@ -183,18 +184,21 @@ def same_looking(records: DataFrame) -> DataFrame:
 
     Blank forms show no text and pair with nothing. Groups with one spelling are left out by an
     aggregate before any row is paired, so that a text copied any number of times pairs nothing.
+    Of a spelling with more than ``EXPAND`` exact copies, the smallest id pairs with all other
+    spellings' records, and the other copies with the smallest id of each other spelling.
     """
     rows = materialize(_digests(records).where("form is not null"), "forms")
     varied = rows.groupBy("rec_kind", "form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("rec_kind", "form")
     kept = materialize(rows.join(varied, ["rec_kind", "form"], "left_semi").distinct(), "varied")
-    other = kept.select("rec_kind", "form", F.col("raw").alias("raw_b"), F.col("rec_id").alias("id_b"))
-    return (
-        kept.withColumnRenamed("rec_id", "id_a")
-        .join(other, ["rec_kind", "form"])
-        .where("raw <> raw_b and id_a < id_b")
-        .select("rec_kind", "id_a", "id_b")
-        .distinct()
-    )
+    drop(rows)
+    spellings = kept.groupBy("rec_kind", "form", "raw").agg(F.min("rec_id").alias("first"), F.count("*").alias("copies"))
+    marked = materialize(kept.join(spellings, ["rec_kind", "form", "raw"]), "marked")
+    few = marked.where(f"copies <= {EXPAND} or rec_id = first").select("rec_kind", "form", "raw", "rec_id")
+    many = marked.where(f"copies > {EXPAND} and rec_id <> first").select("rec_kind", "form", "raw", "rec_id")
+    firsts = spellings.select("rec_kind", "form", F.col("raw").alias("raw_b"), F.col("first").alias("y"))
+    other = few.select("rec_kind", "form", F.col("raw").alias("raw_b"), F.col("rec_id").alias("y"))
+    pairs = few.join(other, ["rec_kind", "form"]).where("raw < raw_b").unionByName(many.join(firsts, ["rec_kind", "form"]).where("raw <> raw_b"))
+    return pairs.where("rec_id <> y").select("rec_kind", F.least("rec_id", "y").alias("id_a"), F.greatest("rec_id", "y").alias("id_b")).distinct()
 
 
 def found_same_looking(chunks: DataFrame, entities: DataFrame) -> DataFrame:

@@ -46,6 +46,12 @@ def test_same_looking_pairs(spark):
     assert forms["b"] == "AB" and forms["n"] is None
 
 
+def test_hot_spelling_is_paired_through_its_first(spark):
+    rows = [("chunk", f"a{i:04d}", "AB") for i in range(300)] + [("chunk", f"b{i}", "ＡB") for i in range(3)]
+    got = {(r.id_a, r.id_b) for r in canonical_text.same_looking(spark.createDataFrame(rows, "rec_kind string, rec_id string, text string")).collect()}
+    assert got == {("a0000", f"b{i}") for i in range(3)} | {(f"a{i:04d}", "b0") for i in range(300)}
+
+
 def _sets(text, k):
     return {text[i : i + k] for i in range(len(text) - k + 1)}
 
