@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, written intermediate tables, bounded broadcasts."""
+"""Session helpers: the shared folder and written intermediate tables."""
 
 from __future__ import annotations
 
@@ -10,9 +10,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Largest table, in rows, that an operator may collect or broadcast by itself.
-BROADCAST_ROWS = 50_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
@@ -58,8 +55,3 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.25)
-
-
-def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``limit`` rows; reads no more than limit + 1 of them."""
-    return df.limit(limit + 1).count() <= limit
