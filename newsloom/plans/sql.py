@@ -63,10 +63,55 @@ def _first_sentence(x: str) -> str:
     return f"CASE WHEN length({s}) > 180 THEN regexp_replace(substr({s}, 1, 180), '[{WS}]+$', '') || '…' ELSE {s} END"
 
 
+def _spans(pattern: str, first: int, kind: str, name: str = "inner_[i]") -> str:
+    """Matches of group 1 with their places: sums of the text before and of earlier matches."""
+    return f"""SELECT chunk_id, sent_no, {name} AS name, {kind} AS type, list_sum(list_transform(between_[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole_[1 : i - 1], lambda x: length(x))), 0) + instr(whole_[i], inner_[i]) - 1 AS pos, {first} + i AS idx
+      FROM (SELECT *, unnest(range(1, len(whole_) + 1)) AS i FROM (SELECT chunk_id, sent_no, string_split_regex(sentence, '{pattern}') AS between_, regexp_extract_all(sentence, '{pattern}') AS whole_, regexp_extract_all(sentence, '{pattern}', 1) AS inner_ FROM sn))"""
+
+
+EXTRACTED = f"""WITH {CHUNKS}, parts AS (SELECT chunk_id, doc_id, title, string_split_regex(content, '[。！？!?；;\\n]+') AS p FROM chunk_rows WHERE content IS NOT NULL),
+sn AS (SELECT * FROM (SELECT chunk_id, doc_id, title, i - 1 AS sent_no, {_strip('p[i]')} AS sentence FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM parts)) WHERE sentence <> ''),
+lx AS (SELECT term, CASE WHEN kind = 'industry' THEN term ELSE coalesce(canonical, term) END AS name, CASE WHEN kind = 'industry' THEN '行业' ELSE '机构' END AS type,
+  CASE WHEN kind = 'industry' THEN 2000000 ELSE 0 END + row_number() OVER (PARTITION BY kind = 'industry' ORDER BY length(term) DESC, kind DESC, ord) AS idx FROM lexicon WHERE kind IN ('institution', 'alias', 'industry')),
+quoted_ AS ({_spans(QUOTED, 3000000, "CASE WHEN regexp_matches(inner_[i], '意见|办法|规定|规划|通知') THEN '政策' ELSE '事件' END", _strip("inner_[i]"))}),
+cand AS (SELECT chunk_id, sent_no, name, type, instr(sentence, term) - 1 AS pos, idx FROM sn JOIN lx ON contains(sentence, term) UNION ALL {_spans(COMPANY, 1000000, "'公司'")} UNION ALL SELECT * FROM quoted_ WHERE name <> ''),
+ent AS (SELECT chunk_id, sent_no, name, arg_min(type, pos * 10000000 + idx) AS type, min(pos) AS pos, min(idx) AS first FROM cand GROUP BY chunk_id, sent_no, name),
+e AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY chunk_id, sent_no) AS n, lead(name) OVER w AS next_name, lead(type) OVER w AS next_type FROM ent WINDOW w AS (PARTITION BY chunk_id, sent_no ORDER BY pos, first)),
+r AS (SELECT chunk_id, sent_no, arg_min(canonical, ord) AS label FROM sn JOIN lexicon ON kind = 'rule' AND contains(sentence, term) GROUP BY ALL), v AS (SELECT chunk_id, sent_no, arg_min(term, ord) AS event FROM sn JOIN lexicon ON kind = 'event' AND contains(sentence, term) GROUP BY ALL),
+x AS (SELECT e.*, sn.doc_id, sn.title, coalesce(label, '关联') AS label, event, CASE WHEN n >= 2 THEN n - 1 WHEN event IS NOT NULL AND event <> e.name THEN 1 ELSE 0 END AS inner_n FROM e JOIN sn USING (chunk_id, sent_no) LEFT JOIN r USING (chunk_id, sent_no) LEFT JOIN v USING (chunk_id, sent_no)),
+edges AS (SELECT chunk_id, doc_id, sent_no, k - 1 AS emit_no, name AS source, label AS relation, next_name AS target, CASE WHEN label = '关联' THEN 0.55 ELSE 0.72 END AS confidence, type AS source_type, next_type AS target_type FROM x WHERE n >= 2 AND next_name IS NOT NULL
+  UNION ALL SELECT chunk_id, doc_id, sent_no, 0, name, label, event, 0.62, type, '事件' FROM x WHERE n = 1 AND inner_n = 1
+  UNION ALL SELECT chunk_id, doc_id, sent_no, inner_n + k - 1, name, '来源于', title, 1.0, type, '文档' FROM x WHERE title IS NOT NULL)
+SELECT source, relation, target, chunk_id, arg_max(doc_id, o) AS doc_id, CAST(arg_max(confidence, o) AS DOUBLE) AS confidence, arg_max(source_type, o) AS source_type, arg_max(target_type, o) AS target_type, CAST(min(o) // 1000000 AS INTEGER) AS sent_no, CAST(min(o) % 1000000 AS INTEGER) AS emit_no
+FROM (SELECT *, sent_no * 1000000 + emit_no AS o FROM edges) GROUP BY source, relation, target, chunk_id"""
+
 CATALOG = """cat AS (SELECT doc_id, title, source, publish_time, stored_path, chunk_count, indexed_at FROM doc_catalog WHERE doc_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY indexed_at DESC NULLS LAST, stored_path DESC NULLS LAST, chunk_count DESC NULLS LAST, title DESC NULLS LAST, source DESC NULLS LAST, publish_time DESC NULLS LAST) = 1)"""
 
 
+def _embedded(name: str, source: str) -> str:
+    """Hash embedding of rows (id, text): ``name``_v with id, place and value."""
+    return f"""{name}_u AS (SELECT id, list_transform(regexp_extract_all(text, '{FEATURE}'), lambda t: lower(t)) AS w FROM ({source})),
+      {name}_f AS (SELECT id, sha256(unnest(w)) AS h FROM {name}_u UNION ALL SELECT id, sha256(unnest(list_transform(range(1, len(w)), lambda i: w[i] || '::' || w[i + 1]))) FROM {name}_u WHERE len(w) > 1),
+      {name}_p AS (SELECT id, CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) % 384 AS INTEGER) AS place, sum(CASE WHEN CAST('0x' || substr(h, 16, 1) AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END) AS total FROM {name}_f GROUP BY 1, 2),
+      {name}_v AS (SELECT id, place, CAST(total AS DOUBLE) / sqrt(CAST(sum(total * total) OVER (PARTITION BY id) AS DOUBLE)) AS value FROM {name}_p WHERE total <> 0)"""
+
+
+def _answers(mode: str) -> str:
+    """Answers from five pieces of evidence a question, of the vector list, the graph list or both."""
+    vector = f"""{_embedded('qe', 'SELECT query_id AS id, question AS text FROM q')}, {_embedded('ce', 'SELECT chunk_id AS id, content AS text FROM chunk_rows WHERE content IS NOT NULL')},
+      vl AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.id AS query_id, b.id AS chunk_id, round(sum(a.value * b.value), 12) AS score FROM qe_v a JOIN ce_v b USING (place) GROUP BY 1, 2) QUALIFY rank <= {10 if mode == "hybrid" else 5})"""
+    graph = """gl0 AS (SELECT query_id, chunk_id, min(pos) AS first, max(confidence) AS score FROM placed JOIN merged USING (id) WHERE chunk_id IN (SELECT chunk_id FROM chunk_rows WHERE content IS NOT NULL) GROUP BY query_id, chunk_id),
+      gl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM gl0)"""
+    fused = """u AS (SELECT query_id, chunk_id, rank, 0 AS turn, 1.0 AS w FROM vl UNION ALL SELECT query_id, chunk_id, rank, 1, 0.9 FROM gl),
+      fu AS (SELECT query_id, chunk_id, sum(CAST(w AS DOUBLE) / (60 + rank)) AS score, min(turn * 1000000000 + rank) AS place FROM u GROUP BY query_id, chunk_id), l AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 15) DESC, place) AS rank FROM fu)"""
+    parts = {"vector": f"{vector}, l AS (SELECT * FROM vl)", "graph": f"{graph}, l AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, first) AS rank FROM gl)", "hybrid": f"{vector}, {graph}, {fused}"}[mode]
+    walk = _walk(2, 30).split(" SELECT query_id, CAST(pos", 1)[0]
+    return f"""{walk}, {CHUNKS}, {parts}, s AS (SELECT query_id, rank, {_first_sentence("coalesce(content, '')")} AS s FROM l JOIN chunk_rows USING (chunk_id) WHERE rank <= 3),
+      a AS (SELECT query_id, '根据当前知识库，可以得到以下信息：' || chr(10) || coalesce(string_agg('- ' || s || '[证据' || rank || ']' || chr(10), '' ORDER BY rank) FILTER (WHERE s <> ''), '') || chr(10) || '以上结论仅依据已索引材料，请结合原文发布日期和完整上下文核验。' AS answer FROM s GROUP BY query_id)
+      SELECT query_id, question, coalesce(answer, '当前知识库没有检索到足够证据，暂时无法给出可靠结论。') AS answer FROM q LEFT JOIN a USING (query_id)"""
+
+
 def statements() -> dict[str, str]:
     embed = f"""WITH u AS (SELECT doc_id, list_transform(regexp_extract_all(title, '{FEATURE}'), lambda t: lower(t)) AS w FROM documents WHERE title IS NOT NULL),
       f AS (SELECT doc_id, unnest(w) AS feature FROM u UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '::' || w[i + 1])) FROM u WHERE len(w) > 1)"""
@@ -106,6 +151,7 @@ def statements() -> dict[str, str]:
         "relation_labels": f"""WITH {CHUNKS}, {SENTENCES}, n AS (SELECT row_number() OVER () AS k, sentence FROM sent),
           r AS (SELECT k, arg_min(canonical, ord) AS label FROM n, lexicon WHERE kind = 'rule' AND contains(sentence, term) GROUP BY k), e AS (SELECT k, arg_min(term, ord) AS event FROM n, lexicon WHERE kind = 'event' AND contains(sentence, term) GROUP BY k)
           SELECT coalesce(label, '关联') AS label, event, count(*) AS n FROM n LEFT JOIN r USING (k) LEFT JOIN e USING (k) GROUP BY 1, 2""",
+        "extracted_relations": EXTRACTED,
         "merged_relations": f"WITH {MERGED} SELECT id, seq, confidence, source_type, target_type FROM merged",
         "graph_entities": f"WITH {MERGED} SELECT source AS name, source_type AS entity_type FROM merged UNION SELECT target, target_type FROM merged",
         "graph_counts": f"WITH {MERGED} SELECT (SELECT count(*) FROM (SELECT source, source_type FROM merged UNION SELECT target, target_type FROM merged)) AS entities, (SELECT count(*) FROM merged) AS relations",
@@ -139,6 +185,9 @@ def statements() -> dict[str, str]:
           SELECT query_id, CAST(n AS INTEGER) AS n_evidence, md5('用户问题：' || query_id || chr(10) || chr(10) || '文本证据：' || chr(10) || body || chr(10) || chr(10) || '图谱关系：' || chr(10) || coalesce(lines, '无') || chr(10) || chr(10) || '请直接给出答案，并按规则引用证据。') AS prompt_md5 FROM b LEFT JOIN r USING (query_id)""",
         "extractive_answers": f"""{EVIDENCE}, s AS (SELECT query_id, rank, {_first_sentence("coalesce(content, '')")} AS s FROM ev WHERE rank <= 3)
           SELECT query_id, '根据当前知识库，可以得到以下信息：' || chr(10) || coalesce(string_agg('- ' || s || '[证据' || rank || ']' || chr(10), '' ORDER BY rank) FILTER (WHERE s <> ''), '') || chr(10) || '以上结论仅依据已索引材料，请结合原文发布日期和完整上下文核验。' AS answer FROM s GROUP BY query_id""",
+        "answers_vector": _answers("vector"),
+        "answers_graph": _answers("graph"),
+        "answers_hybrid": _answers("hybrid"),
         "catalog_rows": f"WITH {CATALOG} SELECT * FROM cat",
         "catalog_listing": f"WITH {CATALOG} SELECT doc_id, indexed_at, chunk_count FROM cat",
         "catalog_display": f"WITH {CATALOG} SELECT doc_id, title, source, coalesce(publish_time, '') AS publish_time, chunk_count, coalesce(title, '') || ' · ' || substr(doc_id, 1, 8) AS choice FROM cat",
