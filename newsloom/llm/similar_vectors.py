@@ -38,8 +38,8 @@ LEAST_LEAF = 16
 DEGREE = 16
 POOL = 64
 REPLICAS, REPLICA_RATIO = 4, 1.2
-PROBES, PROBE_RATIO = 4, 1.2
-BEAM, TURNS, EXPAND = 16, 6, 4
+PROBES, PROBE_RATIO = 5, 1.2
+BEAM, TURNS, EXPAND = 24, 8, 4
 SEEN = 500_000
 
 
