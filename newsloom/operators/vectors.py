@@ -46,7 +46,8 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk
     The queries are a stated set; they are taken in blocks of ``block`` (a proven bound of what is
     sent to the executors at once), each compared with every batch of vectors as one matrix
     product. Only k rows per query, block and task leave a task. Vectors of another length than the
-    queries, nulls and duplicates by key are left out.
+    queries and nulls are left out. A key that is repeated counts once, with its best score; copies
+    are put together before a list is cut, so they never take the place of another key.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -76,11 +77,19 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk
                 names = np.array(batch.column(0).take(pa.array(fit)).to_pylist(), dtype=object)
                 order = np.argsort(names, kind="stable")  # ties go to the smaller key
                 scores, names = scores[:, order], names[order]
-                top = np.argsort(-scores, axis=1, kind="stable")[:, : 2 * k]
+                first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+                if len(first) < len(names):  # one column a key, before anything is cut
+                    scores, names = np.fmax.reduceat(scores, first, axis=1), names[first]
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 both = np.concatenate([best_scores, np.take_along_axis(scores, top, axis=1)], axis=1)
                 keys = np.concatenate([best_keys, names[top]], axis=1)
                 code = np.unique(keys, return_inverse=True)[1].reshape(keys.shape)
-                rank = np.lexsort((code, -both), axis=1)[:, : 2 * k]
+                by_key = np.lexsort((-both, code), axis=1)
+                codes = np.take_along_axis(code, by_key, axis=1)
+                again = np.zeros(codes.shape, dtype=bool)
+                again[:, 1:] = codes[:, 1:] == codes[:, :-1]
+                both[np.nonzero(again)[0], by_key[again]] = -np.inf  # a key of an earlier batch keeps its best score
+                rank = np.lexsort((code, -both), axis=1)[:, :k]
                 best_scores, best_keys = np.take_along_axis(both, rank, axis=1), np.take_along_axis(keys, rank, axis=1)
             q, at = np.nonzero(np.isfinite(best_scores))
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], query_arrow), pa.array(list(best_keys[q, at]), arrow), pa.array(best_scores[q, at])], names=[query_key, key, "score"])
@@ -92,7 +101,7 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk
     for more in parts[1:]:
         found = found.unionByName(more)
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.groupBy(query_key, key).agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _blocks(asked: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:

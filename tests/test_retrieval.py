@@ -34,6 +34,27 @@ def test_topk_against_brute_force(spark):
     assert vectors.topk_batch(rows, asked.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_topk_of_repeated_keys(spark, batch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8))
+    copies = [0] * 30 + [1] * 15  # more than 2 * k times
+    made = [(i, x[i].tolist()) for i in [*copies, *range(60)]] + [(5, x[0].tolist())]  # key 5 also has a nearer vector
+    rows = spark.createDataFrame(made, "chunk_id bigint, embedding array<double>").repartition(2)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in (0, 1, 40)], "query_id bigint, embedding array<double>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = vectors.topk_batch(rows, asked, 10).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 1, 40):
+        score = np.round(unit @ unit[q], 12)
+        score[5] = max(score[5], score[0])
+        assert [r.chunk_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] == sorted(range(60), key=lambda i: (-score[i], i))[:10]
+
+
 def test_vector_table(spark):
     row = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.0, 0.0], [1.0])], "a array<double>, b array<double>, z array<double>, s array<double>").select(vectors.cosine(F.col("a"), F.col("b")).alias("c"), vectors.cosine(F.col("a"), F.col("z")).alias("o"), vectors.cosine(F.col("a"), F.col("s")).alias("n")).first()
     assert math.isclose(row.c, 0.5**0.5) and row.o == 0 and row.n is None
