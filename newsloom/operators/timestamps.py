@@ -6,13 +6,16 @@ once and all texts of that mask are converted together as one matrix of code poi
 go through transition tables of the IANA zones (one sorted array of switch times a zone, made from
 the zone database of the driver, whose version is part of the table).
 
-Rules: missing smaller units are zero. Bare digits are a calendar date (8), date and time (14) or
+Rules: missing smaller units are zero; an hour stands alone if an hour sign, a T or AM or PM shows
+that it is one. Every year of the calendar holds, 1 to 9999, as the zone database has it: local mean
+time before a zone's first switch, its last rule for ever after. Bare digits are a calendar date (8), date and time (14) or
 a Unix count in s, ms, us or ns (10, 13, 16, 19). A zone in the text wins: offset, abbreviation,
 bracketed IANA name or 北京时间. Else the zone of the feed holds; without a known feed the result
 is null. A local time that occurs twice means the first, a skipped one takes the offset before the
 change. An abbreviation means the feed's own zone if that has it, else the one feed zone that has
 it. Null, empty and blank texts, words, and dates that don't exist give null. Texts of any length
-are safe; those longer than ``LONGEST`` characters denote no time.
+are safe; those longer than ``LONGEST`` characters once spaces are cleaned denote no time, as no
+notation is as long.
 """
 
 from __future__ import annotations
@@ -30,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONGEST = 80
+LONGEST = 200
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
-_YEARS = (1950, 2100)
+_YEARS = (1, 10_000)
+#: The zone database has no switch before; from the second on the rules of all zones hold that repeat with the calendar, after ``_CYCLE``.
+_LISTED = (1800, 2100)
+_CYCLE = 146_097 * 86_400_000_000
 #: Names in texts.
 _MONTHS = {name: i % 12 + 1 for i, name in enumerate("jan feb mar apr may jun jul aug sep oct nov dec january february march april may june july august september october november december".split())} | {"sept": 9}
 _DAYS = {"mon", "tue", "wed", "thu", "fri", "sat", "sun", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"}
 _CHINESE = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "○": 0}
+_REPEATED = int((datetime(_LISTED[1], 1, 1, tzinfo=UTC) - _EPOCH).total_seconds()) * 1_000_000
 _UNIX = {10: (1_000_000, 1), 13: (1000, 1), 16: (1, 1), 19: (1, 1000)}
 
 _DATE = r"""(?:(?P<Y>dddd)\s*(?P<sep1>[-/.年])\s*(?P<M>dd?)\s*[-/.月]\s*(?P<D>dd?)日?
@@ -44,7 +51,7 @@ _DATE = r"""(?:(?P<Y>dddd)\s*(?P<sep1>[-/.年])\s*(?P<M>dd?)\s*[-/.月]\s*(?P<D>
     |(?P<P>dd?)(?P<sep2>[-/.])(?P<Q>dd?)(?P=sep2)(?P<Y3>dddd)
     |(?:(?P<wd>a+)\.?,?\s+)?(?P<D4>dd?)(?:\s+|-)(?P<mon4>a+)\.?,?(?:\s+|-)(?P<Y4>dddd)
     |(?:(?P<wd5>a+)\.?,\s+)?(?P<mon5>a+)\.?\s+(?P<D5>dd?),?\s+(?P<Y5>dddd))"""
-_TIME = r"""(?:(?P<cn>上午|下午|凌晨|早上|中午|晚上)?\s*(?:(?P<h>dd?)\s*[:时点]\s*(?P<m>dd?)(?:\s*[:分]\s*(?P<s>dd?)(?:[.,](?P<f>d{1,9}))?秒?|分)?|(?P<h2>dd)(?P<m2>dd)(?P<s3>dd)(?:[.,](?P<f2>d{1,9}))?))"""
+_TIME = r"""(?:(?P<cn>上午|下午|凌晨|早上|中午|晚上)?\s*(?:(?P<h>dd?)\s*(?:[:时点]\s*(?P<m>dd?)(?:\s*[:分]\s*(?P<s>dd?)(?:[.,](?P<f>d{1,9}))?秒?|分)?|[时点]整?)|(?P<h2>dd)(?P<m2>dd)(?P<s3>dd)(?:[.,](?P<f2>d{1,9}))?|(?P<bare>(?<!d)(?P<h4>dd?))))"""
 _ZONE = r"""(?:\s*(?P<w1>a+))?(?:\s*(?P<w2>a+))?(?:\s*(?P<sg>[+-])(?P<oh>dd?)(?::?(?P<om>dd))?)?(?:\s*\[(?P<zone>[a/_+d-]+)\])?"""
 _SHAPE = re.compile(rf"(?:(?:发布时间|发布日期|更新时间|时间|日期|a+)\s*:\s*)?(?P<bj>北京时间)?\s*{_DATE}(?:(?:(?P<T>a)|\s*,?\s*){_TIME}{_ZONE}|(?P<only>{_ZONE.replace('P<', 'P<o_')}))", re.X)
 _TO_MASK = str.maketrans({**{chr(c): "d" for c in range(48, 58)}, **{chr(c): "a" for c in (*range(65, 91), *range(97, 123))}})
@@ -59,7 +66,8 @@ class ZoneTable:
     names: dict[str, int] = field(default_factory=dict)
 
     def to_utc(self, local: np.ndarray) -> np.ndarray:
-        return local - self.offsets[np.searchsorted(self.switches, local, side="right")]
+        listed = local - np.maximum((local - _REPEATED) // _CYCLE, 0) * _CYCLE
+        return local - self.offsets[np.searchsorted(self.switches, listed, side="right")]
 
 
 def zone_version() -> str:
@@ -80,7 +88,7 @@ def zone_version() -> str:
 
 @lru_cache(maxsize=None)
 def zone_table(name: str) -> ZoneTable | None:
-    """Transitions between the years of ``_YEARS``, found by halving weeks; None for unknown names."""
+    """Transitions of the years of ``_LISTED`` and of one cycle more, found by halving weeks; None for unknown names."""
     try:
         zone = zoneinfo.ZoneInfo(name)
     except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
@@ -90,7 +98,7 @@ def zone_table(name: str) -> ZoneTable | None:
         return int((_EPOCH + timedelta(seconds=second)).astimezone(zone).utcoffset().total_seconds())
 
     week = 7 * 86400
-    at, stop = (int((datetime(y, 1, 1, tzinfo=UTC) - _EPOCH).total_seconds()) for y in _YEARS)
+    at, stop = (int((datetime(y, 1, 1, tzinfo=UTC) - _EPOCH).total_seconds()) for y in (_LISTED[0], _LISTED[1] + 401))
     switches, offsets = [], [offset(at)]
     names: dict[str, int] = {}
     while at < stop:
@@ -103,7 +111,7 @@ def zone_table(name: str) -> ZoneTable | None:
             switches.append(high + max(offsets[-1], after))
             offsets.append(after)
         at += week
-        if at > 946_684_800:  # abbreviations since 2000
+        if 946_684_800 < at < 4_102_444_800:  # abbreviations from 2000 to 2100
             names.setdefault((_EPOCH + timedelta(seconds=at)).astimezone(zone).tzname(), after)
     million = 1_000_000
     return ZoneTable(np.array(switches, dtype=np.int64) * million, np.array(offsets, dtype=np.int64) * million, {k: v * million for k, v in names.items() if k.isalpha()})
@@ -127,10 +135,12 @@ def shape_parser(mask: str) -> dict[str, tuple[int, int]] | None:
 
 def clean(text: str | None) -> str:
     """One width, plain spaces, no edges; Chinese numerals as digits."""
-    if not text or len(text) > LONGEST:
+    if not text:
         return ""
-    text = " ".join(unicodedata.normalize("NFKC", text).split()) if not text.isascii() else text.strip()
-    if any(c in _CHINESE for c in text):
+    text = " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).split())
+    if len(text) > LONGEST:
+        return ""
+    if any(c in _CHINESE or c == "十" for c in text):
         text = re.sub(r"[零〇○一二三四五六七八九十]+", _digits, text)
     return text
 
@@ -238,6 +248,8 @@ class Converter:
                         good[i] &= value is not None and not fixed[i]
                         offset[i] = value or 0
                         fixed[i] = True
+        if "bare" in spans and "T" not in spans:
+            good &= half > 0
         if "cn" in spans:
             hour = np.where((half == 2) & (hour < 12), hour + 12, np.where((half == 1) & (hour == 12), 0, hour))
         else:

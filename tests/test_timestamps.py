@@ -4,6 +4,7 @@ import random
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pytest
 
 from newsloom.operators.timestamps import LONGEST, Converter, clean, found_times, normalize_times, shape_parser, zone_table
@@ -55,6 +56,44 @@ def test_cases(text, source, want):
     assert good[0] and values[0] == want
 
 
+WHOLE = [
+    ("1949-10-01 15:00", "sh", _utc(1949, 10, 1, 7)),
+    ("1066-10-14T09:00:00Z", None, _utc(1066, 10, 14, 9)),
+    ("0001-01-01 12:00 UTC", None, _utc(1, 1, 1, 12)),
+    ("2400-02-29", "sh", _utc(2400, 2, 28, 16)),
+    ("9999-07-01 00:00", "ny", _utc(9999, 7, 1, 4)),
+    (" " * 90 + "2024-05-01 10:00", "sh", _utc(2024, 5, 1, 2)),
+    ("2024-05-01" + " " * 90 + "10:00", "sh", _utc(2024, 5, 1, 2)),
+    ("Wednesday, May 1, 2024 12:00:00.123456789 PM -03:00 [America/Argentina/ComodRivadavia]", None, _utc(2024, 5, 1, 15, 0, 0, 123456)),
+    ("2024年5月1日10时", "sh", _utc(2024, 5, 1, 2)),
+    ("2024年5月1日十时整", "sh", _utc(2024, 5, 1, 2)),
+    ("2024年5月1日下午3点", "sh", _utc(2024, 5, 1, 7)),
+    ("May 1, 2024 3 PM", "ny", _utc(2024, 5, 1, 19)),
+    ("2024-05-01 12AM EDT", None, _utc(2024, 5, 1, 4)),
+    ("2024-05-01T10Z", None, _utc(2024, 5, 1, 10)),
+]
+
+
+@pytest.mark.parametrize(("text", "source", "want"), WHOLE)
+def test_every_year_and_hours_alone(text, source, want):
+    values, good = Converter(FEEDS).convert([text], [source])
+    assert good[0] and values[0] == want
+
+
+@pytest.mark.parametrize("text", ["0000-01-01", "1900-02-29", "2024-05-01 10", "2024-05-01 3 XX", "2024-05-01 13 PM", "202405013 PM", "2024年5月1日25时", "2024-5-123"])
+def test_no_hour_alone(text):
+    assert not Converter(FEEDS).convert([text], ["ny"])[1][0]
+
+
+@pytest.mark.parametrize("name", ["America/New_York", "Europe/London", "Australia/Sydney", "Asia/Shanghai", "Africa/Casablanca"])
+def test_zones_of_every_year(name):
+    rng, zone, table = random.Random(4), ZoneInfo(name), zone_table(name)
+    for _ in range(600):
+        local = datetime(rng.choice([rng.randrange(2, 9998), rng.randrange(1850, 2150)]), 1, 1) + timedelta(minutes=rng.randrange(60 * 24 * 365))
+        want = (local.replace(tzinfo=zone, fold=0) - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
+        assert table.to_utc(np.array([(local - datetime(1970, 1, 1)) // timedelta(microseconds=1)]))[0] == want
+
+
 @pytest.mark.parametrize("text", NOT)
 def test_no_time(text):
     assert not Converter(FEEDS).convert([text], ["ny"])[1][0]
