@@ -162,6 +162,25 @@ def test_name_variants(spark):
     assert name_variants.found_variants(entities.limit(0), relations.limit(0), lexicon.limit(0)).count() == 0
 
 
+def test_all_readings_of_a_romanised_name():
+    words = [["yu", "e", "chuan", "e", "jiang"], ["zui", "e", "kuo", "xian", "geng"], ["xi", "an", "xi", "an", "xi", "an"], ["mu", "chuan"]]
+    said = {x for w in words for x in w} | {"xian", "yue", "ec", "chu", "an", "a", "n", "ku", "o", "kuox", "gen", "g", "i", "ji", "ang", "jian", "ch", "u"}
+    sounds = {chr(0x4E00 + i): x for i, x in enumerate(sorted(said))}
+    reader = name_variants.Reader(name_variants.Letters(sounds, {}, {}), {}, set())
+
+    def brute(rest, room):
+        if not rest:
+            return {()}
+        if not room:
+            return set()
+        return {(sound, *more) for k in range(1, min(8, len(rest)) + 1) for sound in {rest[:k], rest[: k - 1] if rest[k - 1] in "heu" else rest[:k]} if sound in said for more in brute(rest[k:], room - 1)}
+
+    for word in words:
+        got = {syllables for syllables, _ in reader.romanised("".join(word))}
+        assert tuple(word) in got and got == {x for x in brute("".join(word), 6) if len(x) >= 2}
+    assert reader.romanised("xian" * 5000) == [] == reader.romanised("")
+
+
 def test_components(spark):
     nodes = spark.range(1, 60).toDF("node")
     edges = spark.range(1, 40).selectExpr("id as node", "id + 1 as parent")
