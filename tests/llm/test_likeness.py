@@ -181,6 +181,17 @@ def test_all_readings_of_a_romanised_name():
     assert reader.romanised("xian" * 5000) == [] == reader.romanised("")
 
 
+@pytest.mark.parametrize(("bound", "what"), [("MOST_CONFUSED", "confused characters"), ("MOST_SPELLED", "spellings of characters")])
+def test_learned_tables_are_never_cut(spark, monkeypatch, bound, what):
+    cores = ["沐川宿晖", "沐川宿辉", "荒航沐晖", "荒航沐辉", "义泰朗溪", "钧通骏霄", "明礼恒通", "朔列鸿曜", "恒义鼎泰", "远河和平", "腾锦溪溪", "天玄鹏康"]
+    names = [f"珩山{c}智能装备股份有限公司" for c in cores] + ["Mingli Hengtong Co., Ltd."]
+    entities = spark.createDataFrame(list(enumerate(names)), "entity_id bigint, name string")
+    relations = spark.createDataFrame([(n, n) for n in names], "source string, target string")
+    monkeypatch.setattr(name_variants, bound, 0, raising=False)
+    with pytest.raises(ValueError, match=what):
+        name_variants.name_bodies(entities, relations, spark.createDataFrame([], LEXICON))
+
+
 def test_components(spark):
     nodes = spark.range(1, 60).toDF("node")
     edges = spark.range(1, 40).selectExpr("id as node", "id + 1 as parent")
