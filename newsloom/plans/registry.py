@@ -105,6 +105,22 @@ def hash_embedding_blake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.hash_embed_sparse(titles, 384, "blake2b", "doc_id", "title").select("doc_id", "place", F.round("value", 6).alias("value"))
 
 
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).where("content is not null").select("chunk_id", "content")
+
+
+def content_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _contents(spark, sf_dir).select(F.explode(embedding.features(F.col("content"))).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+
+
+def content_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.hash_embed_sparse(_contents(spark, sf_dir), 384, "sha256", "chunk_id", "content").select("chunk_id", "place", F.round("value", 6).alias("value"))
+
+
+def content_embedding_blake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.hash_embed_sparse(_contents(spark, sf_dir), 384, "blake2b", "chunk_id", "content").select("chunk_id", "place", F.round("value", 6).alias("value"))
+
+
 # vectors
 
 
@@ -334,7 +350,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     plain = [
-        text_documents, labelled_dates, guessed_titles, token_counts, chunk_texts, chunk_pages, unsearchable, feature_totals, hash_embedding, hash_embedding_blake,
+        text_documents, labelled_dates, guessed_titles, token_counts, chunk_texts, chunk_pages, unsearchable, feature_totals, hash_embedding, hash_embedding_blake, content_features, content_embedding, content_embedding_blake,
         cosine_topk, cosine_batch, cosine_scoped, chunk_lookup, vector_upsert, sentence_split, lexicon_mentions, company_names, quoted_names, relation_labels, extracted_relations,
         merged_relations, graph_entities, graph_counts, question_terms, graph_seeds, simple_edges, node_styles, date_bonus, graph_channel, graph_evidence, rank_fusion,
         citations, first_sentences, prompt_texts, extractive_answers, catalog_rows, catalog_listing, catalog_display, catalog_get, engine_stats, payload_codec, p5_found,

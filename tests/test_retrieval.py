@@ -1,7 +1,9 @@
 """Vector search, fusion, answers, catalogue, engine and the registered queries."""
 
 import datetime
+import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -167,7 +169,10 @@ def test_sql_has_queries():
 CORE = ["token_counts", "chunk_texts", "chunk_pages", "hash_embedding", "cosine_batch", "lexicon_mentions", "relation_labels", "merged_relations", "question_terms", "graph_seeds", "graph_two_hops", "node_styles", "rank_fusion", "prompt_texts", "catalog_rows"]
 
 
-@pytest.mark.parametrize("name", CORE)
+WHOLE = ["content_features", "content_embedding"]
+
+
+@pytest.mark.parametrize("name", [*CORE, *WHOLE])
 def test_query_equals_sql(spark, data, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -181,3 +186,17 @@ def test_query_equals_sql(spark, data, name):
     names = sorted(got.columns)
     plain = lambda rows: sorted(repr([r[n] if not isinstance(r[n], datetime.datetime) else r[n].isoformat()[:19] for n in names]) for r in rows)
     assert plain([r.asDict() for r in got.collect()]) == plain(want)
+
+
+def test_blake_embedding_of_contents(spark, data):
+    found = {}
+    for r in entry.queries()["content_embedding_blake"](spark, data).collect():
+        found.setdefault(r.chunk_id, {})[r.place] = r.value
+    for r in spark.read.parquet(f"{data}/chunks.parquet").where("chunk_id is not null and content is not null").select("chunk_id", "content").distinct().collect():
+        words = [w.lower() for w in re.findall("[\u3400-\u9fff]|[A-Za-z0-9_]+", r.content)]
+        totals = np.zeros(384)
+        for feature in words + [f"{a}::{b}" for a, b in zip(words, words[1:], strict=False)]:
+            raw = hashlib.blake2b(feature.encode(), digest_size=16).digest()
+            totals[int.from_bytes(raw[:8], "big") % 384] += 1 if raw[8] % 2 else -1
+        want = totals / (np.linalg.norm(totals) or 1)
+        assert found.get(r.chunk_id, {}) == pytest.approx({i: v for i, v in enumerate(want) if v}, abs=1e-6)
