@@ -7,6 +7,7 @@ against all rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,6 +151,11 @@ def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.lookup(_chunks(spark, sf_dir), relations).select("pos", "chunk_id", "doc_id", "chunk_index")
 
 
+def chunk_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relations = _table(spark, sf_dir, "relations").select("chunk_id", F.col("seq").alias("pos"))
+    return vectors.lookup(_chunks(spark, sf_dir), relations).select("pos", "chunk_id", "doc_id", "chunk_index")
+
+
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"))
     new = rows.where("chunk_id % 3 = 0").select((F.col("chunk_id") + 100).alias("chunk_id"), F.lit(-1).alias("doc_id"))
@@ -247,12 +253,12 @@ def date_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.round(bonus, 9).alias("bonus"))
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Per document, its chunks in order and its relations' chunks, as the two lists of a question."""
+def _lists(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Per document, its chunks in order (the first ten, or all) and its relations' chunks, as the two lists of a question."""
     chunks = _chunks(spark, sf_dir)
     vector = chunks.select(F.col("doc_id").alias("query_id"), "chunk_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", "chunk_id")).alias("rank"))
     hits = _merged(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "chunk_id", "confidence", F.col("seq").alias("pos"))
-    return vector.where(F.col("rank") <= 10), retrieval.graph_channel(hits, chunks)
+    return vector if whole else vector.where(F.col("rank") <= 10), retrieval.graph_channel(hits, chunks)
 
 
 def graph_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,29 +273,34 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse(*_lists(spark, sf_dir), 5).select("query_id", "chunk_id", "channel", "rank", F.round("score", 9).alias("score"))
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five chunks of each document as its evidence."""
-    ranked = _lists(spark, sf_dir)[0].where(F.col("rank") <= 5).withColumn("score", F.lit(1.0) / F.col("rank"))
+def rank_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.fuse(*_lists(spark, sf_dir, True), 5).select("query_id", "chunk_id", "channel", "rank", F.round("score", 9).alias("score"))
+
+
+def _evidence(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The first five chunks of each document, or all, as its evidence."""
+    listed = _lists(spark, sf_dir, whole)[0]
+    ranked = (listed if whole else listed.where(F.col("rank") <= 5)).withColumn("score", F.lit(1.0) / F.col("rank"))
     return retrieval.with_chunks(ranked, _chunks(spark, sf_dir))
 
 
-def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answering.citations(_evidence(spark, sf_dir)).withColumns({"score": F.round("score", 6), "page_number": F.col("page_number").cast("string")})
+def citations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return answering.citations(_evidence(spark, sf_dir, whole)).withColumns({"score": F.round("score", 6), "page_number": F.col("page_number").cast("string")})
 
 
 def first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", answering.first_sentence(F.col("text")).alias("sentence"))
 
 
-def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = _evidence(spark, sf_dir)
+def prompt_texts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    evidence = _evidence(spark, sf_dir, whole)
     asked = evidence.select("query_id", F.col("query_id").alias("question")).distinct()
     relations = _merged(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("seq").alias("pos"), "source", "relation", "target")
     return answering.prompts(asked, evidence, relations).select("query_id", "n_evidence", F.md5("prompt").alias("prompt_md5"))
 
 
-def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = _evidence(spark, sf_dir)
+def extractive_answers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    evidence = _evidence(spark, sf_dir, whole)
     asked = evidence.select("query_id", F.col("query_id").alias("question")).distinct()
     return answering.answers(answering.prompts(asked, evidence)).select("query_id", "answer")
 
@@ -351,11 +362,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     plain = [
         text_documents, labelled_dates, guessed_titles, token_counts, chunk_texts, chunk_pages, unsearchable, feature_totals, hash_embedding, hash_embedding_blake, content_features, content_embedding, content_embedding_blake,
-        cosine_topk, cosine_batch, cosine_scoped, chunk_lookup, vector_upsert, sentence_split, lexicon_mentions, company_names, quoted_names, relation_labels, extracted_relations,
-        merged_relations, graph_entities, graph_counts, question_terms, graph_seeds, simple_edges, node_styles, date_bonus, graph_channel, graph_evidence, rank_fusion,
+        cosine_topk, cosine_batch, cosine_scoped, chunk_lookup, chunk_lookup_all, vector_upsert, sentence_split, lexicon_mentions, company_names, quoted_names, relation_labels, extracted_relations,
+        merged_relations, graph_entities, graph_counts, question_terms, graph_seeds, simple_edges, node_styles, date_bonus, graph_channel, graph_evidence, rank_fusion, rank_fusion_all,
         citations, first_sentences, prompt_texts, extractive_answers, catalog_rows, catalog_listing, catalog_display, catalog_get, engine_stats, payload_codec, p5_found,
     ]
     out: dict[str, Query] = {f.__name__: f for f in plain}
+    out |= {f"{f.__name__}_all": partial(f, whole=True) for f in (citations, prompt_texts, extractive_answers)}
     out |= {"graph_one_hop": _search(1), "graph_two_hops": _search(2), "graph_limit": _search(2, 3), "graph_fallback": _search(2, 30, "native", True), "graph_path_dialect": _search(2, 30, "path")}
     out |= {"answers_vector": _answered("vector"), "answers_graph": _answered("graph"), "answers_hybrid": _answered("hybrid")}
     return out

@@ -195,6 +195,8 @@ def statements() -> dict[str, str]:
         "engine_stats": f"""WITH {CATALOG}, {MERGED} SELECT (SELECT count(*) FROM cat) AS documents, (SELECT count(DISTINCT chunk_id) FROM chunks) AS chunks, (SELECT count(*) FROM (SELECT source, source_type FROM merged UNION SELECT target, target_type FROM merged)) AS entities, (SELECT count(*) FROM merged) AS relations""",
         "payload_codec": """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, '{"k":' || json_extract(props, '$.k') || '}' AS payload FROM events""",
     }
+    whole = {"rank_fusion": " QUALIFY rank <= 10", "citations": " WHERE v.rank <= 5", "prompt_texts": " WHERE v.rank <= 5", "extractive_answers": " WHERE v.rank <= 5", "chunk_lookup": " WHERE r.seq % 100 = 0"}
+    out |= {f"{name}_all": out[name].replace(cut, "").replace(" QUALIFY rank <= 10)", ")") for name, cut in whole.items()}
     contents = f"WITH {CHUNKS}, {_embedded('ce', 'SELECT chunk_id AS id, content AS text FROM chunk_rows WHERE content IS NOT NULL')}"
     out["content_embedding"] = f"{contents} SELECT id AS chunk_id, place, round(value, 6) AS value FROM ce_v"
     out["content_features"] = f"{contents} SELECT feature, count(*) AS n FROM (SELECT unnest(w) AS feature FROM ce_u UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || '::' || w[i + 1])) FROM ce_u WHERE len(w) > 1) GROUP BY feature"

@@ -169,7 +169,7 @@ def test_sql_has_queries():
 CORE = ["token_counts", "chunk_texts", "chunk_pages", "hash_embedding", "cosine_batch", "lexicon_mentions", "relation_labels", "merged_relations", "question_terms", "graph_seeds", "graph_two_hops", "node_styles", "rank_fusion", "prompt_texts", "catalog_rows"]
 
 
-WHOLE = ["content_features", "content_embedding"]
+WHOLE = ["content_features", "content_embedding", "chunk_lookup_all", "rank_fusion_all", "citations_all", "prompt_texts_all", "extractive_answers_all"]
 
 
 @pytest.mark.parametrize("name", [*CORE, *WHOLE])
