@@ -3,9 +3,10 @@
 A log-structured fingerprint index. Of every text, windows of ``WINDOW`` characters are hashed and
 the smallest hash of each stretch is kept (winnowing), so that any span of ``span`` characters
 keeps at least one window whatever surrounds it. A batch's kept hashes become a sorted immutable
-run (hash, smallest and largest key). Adding a batch joins its run with the runs there are; runs
-of a tier are compacted to one of the next, still one row a hash, so that a hash that stands in a
-third of the texts costs one row. Hashes with two keys are shared. Verification hashes, in texts
+run (hash, smallest and largest key). Adding a batch writes its run beside the runs there are; full
+tiers are compacted to one run of the next by union and groupBy, still one row a hash, so that a hash
+that stands in a third of the texts costs one row; all runs are put together when the index is read.
+``shared_spans`` builds one run unless it is given more batches. Hashes with two keys are shared. Verification hashes, in texts
 that hold a shared window, every span of ``span`` characters whose own smallest window is shared,
 and keeps the spans that stand in two records; their union is what is covered.
 
