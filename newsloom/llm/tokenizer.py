@@ -6,7 +6,8 @@ the tokens of the part that no later character can change. A boundary between tw
 settled when no vocabulary entry can lie across it, given the characters on both sides: then no
 merge crosses it, and both sides can be encoded apart. Chinese text settles after a character or
 two, so the lookahead is bounded by the vocabulary. ASCII words settle at their end only, as any two
-letters stand in some entry; such a word is one transition from the start state. A pretoken that
+letters stand in some entry; a pretoken of ASCII characters doesn't go through the transducer but is
+merged directly and memoised as a whole. A pretoken that
 stays unsettled for more than ``LOOKAHEAD`` bytes (long runs of one letter) is merged directly
 with a heap, with the same result.
 
