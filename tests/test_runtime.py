@@ -2,7 +2,7 @@
 
 import glob
 
-from newsloom.runtime import drop, materialize, release, shared_dir
+from newsloom.runtime import drop, materialize, shared_dir
 
 
 def test_written_tables(spark):
@@ -14,4 +14,3 @@ def test_written_tables(spark):
     assert glob.glob(f"{path}/*.parquet")
     drop(made, spark.range(1))
     assert not glob.glob(f"{path}/*.parquet")
-    release(spark)
