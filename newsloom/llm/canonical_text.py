@@ -1,11 +1,13 @@
 """One form for texts that look the same (problem 6).
 
-A quick-check class holds every character that the canonical form changes, or that can join with
-the character before it. Text outside it is stable and is copied as it is. An unstable segment, a
+A quick-check class holds every character that the canonical form changes (NFC quick check No, or a
+mapping below) or that may join with characters before it (quick check Maybe, or a combining class other
+than 0). Text outside it is stable and is copied as it is. An unstable segment, a
 run of such characters with the one before it as boundary context, is mapped and composed alone
 and spliced back. Mapping: characters without a shape of their own (zero-width, soft hyphen, bidi
 marks, variation selectors) vanish, wide and narrow forms, compatibility ideographs, radicals and
-ligatures become plain, every one-character space becomes U+0020; then NFC. Superscripts, circled
+ligatures become plain, every one-character space becomes U+0020, before and after the text is taken
+apart; then NFC. Superscripts, circled
 and squared characters look different and stay. Look-alike letters of other scripts become Latin
 where the whole word then reads as ASCII letters with accents; the table comes from the Unicode
 confusables shipped with Spark's ICU, case kept.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.runtime import drop, materialize
+from newsloom.runtime import drop, expand_links, materialize, pairs_within
 
 #: The decompositions that keep the look of a character.
 _KEPT_TAGS = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
@@ -34,7 +36,6 @@ _KEPT_TAGS = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<initial
 _IGNORABLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
 #: Scripts whose letters may pass for Latin ones: Greek, Cyrillic, Armenian, Cherokee, Lisu and letter-like forms.
 _ALIKE = [(0x370, 0x3FF), (0x400, 0x52F), (0x531, 0x58F), (0x13A0, 0x13FF), (0x1C80, 0x1C8F), (0x2C60, 0x2C7F), (0x2C80, 0x2CFF), (0xA4D0, 0xA4FF), (0xA640, 0xA69F), (0xAB70, 0xABBF)]
-EXPAND = 200
 _ASCII_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 
@@ -71,16 +72,28 @@ def _plain_forms() -> dict[str, str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def joining() -> frozenset[str]:
+    """Characters of NFC quick check Maybe: the ones that end the decomposition of a character that composes again."""
+    found = {chr(c) for a, b in ((0x1161, 0x1175), (0x11A8, 0x11C2)) for c in range(a, b + 1)}
+    for c in range(0xC0, 0x20000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", "".join(chr(int(p, 16)) for p in parts)) == chr(c):
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
 @lru_cache(maxsize=1)
 def _unstable() -> re.Pattern[str]:
     """A segment: unstable characters with the stable one before them."""
-    plain = _plain_forms()
+    plain, maybe = _plain_forms(), joining()
     ranges: list[list[int]] = []
     for c in range(0x80, 0xE1000):
         if 0xD800 <= c < 0xE000 or 0x30000 <= c < 0xE0000:
             continue
         char = chr(c)
-        if char in plain or unicodedata.combining(char) or not unicodedata.is_normalized("NFC", char) or 0x1161 <= c <= 0x11FF:
+        apart = unicodedata.normalize("NFD", char)
+        if char in maybe or unicodedata.combining(char) or not unicodedata.is_normalized("NFC", char) or any(p in plain for p in (char, *apart)):
             if ranges and ranges[-1][1] == c - 1:
                 ranges[-1][1] = c
             else:
@@ -103,7 +116,8 @@ class Canonicalizer:
         if "\u200d" in text:
             after = found.string[found.end() : found.end() + 1]
             text = re.sub("\u200d", lambda m: "\U000f0000" if self._pictograph(text[: m.start()], text[m.end() :] + after) else "", text)
-        return unicodedata.normalize("NFC", text.translate(self.plain)).replace("\U000f0000", "\u200d")
+        apart = unicodedata.normalize("NFD", text.translate(self.plain))
+        return unicodedata.normalize("NFC", apart.translate(self.plain)).replace("\U000f0000", "\u200d")
 
     @staticmethod
     def _pictograph(before: str, after: str) -> bool:
@@ -179,32 +193,49 @@ def _digests(records: DataFrame) -> DataFrame:
     return records.where("text is not null and rec_id is not null").select("rec_kind", "rec_id", "text").mapInArrow(run, "rec_kind string, rec_id string, raw binary, form binary")
 
 
-def same_looking(records: DataFrame) -> DataFrame:
-    """``rec_kind, id_a, id_b`` of records (rec_kind, rec_id, text) that look the same and differ.
+def spellings(records: DataFrame) -> DataFrame:
+    """``rec_kind, form, raw, rec_id`` of records whose text has another spelling that looks the same; a written table.
 
-    Blank forms show no text and pair with nothing. Groups with one spelling are left out by an
-    aggregate before any row is paired, so that a text copied any number of times pairs nothing.
-    Of a spelling with more than ``EXPAND`` exact copies, the smallest id pairs with all other
-    spellings' records, and the other copies with the smallest id of each other spelling.
+    Blank forms show no text. Groups with one spelling are left out by an aggregate, so that a text
+    copied any number of times costs nothing more.
     """
     rows = materialize(_digests(records).where("form is not null"), "forms")
     varied = rows.groupBy("rec_kind", "form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("rec_kind", "form")
     kept = materialize(rows.join(varied, ["rec_kind", "form"], "left_semi").distinct(), "varied")
     drop(rows)
-    spellings = kept.groupBy("rec_kind", "form", "raw").agg(F.min("rec_id").alias("first"), F.count("*").alias("copies"))
-    marked = materialize(kept.join(spellings, ["rec_kind", "form", "raw"]), "marked")
-    few = marked.where(f"copies <= {EXPAND} or rec_id = first").select("rec_kind", "form", "raw", "rec_id")
-    many = marked.where(f"copies > {EXPAND} and rec_id <> first").select("rec_kind", "form", "raw", "rec_id")
-    firsts = spellings.select("rec_kind", "form", F.col("raw").alias("raw_b"), F.col("first").alias("y"))
-    other = few.select("rec_kind", "form", F.col("raw").alias("raw_b"), F.col("rec_id").alias("y"))
-    pairs = few.join(other, ["rec_kind", "form"]).where("raw < raw_b").unionByName(many.join(firsts, ["rec_kind", "form"]).where("raw <> raw_b"))
-    return pairs.where("rec_id <> y").select("rec_kind", F.least("rec_id", "y").alias("id_a"), F.greatest("rec_id", "y").alias("id_b")).distinct()
+    return kept
+
+
+def same_looking(records: DataFrame) -> DataFrame:
+    """``rec_kind, id_a, id_b`` of records (rec_kind, rec_id, text) that look the same and differ.
+
+    Spellings of one form are paired, then the records of both written out, each in blocks of
+    bounded size; exact copies pair with each other's spellings only.
+    """
+    kept = spellings(records)
+    linked = pairs_within(kept.select("rec_kind", "form", "raw").distinct(), ["rec_kind", "form"], ["raw"], F.lit(True)).select("rec_kind", F.col("a_raw").alias("a"), F.col("b_raw").alias("b"))
+    pairs = expand_links(linked, kept.select("rec_kind", F.col("raw").alias("group"), F.col("rec_id").alias("id")), ["rec_kind"])
+    return pairs.where("x <> y").select("rec_kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def same_looking_classes(records: DataFrame) -> DataFrame:
+    """``rec_kind, rec_id, class_id, spellings``: a row for each record that looks like one of other characters; the smallest id of that look, and its number of spellings."""
+    kept = spellings(records)
+    classes = kept.groupBy("rec_kind", "form").agg(F.min("rec_id").alias("class_id"), F.count_distinct("raw").alias("spellings"))
+    return kept.join(classes, ["rec_kind", "form"]).select("rec_kind", "rec_id", "class_id", "spellings").distinct()
+
+
+def _records(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    return chunks.select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").alias("rec_id"), F.col("content").alias("text")).unionByName(
+        entities.select(F.lit("entity").alias("rec_kind"), F.col("entity_id").cast("string").alias("rec_id"), F.col("name").alias("text"))
+    )
 
 
 def found_same_looking(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """Pairs among chunk contents and among entity names."""
-    return same_looking(
-        chunks.select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").alias("rec_id"), F.col("content").alias("text")).unionByName(
-            entities.select(F.lit("entity").alias("rec_kind"), F.col("entity_id").cast("string").alias("rec_id"), F.col("name").alias("text"))
-        )
-    )
+    return same_looking(_records(chunks, entities))
+
+
+def classes_of(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """As found_same_looking, a row a record."""
+    return same_looking_classes(_records(chunks, entities))

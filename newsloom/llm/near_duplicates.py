@@ -10,10 +10,12 @@ similarity by ``SIGMAS`` standard deviations (a chance of 3 in a million to lose
 Jaccard similarity of every other pair is computed exactly.
 
 Shingles are sets of code points as written. A record with fewer than ``k`` characters has no
-shingle and matches nothing; null texts match nothing. Equal texts form one class: keys and
-comparisons use one member. Pairs are given between all members of matching classes, but a class
-of more than ``EXPAND`` copies is given by its smallest id: links to the other copies, and links
-of the class to other texts through that id. Classes are told apart by a 64-bit hash.
+shingle and matches nothing; null texts match nothing. Equal texts form one class, told apart by a
+64-bit hash: keys and comparisons use one member. ``near_duplicates`` gives the links between classes
+and the members of each class, which is linear in the number of copies; ``near_duplicate_pairs`` writes
+out all pairs of records from that, however many copies a class has. Members of a band, of a class and of two
+linked classes meet in blocks of bounded size (``pairs_within``, ``expand_links``), so that one key that a third
+of the records have is work of many tasks. An empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.runtime import drop, materialize, release
+from newsloom.runtime import drop, expand_links, materialize, pairs_within
 
-EXPAND = 200
 BITS, SIGMAS = 128, 4.5
 SEEN = 500_000
+KEPT_SHINGLES = 400_000  # that a task keeps between pairs
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -57,8 +59,8 @@ class Measure:
         return int(BITS * (1 - agree) + SIGMAS * (BITS * agree * (1 - agree)) ** 0.5)
 
 
-CHUNK = Measure("chunk", 5, 0.6, 32, 4)
-TITLE = Measure("title", 2, 0.75, 36, 7)
+CHUNK = Measure("chunk", 5, 0.6, 48, 4)
+TITLE = Measure("title", 2, 0.75, 44, 7)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -164,14 +166,17 @@ def _verify(pairs: DataFrame, measures: dict[str, Measure]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[tuple[str, int], frozenset[str]] = OrderedDict()
+        held = 0
 
         def shingles(kind: str, text_class: int, text: str) -> frozenset[str]:
+            nonlocal held
             found = known.get((kind, text_class))
             if found is None:
                 k = measures[kind].k
                 found = known[kind, text_class] = frozenset(text[i : i + k] for i in range(len(text) - k + 1))
-                if len(known) > 2000:
-                    known.popitem(last=False)
+                held += len(found)
+                while held > KEPT_SHINGLES and len(known) > 2:
+                    held -= len(known.popitem(last=False)[1])
             return found
 
         for batch in batches:
@@ -185,8 +190,11 @@ def _verify(pairs: DataFrame, measures: dict[str, Measure]) -> DataFrame:
     return pairs.select("rec_kind", "a", "b", "text_a", "text_b").mapInArrow(run, "rec_kind string, a bigint, b bigint")
 
 
-def near_duplicate_pairs(records: DataFrame, measures: list[Measure]) -> DataFrame:
-    """``rec_kind, id_a, id_b`` of records (rec_kind, rec_id, text) that are nearly the same."""
+def near_duplicates(records: DataFrame, measures: list[Measure]) -> tuple[DataFrame, DataFrame]:
+    """Links ``rec_kind, a, b`` between classes of equal texts, and members ``rec_kind, text_class, rec_id``.
+
+    ``records``: rec_kind, rec_id, text. All records of the measures' kinds with a shingle are members.
+    """
     by_kind = {m.kind: m for m in measures}
     enough = F.lit(False)
     for m in measures:
@@ -196,8 +204,6 @@ def near_duplicate_pairs(records: DataFrame, measures: list[Measure]) -> DataFra
     by_class = Window.partitionBy("band").orderBy("text_class")
     neighbours = _bands(rows, by_kind).withColumns({"before": F.lag("text_class").over(by_class), "after": F.lead("text_class").over(by_class)})
     kept = materialize(neighbours.where("before <> text_class or after <> text_class").select("band", "text_class").distinct(), "kept-bands")
-    del neighbours
-    release(records.sparkSession)
     asked = kept.select("text_class").distinct()
     texts = materialize(_signed(rows.select("rec_kind", "text_class", "text").join(asked, "text_class", "left_semi").dropDuplicates(["text_class"]), by_kind), "texts")
     signed = materialize(kept.join(texts.select("text_class", "rec_kind", "high", "low"), "text_class"), "signed")
@@ -205,36 +211,47 @@ def near_duplicate_pairs(records: DataFrame, measures: list[Measure]) -> DataFra
     most = F.lit(0)
     for m in measures:
         most = F.when(F.col("rec_kind") == m.kind, m.most_unequal).otherwise(most)
-    other = signed.select("band", F.col("text_class").alias("b"), F.col("high").alias("high_b"), F.col("low").alias("low_b"))
-    unequal = F.bit_count(F.col("high").bitwiseXOR(F.col("high_b"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("low_b")))
-    candidates = materialize(signed.withColumnRenamed("text_class", "a").join(other, "band").where((F.col("a") < F.col("b")) & (unequal <= most)).select("a", "b").distinct(), "candidates")
+    unequal = F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high"))) + F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low")))
+    near = pairs_within(signed, ["rec_kind", "band"], ["text_class", "high", "low"], unequal <= most)
+    candidates = materialize(near.select(F.least("a_text_class", "b_text_class").alias("a"), F.greatest("a_text_class", "b_text_class").alias("b")).distinct(), "candidates")
     left = texts.select("rec_kind", F.col("text_class").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("text_class").alias("b"), F.col("text").alias("text_b"))
     linked = materialize(_verify(candidates.join(right, "b").join(left, "a"), by_kind), "linked")
-
     drop(signed, texts, candidates)
-    release(records.sparkSession)
-    members = materialize(rows.select("rec_kind", "text_class", "rec_id").distinct(), "members")
-    classes = members.groupBy("rec_kind", "text_class").agg(F.count("*").alias("copies"), F.min("rec_id").alias("first"))
-    touched = linked.select("rec_kind", F.col("a").alias("text_class")).union(linked.select("rec_kind", "b")).distinct().withColumn("linked", F.lit(True))
-    classes = classes.join(touched, ["rec_kind", "text_class"], "left").where("linked or copies > 1")
-    involved = materialize(members.join(classes, ["rec_kind", "text_class"]), "involved")
-    small = involved.where((F.col("copies") <= EXPAND) | (F.col("rec_id") == F.col("first")))
-    own = classes.where(F.col("copies").between(2, EXPAND)).select("rec_kind", F.col("text_class").alias("a"), F.col("text_class").alias("b"))
-    expanded = (
-        linked.unionByName(own)
-        .join(small.select("rec_kind", F.col("text_class").alias("a"), F.col("rec_id").alias("x")), ["rec_kind", "a"])
-        .join(small.select("rec_kind", F.col("text_class").alias("b"), F.col("rec_id").alias("y")), ["rec_kind", "b"])
-        .where((F.col("a") != F.col("b")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y")))
-        .select("rec_kind", "x", "y")
+    return linked, materialize(rows.select("rec_kind", "text_class", "rec_id").distinct(), "members")
+
+
+def near_duplicate_pairs(records: DataFrame, measures: list[Measure]) -> DataFrame:
+    """``rec_kind, id_a, id_b`` of all records (rec_kind, rec_id, text) that are nearly the same, copies included."""
+    linked, members = near_duplicates(records, measures)
+    several = members.groupBy("rec_kind", "text_class").agg(F.count("*").alias("n")).where("n > 1").select("rec_kind", "text_class")
+    copies = materialize(members.join(several, ["rec_kind", "text_class"], "left_semi"), "copies")
+    own = pairs_within(copies, ["rec_kind", "text_class"], ["rec_id"], F.lit(True)).select("rec_kind", F.col("a_rec_id").alias("x"), F.col("b_rec_id").alias("y"))
+    ends = linked.select("rec_kind", F.col("a").alias("text_class")).unionByName(linked.select("rec_kind", F.col("b").alias("text_class"))).distinct()
+    groups = materialize(members.join(ends, ["rec_kind", "text_class"], "left_semi").select("rec_kind", F.col("text_class").alias("group"), F.col("rec_id").alias("id")), "groups")
+    across = expand_links(linked, groups, ["rec_kind"]).where("x <> y")
+    return across.unionByName(own).select("rec_kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def near_duplicate_classes(records: DataFrame, measures: list[Measure]) -> DataFrame:
+    """``rec_kind, rec_id, class_id, links``: a row a record; the smallest id with its text, and the number of other texts that are nearly the same."""
+    linked, members = near_duplicates(records, measures)
+    ends = linked.select("rec_kind", F.col("a").alias("text_class")).unionByName(linked.select("rec_kind", F.col("b").alias("text_class")))
+    classes = members.groupBy("rec_kind", "text_class").agg(F.min("rec_id").alias("class_id")).join(ends.groupBy("rec_kind", "text_class").agg(F.count("*").alias("links")), ["rec_kind", "text_class"], "left")
+    return members.join(classes, ["rec_kind", "text_class"]).select("rec_kind", "rec_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _records(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    return chunks.select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").alias("rec_id"), F.col("content").alias("text")).unionByName(
+        documents.select(F.lit("title").alias("rec_kind"), F.col("doc_id").cast("string").alias("rec_id"), F.col("title").alias("text"))
     )
-    stars = involved.where((F.col("copies") > EXPAND) & (F.col("rec_id") != F.col("first"))).select("rec_kind", F.col("first").alias("x"), F.col("rec_id").alias("y"))
-    return expanded.unionByName(stars).select("rec_kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def found_near_duplicates(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunk contents by 5-character and titles by 2-character substrings."""
-    rows = chunks.select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").alias("rec_id"), F.col("content").alias("text")).unionByName(
-        documents.select(F.lit("title").alias("rec_kind"), F.col("doc_id").cast("string").alias("rec_id"), F.col("title").alias("text"))
-    )
-    return near_duplicate_pairs(rows, [CHUNK, TITLE])
+    return near_duplicate_pairs(_records(chunks, documents), [CHUNK, TITLE])
+
+
+def classes_of(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """As found_near_duplicates, a row a record."""
+    return near_duplicate_classes(_records(chunks, documents), [CHUNK, TITLE])

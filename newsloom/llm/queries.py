@@ -23,6 +23,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.found_variants(*(_table(spark, sf_dir, t) for t in ("entities", "relations", "lexicon")))
 
 
+def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.bodies_of(*(_table(spark, sf_dir, t) for t in ("entities", "relations", "lexicon")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized(_table(spark, sf_dir, "parsed_pages"), _table(spark, sf_dir, "chunks"))
 
@@ -35,10 +39,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.found_near_duplicates(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "documents"))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes_of(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "documents"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_text.found_same_looking(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "entities"))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_text.classes_of(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "entities"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_documents(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +64,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_bodies, p3_found, p3_pieces, p4_found, p4_classes, p6_found, p6_classes, p7_ids, p8_containers, p9_found)}
 
 
 WHITE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

@@ -2,21 +2,28 @@
 
 A log-structured fingerprint index. Of every text, windows of ``WINDOW`` characters are hashed and
 the smallest hash of each stretch is kept (winnowing), so that any span of ``span`` characters
-keeps at least one window whatever surrounds it. A batch's kept hashes become a sorted immutable
-run (hash, smallest and largest key). Adding a batch writes its run beside the runs there are; full
-tiers are compacted to one run of the next by union and groupBy, still one row a hash, so that a hash
-that stands in a third of the texts costs one row; all runs are put together when the index is read.
-``shared_spans`` builds one run unless it is given more batches. Hashes with two keys are shared. Verification hashes, in texts
-that hold a shared window, every span of ``span`` characters whose own smallest window is shared,
-and keeps the spans that stand in two records; their union is what is covered.
+keeps at least one window whatever surrounds it. A batch's kept hashes become an immutable run of (hash,
+smallest and largest key), bucketed and sorted by hash like all runs of the index. Adding a batch
+merge-joins its run with the runs there are: a hash of the batch that another record holds is a hit of the
+batch's records, and of the old record if it was the only one until then. So every record meets each
+hash that it shares once, when its second holder arrives, and a hash that stands in a third of the texts
+costs one row a run. Hits wait in a log until they are verified: the texts that are hit, no others, are
+read, every span of ``span`` characters whose own smallest window was hit is hashed, and these marks are
+appended. A full tier of runs is verified and then compacted to one run of the next.
+
+The index lives in a folder (numbered versions, see ``sources.versions``) and can be opened by another session.
+``FingerprintIndex.spans`` gives what is shared; ``shared_spans`` adds a table in ``BATCHES`` batches by a hash
+of the key and reports.
 
 Spans are compared by 64-bit hashes of their characters (two unequal spans of n agree with
 probability n * n / 2**65 in all). Null, empty and short texts share nothing. A repeated key is one
-record. Exact copies under different keys share their whole text.
+record. Exact copies under different keys share their whole text. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.runtime import drop, materialize, release
+from newsloom.runtime import drop, file_system, materialize, settings, table_path
+from newsloom.sources.versions import Versions
 
 SPAN = 120
 WINDOW = 40
-FANOUT = 4
+FANOUT = 8
+BATCHES = 8
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -109,92 +118,179 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return documents.where(F.length(text) >= span).select(F.col(key).alias("rec"), text).mapInArrow(run, f"rec {kind}, fp bigint")
 
 
-class FingerprintIndex:
-    """Sorted runs of (fp, low, high): the smallest and largest key that each hash stands in."""
+_MERGED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark = spark
-        self.fanout = fanout
-        self.tiers: list[list[DataFrame]] = [[]]
+class FingerprintIndex:
+    """Runs (fp, low, high) in tiers, hits that wait (rec, fp), and verified marks (mark, rec, place), in a folder.
 
-    @staticmethod
-    def _folded(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("fp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    ``buckets`` is the number of files of a run; it is fixed when the index is made (by default the session's
+    shuffle partitions) and is to be chosen for the size the index will have.
+    """
 
-    def add(self, prints: DataFrame) -> None:
-        """Write the batch as a run; compact tiers that are full."""
-        run = self._folded(prints.select("fp", F.col("rec").alias("low"), F.col("rec").alias("high")))
-        self.tiers[0].append(materialize(run.sortWithinPartitions("fp"), "fp-run"))
+    def __init__(self, spark: SparkSession, root: str, kind: str = "bigint", span: int = SPAN, window: int = WINDOW, fanout: int = FANOUT, buckets: int | None = None):
+        if not 0 < window < span:
+            raise ValueError("window must be shorter than span")
+        self.spark, self.root, self.fanout = spark, root.rstrip("/"), fanout
+        self.versions = Versions(spark, self.root)
+        self.number, found = self.versions.latest()
+        self.state = found or {"span": span, "window": window, "kind": kind, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "tiers": [[]], "pending": [], "marks": []}
+        self.tables: dict[str, DataFrame] = {}
+
+    # tables
+
+    def _new(self, name: str) -> str:
+        return os.path.join(self.root, f"{name}-{uuid.uuid4().hex}")
+
+    def run(self, path: str) -> DataFrame:
+        """A run as a bucketed, sorted table."""
+        if path not in self.tables:
+            name, kind = f"newsloom_{uuid.uuid4().hex}", self.state["kind"]
+            self.spark.sql(f"CREATE TABLE {name} (fp BIGINT, low {kind}, high {kind}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.state['buckets']} BUCKETS LOCATION '{path}'")
+            self.tables[path] = self.spark.table(name)
+        return self.tables[path]
+
+    def _write_run(self, folded: DataFrame) -> str:
+        """Write rows that are hashed by fp into as many partitions as there are buckets: a file a bucket."""
+        path, name = self._new("run"), f"newsloom_{uuid.uuid4().hex}"
+        folded.write.format("parquet").bucketBy(self.state["buckets"], "fp").sortBy("fp").option("path", path).option("compression", "zstd").saveAsTable(name)
+        self.tables[path] = self.spark.table(name)
+        return path
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _settings(self) -> dict[str, str]:
+        return _MERGED | {"spark.sql.shuffle.partitions": str(self.state["buckets"]), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+    def runs(self) -> list[str]:
+        return [path for tier in self.state["tiers"] for path in tier]
+
+    # adding
+
+    def hits(self, run: DataFrame, olds: list[DataFrame]) -> DataFrame:
+        """``fp, old``: hashes of a batch's run that two records hold; ``old``: the one record that held it before.
+
+        All sides are bucketed and sorted by fp: a merge join without a shuffle or a sort.
+        """
+        joined, low, high = run, [F.col("low")], [F.col("high")]
+        for i, old in enumerate(olds):
+            joined = joined.join(old.select("fp", F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}")).hint("merge"), "fp", "left")
+            low.append(F.col(f"low{i}"))
+            high.append(F.col(f"high{i}"))
+        least, most = (F.least(*low), F.greatest(*high)) if olds else (low[0], high[0])
+        old_low = F.coalesce(F.least(*low[1:]), low[1]) if len(olds) > 1 else low[1] if olds else F.lit(None)
+        old_high = F.coalesce(F.greatest(*high[1:]), high[1]) if len(olds) > 1 else high[1] if olds else F.lit(None)
+        return joined.where(least != most).select("fp", F.when(old_low == old_high, old_low).cast(self.state["kind"]).alias("old"))
+
+    def add(self, documents: DataFrame, key: str = "doc_id", text: str = "text", corpus: DataFrame | None = None) -> None:
+        """Add a batch. ``corpus`` holds the texts of all keys added so far, for the verification of full tiers."""
+        s = self.state
+        prints = materialize(fingerprints(documents, key, text, s["span"], s["window"]), "fps")
+        with settings(self.spark, self._settings()):
+            folded = prints.groupBy("fp").agg(F.min("rec").alias("low"), F.max("rec").alias("high"))
+            fresh = self._write_run(folded)
+            hits = self.hits(self.run(fresh), [self.run(p) for p in self.runs()])
+            pending = self._new("hits")
+            own = prints.join(hits.select("fp"), "fp", "left_semi").select("rec", "fp")
+            own.unionByName(hits.where("old is not null").select(F.col("old").alias("rec"), "fp")).write.option("compression", "zstd").parquet(pending)
+        drop(prints)
+        s["tiers"][0].append(fresh)
+        s["pending"].append(pending)
+        gone: list[str] = []
+        if len(s["tiers"][0]) >= self.fanout and corpus is not None:
+            gone += self._verified(corpus, key, text)
         tier = 0
-        while len(self.tiers[tier]) >= self.fanout:
-            runs, self.tiers[tier] = self.tiers[tier], []
-            if tier + 1 == len(self.tiers):
-                self.tiers.append([])
-            self.tiers[tier + 1].append(materialize(self._merge(runs).sortWithinPartitions("fp"), "fp-run"))
-            drop(*runs)
+        while len(s["tiers"][tier]) >= self.fanout:
+            runs, s["tiers"][tier] = s["tiers"][tier], []
+            if tier + 1 == len(s["tiers"]):
+                s["tiers"].append([])
+            s["tiers"][tier + 1].append(self._compacted(runs))
+            gone += runs
             tier += 1
+        self._publish(gone)
 
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
+    def _compacted(self, runs: list[str]) -> str:
+        rows = self.run(runs[0])
         for more in runs[1:]:
-            rows = rows.unionByName(more)
-        return self._folded(rows)
-
-    def runs(self) -> list[DataFrame]:
-        return [run for tier in self.tiers for run in tier]
-
-    def shared(self) -> DataFrame:
-        """``fp`` of every hash that stands in two records."""
-        runs = self.runs()
-        rows = runs[0] if len(runs) == 1 else self._merge(runs)
-        return rows.where("low <> high").select("fp")
-
-
-def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, window: int = WINDOW, batches: int = 1) -> DataFrame:
+            rows = rows.unionByName(self.run(more))
+        with settings(self.spark, self._settings()):
+            return self._write_run(rows.groupBy("fp").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+
+    def _publish(self, gone: list[str]) -> None:
+        """The new version holds before the files it doesn't name are deleted; a reader of the old one fails and retries."""
+        self.number = self.versions.publish(self.number, self.state)
+        for path in gone:
+            self.tables.pop(path, None)
+            system, target = file_system(self.spark, path)
+            system.delete(target, True)
+
+    # verification
+
+    def verify(self, corpus: DataFrame, key: str = "doc_id", text: str = "text") -> None:
+        """Read the texts of the hits that wait and append their marks."""
+        self._publish(self._verified(corpus, key, text))
+
+    def _verified(self, corpus: DataFrame, key: str, text: str) -> list[str]:
+        s = self.state
+        span, window, kind = s["span"], s["window"], s["kind"]
+        if not s["pending"]:
+            return []
+
+        def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                marks, places, sizes = [], [], np.zeros(batch.num_rows, dtype=np.int64)
+                for i, (value, shared) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    at, hashes = kept_windows(value, span, window)
+                    kept = np.unique(at)
+                    good = np.zeros(len(hashes), dtype=bool)
+                    good[kept] = np.isin(hashes[kept], np.array(shared, dtype=np.int64).view(np.uint64))
+                    starts = np.flatnonzero(good[at])
+                    marks.append(_hashes(_prefix(value), span)[starts])
+                    places.append(starts.astype(np.int32))
+                    sizes[i] = len(starts)
+                mark = np.concatenate(marks).view(np.int64) if marks else np.zeros(0, np.int64)
+                place = np.concatenate(places) if places else np.zeros(0, np.int32)
+                recs = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
+                yield pa.RecordBatch.from_arrays([recs, pa.array(mark), pa.array(place)], names=["rec", "mark", "place"])
+
+        # a text has at most one hash a character
+        held = self._read(s["pending"], f"rec {kind}, fp bigint").groupBy("rec").agg(F.collect_set("fp").alias("fps"))
+        texts = corpus.where(F.length(text) >= span).select(F.col(key).alias("rec"), F.col(text).alias("body"))
+        path = self._new("marks")
+        with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            texts.join(held, "rec").select("rec", "body", "fps").mapInArrow(spans, f"rec {kind}, mark bigint, place int").write.option("compression", "zstd").parquet(path)
+        gone, s["pending"] = s["pending"], []
+        s["marks"].append(path)
+        return gone
+
+    # reading
+
+    def spans(self, key: str = "doc_id") -> DataFrame:
+        """``key, shared_chars`` of all records that share a verified span."""
+        span = self.state["span"]
+        marks = self._read(self.state["marks"], f"rec {self.state['kind']}, mark bigint, place int")
+        twice = marks.groupBy("mark").agg(F.min("rec").alias("low"), F.max("rec").alias("high")).where("low <> high").select("mark")
+        found = marks.join(twice, "mark", "left_semi").groupBy("rec").agg(F.array_sort(F.collect_set("place")).alias("places"))
+        covered = F.aggregate(
+            F.slice("places", 2, F.greatest(F.size("places") - 1, F.lit(0))),
+            F.struct(F.element_at("places", 1).alias("last"), F.lit(span).cast("bigint").alias("total")),
+            lambda acc, x: F.struct(x.alias("last"), (acc["total"] + F.least(F.lit(span), x - acc["last"])).alias("total")),
+            lambda acc: acc["total"],
+        )
+        return found.select(F.col("rec").alias(key), covered.alias("shared_chars"))
+
+
+def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, window: int = WINDOW, batches: int = BATCHES, root: str | None = None) -> DataFrame:
     """``key, shared_chars``: records with a span of ``span`` characters that another one holds.
 
-    ``batches``: the texts are added to the index in so many parts, by a hash of the key.
+    The texts are added to a fingerprint index in ``batches`` parts, by a hash of the key. ``root``: the
+    index's folder, which is kept; by default one that lasts as long as the application.
     """
-    if not 0 < window < span:
-        raise ValueError("window must be shorter than span")
     spark = documents.sparkSession
     rows = documents.select(key, text)
-    kind = documents.schema[key].dataType.simpleString()
-    prints = materialize(fingerprints(rows, key, text, span, window), "fps")
-    index = FingerprintIndex(spark)
+    index = FingerprintIndex(spark, root or table_path(spark, "fingerprints"), documents.schema[key].dataType.simpleString(), span, window)
     for part in range(batches):
-        index.add(prints if batches == 1 else prints.where(F.pmod(F.xxhash64("rec"), F.lit(batches)) == part))
-    release(spark)
-    held = prints.join(index.shared(), "fp", "left_semi").groupBy("rec").agg(F.collect_set("fp").alias("fps"))
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks, places, sizes = [], [], np.zeros(batch.num_rows, dtype=np.int64)
-            for i, (value, shared) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                at, hashes = kept_windows(value, span, window)
-                kept = np.unique(at)
-                good = np.zeros(len(hashes), dtype=bool)
-                good[kept] = np.isin(hashes[kept], np.array(shared, dtype=np.int64).view(np.uint64))
-                starts = np.flatnonzero(good[at])
-                marks.append(_hashes(_prefix(value), span)[starts])
-                places.append(starts.astype(np.int32))
-                sizes[i] = len(starts)
-            mark = np.concatenate(marks).view(np.int64) if marks else np.zeros(0, np.int64)
-            place = np.concatenate(places) if places else np.zeros(0, np.int32)
-            recs = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
-            yield pa.RecordBatch.from_arrays([recs, pa.array(mark), pa.array(place)], names=["rec", "mark", "place"])
-
-    texts = rows.where(F.length(text) >= span).select(F.col(key).alias("rec"), F.col(text).alias("body"))
-    marks = materialize(texts.join(held, "rec").select("rec", "body", "fps").mapInArrow(spans, f"rec {kind}, mark bigint, place int"), "spans")
-    drop(prints, *index.runs())
-    del held
-    release(spark)
-    twice = marks.groupBy("mark").agg(F.min("rec").alias("low"), F.max("rec").alias("high")).where("low <> high").select("mark")
-    found = marks.join(twice, "mark", "left_semi").groupBy("rec").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    covered = F.aggregate(
-        F.slice("places", 2, F.greatest(F.size("places") - 1, F.lit(0))),
-        F.struct(F.element_at("places", 1).alias("last"), F.lit(span).cast("bigint").alias("total")),
-        lambda acc, x: F.struct(x.alias("last"), (acc["total"] + F.least(F.lit(span), x - acc["last"])).alias("total")),
-        lambda acc: acc["total"],
-    )
-    return found.select(F.col("rec").alias(key), covered.alias("shared_chars"))
+        index.add(rows.where(F.pmod(F.xxhash64(key), F.lit(batches)) == part), key, text, rows)
+    index.verify(rows, key, text)
+    return index.spans(key)

@@ -1,16 +1,23 @@
 """The k most similar vectors for every vector (problem 1).
 
-Balanced posting lists. A bounded random sample (``SAMPLE`` vectors) is divided by k-means, again and
-again, until no cell holds more than its share, so that every list expects about ``LIST`` vectors
-however unequal the topics are. The cells' centroids and a neighbour graph over them are sent to
-the executors; a vector's nearest centroids are found by a best-first search of that graph from a
-few pivots. A vector is a member of its nearest list and of those about as near (boundary
-replicas), and asks the lists within a larger distance ratio. Each list compares its askers with
-its members exactly; the best of all lists are merged by query.
-
-Every vector is indexed and asked; recall against brute force is tested. The index grows with the
-input up to ``SAMPLE`` / ``LEAST_LEAF`` lists (its size bound); beyond, lists grow and are compared
-in blocks of bounded memory.
+Balanced posting lists in shards. A bounded random sample (``SAMPLE`` vectors) is divided by
+k-means, again and again, into regions of about ``REGION`` shards each. A random share of every
+region (``SHARE`` of its vectors, at most ``MOST_FITTED``) is divided in the same way, by a task a
+region, into shards that expect about ``SHARD`` vectors however unequal the topics are. So the number
+of shards grows with the input, and what the driver fits and sends (the regions' centroids and a
+neighbour graph over them) does not.
+
+A vector's region is found by a best-first search of the region graph. Vectors are sorted by region and
+stream past the centroids of that region's shards and of its ``NEIGHBOURS``', where a neighbour graph is
+searched in the same way: a vector is a member of its nearest shard and of those about as near (boundary
+replicas), and asks the shards within a distance ratio. A shard divides its members into
+posting lists of about ``LIST``, again with boundary replicas and a graph over the centroids; each of its
+askers is compared exactly with the lists within a distance ratio, and the best of all shards are
+merged by query. A vector travels once a shard, however many lists it asks there. A shard of more
+than ``LONGEST`` rows is divided into blocks, and every block of members meets every block of askers in a
+group of its own, so no group has more than about 2 * ``LONGEST`` rows.
+
+Every vector is indexed and asked; recall against brute force is tested.
 
 Null, empty, zero and non-finite vectors take no part, nor null ids. Vectors of a length other
 than ``dimensions`` (by default that of most of the sample) take no part. A repeated row is one
@@ -30,16 +37,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from newsloom.runtime import materialize, release
+from newsloom.runtime import drop, materialize
 
-SAMPLE = 100_000
-LIST = 200
+SAMPLE = 50_000
+REGION, NEIGHBOURS = 4, 64
+SHARD, LIST = 8000, 200
+SHARE, MOST_FITTED = 0.1, 65_536
 LEAST_LEAF = 16
-DEGREE = 16
-POOL = 64
-REPLICAS, REPLICA_RATIO = 4, 1.2
-PROBES, PROBE_RATIO = 5, 1.2
-BEAM, TURNS, EXPAND = 24, 8, 4
+LONGEST = 65_536
+MOST_PARTS = 20_000
+DEGREE, POOL = 16, 48
+BEAM, TURNS, EXPAND = 24, 8, 6
+FEW = 1024  # up to so many centroids, comparing all takes less time than the search
+PIVOT = 4  # one centroid in so many is an entry of the search
 SEEN = 500_000
 
 
@@ -97,28 +107,25 @@ class CentroidGraph:
         centroid comes last, so that a search can leave a dense topic."""
         near = np.tile(np.arange(len(centroids), dtype=np.int32)[:, None], (1, degree))
         pool = min(POOL, len(centroids) - 1)
-        for a in range(0, len(centroids) if pool else 0, 1024):
-            scores = centroids[a : a + 1024] @ centroids.T
+        for a in range(0, len(centroids) if pool else 0, 512):
+            scores = centroids[a : a + 512] @ centroids.T
             scores[np.arange(len(scores)), np.arange(a, a + len(scores))] = -2
-            nearest = np.argsort(-scores, axis=1, kind="stable")[:, :pool]
-            for r, found in enumerate(nearest):
-                among = centroids[found] @ centroids[found].T
-                kept: list[int] = []
-                for j in range(pool):
-                    if len(kept) == degree:
-                        break
-                    if not kept or among[j, kept].max() < scores[r, found[j]]:
-                        kept.append(j)
-                rest = [j for j in range(pool) if j not in kept]
-                kept = (kept + rest)[:degree]
-                near[a + r, : len(kept)] = found[kept]
+            found = np.argpartition(-scores, pool - 1, axis=1)[:, :pool]
+            found = np.take_along_axis(found, np.argsort(-np.take_along_axis(scores, found, axis=1), axis=1, kind="stable"), axis=1)
+            best = np.take_along_axis(scores, found, axis=1)
+            among = np.matmul(centroids[found], centroids[found].transpose(0, 2, 1))
+            kept = np.zeros(found.shape, dtype=bool)
+            for j in range(pool):
+                kept[:, j] = ~((among[:, j] >= best[:, j, None]) & kept).any(axis=1)
+            order = np.argsort(~kept, axis=1, kind="stable")[:, :degree]
+            near[a : a + len(found), : order.shape[1]] = np.take_along_axis(found, order, axis=1)
         entries = np.concatenate([np.argmax(pivots[a : a + 1024] @ centroids.T, axis=1) for a in range(0, len(pivots), 1024)])
         return cls(centroids, near, pivots, entries.astype(np.int32))
 
     def search(self, queries: np.ndarray, width: int, turns: int = TURNS, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of about the ``width`` nearest centroids, best first; -1 where there are fewer."""
         n = len(queries)
-        if len(self.centroids) <= 4 * width:
+        if len(self.centroids) <= max(FEW, 4 * width):
             scores = queries @ self.centroids.T
             ids = np.argsort(-scores, axis=1, kind="stable")[:, :width].astype(np.int32)
             return ids, np.take_along_axis(scores, ids, axis=1)
@@ -136,7 +143,7 @@ class CentroidGraph:
             more = self.neighbours[np.maximum(chosen, 0)].reshape(n, -1)
             ids, scores = self._best(queries, np.concatenate([ids, more], axis=1), scores, beam)
             done = (ids[:, :, None] == expanded[:, None, :]).any(axis=2)
-            if done.all():
+            if done[:, : 2 * width].all():  # the best ones are expanded and brought nothing nearer
                 break
         return ids[:, :width], scores[:, :width]
 
@@ -153,15 +160,29 @@ class CentroidGraph:
         return np.where(scores > -2, np.take_along_axis(ids, top, axis=1), -1).astype(np.int32), scores
 
 
-def postings(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, list, is member) of unit vectors: lists pruned by the ratio of distances."""
+@dataclass(frozen=True)
+class Pruning:
+    """How many cells, and up to which multiple of the distance of its nearest one, a vector is in and asks."""
+
+    replicas: int
+    replica_ratio: float
+    probes: int
+    probe_ratio: float
+
+
+SHARDS = Pruning(3, 1.2, 5, 1.35)
+LISTS = Pruning(2, 1.15, 16, 1.5)
+
+
+def postings(graph: CentroidGraph, x: np.ndarray, pruning: Pruning) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, is member) of unit vectors, the nearest list of a row first: lists pruned by the ratio of distances."""
     rows, lists, members = [], [], []
     for a in range(0, len(x), 1024):
-        ids, scores = graph.search(x[a : a + 1024], max(PROBES, REPLICAS))
+        ids, scores = graph.search(x[a : a + 1024], max(pruning.probes, pruning.replicas))
         far = np.sqrt(np.maximum(2 - 2 * scores, 1e-9))
         rank = np.arange(ids.shape[1])
-        asks = (ids >= 0) & (far <= PROBE_RATIO * far[:, :1]) & (rank < PROBES)
-        holds = (ids >= 0) & (far <= REPLICA_RATIO * far[:, :1]) & (rank < REPLICAS)
+        asks = (ids >= 0) & (far <= pruning.probe_ratio * far[:, :1]) & (rank < pruning.probes)
+        holds = (ids >= 0) & (far <= pruning.replica_ratio * far[:, :1]) & (rank < pruning.replicas)
         at, col = np.nonzero(asks | holds)
         rows.append(at + a)
         lists.append(ids[at, col])
@@ -171,32 +192,193 @@ def postings(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(rows), np.concatenate(lists), np.concatenate(members)
 
 
-def best_in_list(x: np.ndarray, member: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(asker, member, cosine) of the ``k`` nearest members of each row, equal ones included; in blocks."""
+def best_in_list(x: np.ndarray, member: np.ndarray, k: int, least: float, asker: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asker, member, cosine) of the ``k`` nearest members of each asker, equal ones included; in blocks."""
     held = np.flatnonzero(member)
-    if not len(held):
+    asks = np.arange(len(x)) if asker is None else np.flatnonzero(asker)
+    if not len(held) or not len(asks):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     y = x[held]
     block = max(16, 4_000_000 // max(len(held), 1))
-    for a in range(0, len(x), block):
-        scores = x[a : a + block] @ y.T
-        own = np.searchsorted(held, np.arange(a, a + len(scores)))
-        hit = (own < len(held)) & (held[np.minimum(own, len(held) - 1)] == np.arange(a, a + len(scores)))
+    for a in range(0, len(asks), block):
+        rows = asks[a : a + block]
+        scores = x[rows] @ y.T
+        own = np.searchsorted(held, rows)
+        hit = (own < len(held)) & (held[np.minimum(own, len(held) - 1)] == rows)
         scores[np.flatnonzero(hit), own[hit]] = -2
-        bar = np.full((len(scores), 1), least - 1e-5, dtype=np.float32)
-        if len(held) > k:
-            bar = np.maximum(bar, np.partition(scores, len(held) - k, axis=1)[:, len(held) - k, None] - 1e-5)
-        i, j = np.nonzero(scores >= bar)
-        out.append((i + a, held[j]))
+        good = scores >= np.float32(least - 1e-5)
+        many = np.flatnonzero(np.count_nonzero(good, axis=1) > k)
+        if len(many):
+            good[many] &= scores[many] >= np.partition(scores[many], len(held) - k, axis=1)[:, len(held) - k, None] - np.float32(1e-5)
+        i, j = np.nonzero(good)
+        out.append((rows[i], held[j]))
     i, j = (np.concatenate(p) for p in zip(*out, strict=True))
-    exact = x.astype(np.float64)
-    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
-    cosine = np.einsum("ij,ij->i", exact[i], exact[j])
+    left, right = x[i].astype(np.float64), x[j].astype(np.float64)
+    cosine = np.einsum("ij,ij->i", left, right) / np.sqrt(np.einsum("ij,ij->i", left, left) * np.einsum("ij,ij->i", right, right))
     good = cosine >= least
     return i[good], j[good], cosine[good]
 
 
+def best_in_shard(x: np.ndarray, member: np.ndarray, k: int, least: float, asker: np.ndarray, pruning: Pruning = LISTS, most: int = LIST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As best_in_list, by posting lists of the shard's members"""
+    held = np.flatnonzero(member)
+    if len(held) <= 2 * most:
+        return best_in_list(x, member, k, least, asker)
+    centroids, pivots = balanced_cells(x[held], most)
+    graph = CentroidGraph.build(centroids, np.concatenate([pivots, centroids[::PIVOT]]))
+    row, cell, holds = postings(graph, x, pruning)
+    holds &= member[row]
+    asks = asker[row]
+    useful = holds | asks
+    row, cell, holds, asks = row[useful], cell[useful], holds[useful], asks[useful]
+    order = np.argsort(cell, kind="stable")
+    row, cell, holds, asks = row[order], cell[order], holds[order], asks[order]
+    edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+    parts = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        i, j, cosine = best_in_list(x[row[a:b]], holds[a:b], k, least, asks[a:b])
+        parts.append((row[a:b][i], row[a:b][j], cosine))
+    i, j, cosine = (np.concatenate(p) for p in zip(*parts, strict=True))
+    _, once = np.unique(i * np.int64(len(x)) + j, return_index=True)  # a pair may meet in several lists
+    i, j, cosine = i[once], j[once], cosine[once]
+    order = np.lexsort((-cosine, i))
+    i, j, cosine = i[order], j[order], cosine[order]
+    first = np.searchsorted(i, i)
+    last = np.minimum(first + k - 1, len(i) - 1)
+    bar = np.where(i[last] == i, cosine[last], -2.0)
+    good = cosine >= bar - 1e-9  # equal ones stay for the order of ids
+    return i[good], j[good], cosine[good]
+
+
+def _packed(raw: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(raw.shape[1] * 4), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw, dtype=np.float32))]).cast(pa.binary())
+
+
+def _matrix(raw: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist()), dtype=np.float32).reshape(-1, size)
+
+
+class _Seen:
+    """What a task has sent; it forgets all beyond a bound."""
+
+    def __init__(self) -> None:
+        self.codes: set[int] = set()
+
+    def fresh(self, codes: list[int]) -> list[int]:
+        out = []
+        for i, code in enumerate(codes):
+            if code not in self.codes:
+                if len(self.codes) >= SEEN:
+                    self.codes.clear()
+                self.codes.add(code)
+                out.append(i)
+        return out
+
+
+@dataclass
+class Regions:
+    """The upper level: a graph over the regions' centroids, and for each region those that read its shards."""
+
+    graph: CentroidGraph
+    readers: list[np.ndarray]
+    near: np.ndarray
+    share: float
+    leaf: int
+    pruning: Pruning
+
+    @classmethod
+    def fit(cls, points: np.ndarray, total: int, number: int) -> Regions:
+        centroids, pivots = balanced_cells(points, max(min(LEAST_LEAF, len(points)), -(-len(points) // number)))
+        near = np.concatenate([np.argsort(-(centroids[a : a + 512] @ centroids.T), axis=1, kind="stable")[:, : NEIGHBOURS + 1] for a in range(0, len(centroids), 512)])
+        readers: list[list[int]] = [[] for _ in centroids]
+        for region, others in enumerate(near.tolist()):
+            for other in {*others, region}:
+                readers[other].append(region)
+        share = min(SHARE, MOST_FITTED * len(centroids) / total) if total * SHARE > MOST_FITTED else 1.0 if total < SHARD else SHARE
+        return cls(CentroidGraph.build(centroids, pivots), [np.array(r, dtype=np.int32) for r in readers], near, share, max(LEAST_LEAF, int(SHARD * share)), SHARDS)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.graph.search(x[a : a + 1024], 1)[0][:, 0] for a in range(0, len(x), 1024)]) if len(x) else np.zeros(0, np.int32)
+
+
+def _place(graph: CentroidGraph, pruning: Pruning, names: np.ndarray, codes: list[int], raw: np.ndarray) -> pa.RecordBatch:
+    """``code, raw, shards, members``: the shards of each vector; it is a member of the first ones."""
+    row, shards, member = postings(graph, _unit(raw), pruning)
+    ends = np.searchsorted(row, np.arange(len(raw) + 1)).astype(np.int32)
+    members = np.bincount(row, weights=member, minlength=len(raw)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), _packed(raw), pa.ListArray.from_arrays(pa.array(ends), pa.array(names[shards])), pa.array(members)], names=["code", "raw", "shards", "members"])
+
+
+def posted(rows: DataFrame, size: int, points: np.ndarray, total: int) -> DataFrame:
+    """``code, raw, shards, members`` of each distinct vector of (code, vec): a written table."""
+    spark = rows.sparkSession
+    number = max(1, min(len(points) // LEAST_LEAF, -(-total // (SHARD * REGION))))
+    sent = spark.sparkContext.broadcast(Regions.fit(points, total, number))
+
+    def region_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        regions, seen = sent.value, _Seen()
+        for batch in batches:
+            codes = batch.column(0).to_numpy()
+            if fresh := seen.fresh(codes.tolist()):
+                raw = batch.column(1).take(pa.array(fresh)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(regions.of(_unit(raw))), pa.array(np.ones(len(fresh), np.int8)), pa.array(codes[fresh]), _packed(raw)], names=["region", "turn", "code", "raw"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        regions = sent.value
+        _, once = np.unique(table.column("code").to_numpy(), return_index=True)
+        centroids, _ = balanced_cells(_unit(_matrix(table.column("raw"), size)[once]), regions.leaf)
+        region = int(table.column("region")[0].as_py())
+        return pa.table({"region": pa.array(np.full(len(centroids), region, np.int32)), "shard": (np.int64(region) << 32) + np.arange(len(centroids)), "raw": _packed(centroids)})
+
+    def read_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        readers = sent.value.readers
+        for batch in batches:
+            to = [readers[r] for r in batch.column(0).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(to)), [len(r) for r in to]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to) if to else np.zeros(0, np.int32)), pa.array(np.zeros(len(at), np.int8)), batch.column(1).take(at), batch.column(2).take(at)], names=["region", "turn", "code", "raw"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (region, turn, code): a region's shard centroids come before its vectors."""
+        regions, last, graph = sent.value, None, None
+        names: list[np.ndarray] = []
+        centroids: list[np.ndarray] = []
+        region = -1
+        for batch in batches:
+            at, turn, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (turn[1:] != turn[:-1])) + 1).tolist(), len(at)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if at[a] != region:
+                    region, names, centroids, graph = int(at[a]), [], [], None
+                raw = _matrix(batch.column(3).slice(a, b - a), size)
+                if turn[a] == 0:
+                    names.append(codes[a:b])
+                    centroids.append(raw)
+                    continue
+                if graph is None:
+                    all_names = np.concatenate(names)
+                    held = np.concatenate(centroids)
+                    graph = CentroidGraph.build(held, np.concatenate([regions.graph.centroids[regions.near[region]], held[::PIVOT]]))
+                part = codes[a:b]
+                fresh = np.flatnonzero(np.concatenate([[last != part[0]], part[1:] != part[:-1]]))
+                last = part[-1]
+                if len(fresh):
+                    yield _place(graph, regions.pruning, all_names, part[fresh].tolist(), raw[fresh])
+
+    kind = "region int, turn byte, code bigint, raw binary"
+    routed = rows.mapInArrow(region_of, kind)
+    share = sent.value.share
+    drawn = rows if share == 1.0 else rows.where(F.pmod(F.xxhash64("code", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
+    # a region that the share leaves without a row has no shards of its own; its vectors read its neighbours'
+    shards = materialize(drawn.mapInArrow(region_of, kind).groupBy("region").applyInArrow(fit, "region int, shard bigint, raw binary"), "shards")
+    both = shards.mapInArrow(read_by, kind).unionByName(routed)
+    out = materialize(both.repartition("region").sortWithinPartitions("region", "turn", "code").mapInArrow(place, "code bigint, raw binary, shards array<bigint>, members int"), "placed")
+    drop(shards)
+    return out
+
+
 def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, key: str = "chunk_id", vector: str = "embedding", dimensions: int | None = None) -> DataFrame:
     """``key, neighbour, cosine, rank``: the ``k`` others of highest cosine, if at least ``least``."""
     spark = vectors.sparkSession
@@ -222,42 +404,35 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, key: st
     _, once = np.unique(sample.column("code").to_numpy(), return_index=True)
     once = once[lengths[once] == size]
     points = _unit(np.stack(sample.column("vec").take(pa.array(once)).to_numpy(zero_copy_only=False)).astype(np.float32))
-    centroids, pivots = balanced_cells(points, max(LEAST_LEAF, int(LIST * len(points) / total)))
-    index = spark.sparkContext.broadcast(CentroidGraph.build(centroids, pivots))
+    placed = posted(rows.select("code", "vec"), size, points, total)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, seen = index.value, set()
-        for batch in batches:
-            codes = batch.column(0).to_numpy()
-            fresh = []
-            for i, code in enumerate(codes.tolist()):
-                if code not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(code)
-                    fresh.append(i)
-            if not fresh:
-                continue
-            vecs = batch.column(1).take(pa.array(fresh))
-            raw = vecs.flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float32)
-            row, lists, member = postings(graph, _unit(raw))
-            packed = pa.Array.from_buffers(pa.binary(size * 4), len(row), [None, pa.py_buffer(np.ascontiguousarray(raw[row]))])
-            yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(codes[fresh][row]), pa.array(member), packed.cast(pa.binary())], names=["list", "code", "member", "raw"])
+    most = LIST
 
     def compare(table: pa.Table) -> pa.Table:
+        raw = _matrix(table.column("raw"), size)
         codes = table.column("code").to_numpy()
-        codes, once = np.unique(codes, return_index=True)
-        raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), dtype=np.float32).reshape(-1, size)[once]
-        member = table.column("member").to_numpy(zero_copy_only=False)[once]
-        i, j, cosine = best_in_list(_unit(raw), member, k, least)
+        flags = (table.column(name).to_numpy(zero_copy_only=False) for name in ("member", "asks"))
+        i, j, cosine = best_in_shard(_unit(raw), next(flags), k, least, next(flags), LISTS, most)
         return pa.table({"code": codes[i], "other": codes[j], "cosine": cosine})
 
-    posted = rows.select("code", "vec").mapInArrow(assign, "list int, code bigint, member boolean, raw binary")
-    found = posted.groupBy("list").applyInArrow(compare, "code bigint, other bigint, cosine double")
+    # shards that are too long for one group, by their number of blocks; at most one in LONGEST rows
+    long = materialize(placed.select(F.explode("shards").alias("shard")).groupBy("shard").count().where(F.col("count") > LONGEST).select("shard", F.ceil(F.col("count") / LONGEST).cast("int").alias("blocks")), "long-shards")
+    entries = placed.select("code", "raw", "members", F.posexplode("shards").alias("at", "shard")).join(long, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    entries = entries.withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))
+    cells = F.concat(
+        F.array(F.struct(F.col("own").alias("i"), F.col("own").alias("j"))),
+        F.transform(others, lambda b: F.struct(F.col("own").alias("i"), b.alias("j"))),
+        F.transform(others, lambda b: F.struct(b.alias("i"), F.col("own").alias("j"))),
+    )
+    entries = entries.select("shard", "code", "raw", "own", (F.col("at") < F.col("members")).alias("holds"), F.explode(cells).alias("cell"))
+    entries = entries.select("shard", "cell.i", "cell.j", "code", "raw", (F.col("holds") & (F.col("cell.i") == F.col("own"))).alias("member"), (F.col("cell.j") == F.col("own")).alias("asks"))
+    # a partition a group, as far as hashes allow: groups are few and large
+    parts = int(min(MOST_PARTS, max(8, 3 * -(-total // SHARD))))
+    found = entries.repartition(parts, "shard", "i", "j").groupBy("shard", "i", "j").applyInArrow(compare, "code bigint, other bigint, cosine double")
     # the same pair has the same cosine in every list but for rounding
     found = materialize(found.groupBy("code", "other").agg(F.max("cosine").alias("cosine")), "found")
-    del posted
-    release(spark)
+    drop(placed, long)
 
     named = rows.select("code", "id")
     few = named.withColumn("n", F.dense_rank().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)

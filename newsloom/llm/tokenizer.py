@@ -6,10 +6,10 @@ the tokens of the part that no later character can change. A boundary between tw
 settled when no vocabulary entry can lie across it, given the characters on both sides: then no
 merge crosses it, and both sides can be encoded apart. Chinese text settles after a character or
 two, so the lookahead is bounded by the vocabulary. ASCII words settle at their end only, as any two
-letters stand in some entry; a pretoken of ASCII characters doesn't go through the transducer but is
-merged directly and memoised as a whole. A pretoken that
+letters stand in some entry; the ids of a pretoken of ASCII characters are remembered once it has
+gone through the states, so that a frequent word takes one step. A pretoken that
 stays unsettled for more than ``LOOKAHEAD`` bytes (long runs of one letter) is merged directly
-with a heap, with the same result.
+with a heap, with the same result. The vocabulary is read by the driver and sent once.
 
 Null, empty: an empty list of ids. Blank text is text and has ids. Strings that look like special
 tokens are ordinary text. Lone surrogates cannot stand in a Spark string.
@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -51,9 +52,13 @@ class _State(dict):
         self.final: tuple[int, ...] | None = None
 
 
+def parse_vocabulary(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
+
+
 def read_vocabulary(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    with open(path, "rb") as file:
+        return parse_vocabulary(file.read())
 
 
 class MergeTransducer:
@@ -157,14 +162,6 @@ class MergeTransducer:
                 pairs[i] = ranks.get(parts[i] + parts[i + 1], never)
         return [ranks[part] for part in parts]
 
-    def _word(self, piece: str) -> list[int] | tuple[int, ...]:
-        if len(piece) > 32:
-            return self.merge(piece.encode())
-        if len(self.words) >= MAX_WORDS:
-            self.words.clear()
-        found = self.words[piece] = tuple(self.merge_short(piece.encode()))
-        return found
-
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -175,9 +172,6 @@ class MergeTransducer:
             if known is not None:
                 out += known
                 continue
-            if piece.isascii():
-                out += self._word(piece)
-                continue
             state, at = start, len(out)
             try:
                 for char in piece:
@@ -191,6 +185,10 @@ class MergeTransducer:
             except _Long:
                 del out[at:]
                 out += self.merge(piece.encode("utf-8", "replace"))
+            if len(piece) <= 32 and piece.isascii():
+                if len(words) >= MAX_WORDS:
+                    words.clear()
+                words[piece] = tuple(out[at:])
             if len(self.states) > MAX_STATES:
                 self._reset()
                 start = self.start
@@ -211,22 +209,29 @@ class IncrementalDecoder:
         return text
 
 
-@lru_cache(maxsize=4)
-def transducer(path: str) -> MergeTransducer:
+@lru_cache(maxsize=2)
+def transducer(raw: bytes) -> MergeTransducer:
     """One per Python worker and vocabulary."""
-    return MergeTransducer(read_vocabulary(path))
+    return MergeTransducer(parse_vocabulary(raw))
+
+
+@lru_cache(maxsize=2)
+def decoder(raw: bytes) -> IncrementalDecoder:
+    return IncrementalDecoder(parse_vocabulary(raw))
 
 
-@lru_cache(maxsize=4)
-def decoder(path: str) -> IncrementalDecoder:
-    return IncrementalDecoder(read_vocabulary(path))
+def _sent(rows: DataFrame, vocabulary: str) -> Broadcast[bytes]:
+    """The vocabulary file, read by the driver; its size is that of a published vocabulary, a few MB."""
+    with open(vocabulary, "rb") as file:
+        return rows.sparkSession.sparkContext.broadcast(file.read())
 
 
 def encode_documents(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids array<int>``: one row per input row. Other columns are not read."""
+    sent = _sent(documents, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = transducer(vocabulary).encode
+        encode = transducer(sent.value).encode
         for batch in batches:
             flat: list[int] = []
             ends = np.zeros(batch.num_rows + 1, dtype=np.int32)
@@ -242,9 +247,10 @@ def encode_documents(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY,
 
 def count_tokens(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens int``: as encode_documents, without keeping the ids."""
+    sent = _sent(documents, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = transducer(vocabulary).encode
+        encode = transducer(sent.value).encode
         for batch in batches:
             sizes = np.fromiter((len(encode(value)) for value in batch.column(1).to_pylist()), dtype=np.int32, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], names=[key, "n_tokens"])
@@ -255,9 +261,10 @@ def count_tokens(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key
 
 def decode_ids(encoded: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: str = "doc_id") -> DataFrame:
     """``key, text string``: the text of each list of ids; null ids give null."""
+    sent = _sent(encoded, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = decoder(vocabulary).feed
+        decode = decoder(sent.value).feed
         for batch in batches:
             texts = [None if ids is None else decode(ids, True) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])

@@ -1,12 +1,15 @@
 """Canonical text, near duplicates, similar vectors and name variants."""
 
 import random
+import unicodedata
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.llm import canonical_text, name_variants, near_duplicates, similar_vectors
+from newsloom.runtime import pairs_within
 
 
 @pytest.fixture(scope="module")
@@ -46,10 +49,20 @@ def test_same_looking_pairs(spark):
     assert forms["b"] == "AB" and forms["n"] is None
 
 
-def test_hot_spelling_is_paired_through_its_first(spark):
-    rows = [("chunk", f"a{i:04d}", "AB") for i in range(300)] + [("chunk", f"b{i}", "ＡB") for i in range(3)]
-    got = {(r.id_a, r.id_b) for r in canonical_text.same_looking(spark.createDataFrame(rows, "rec_kind string, rec_id string, text string")).collect()}
-    assert got == {("a0000", f"b{i}") for i in range(3)} | {(f"a{i:04d}", "b0") for i in range(300)}
+def test_copies_of_a_hot_spelling_are_all_paired(spark):
+    rows = [("chunk", f"a{i:04d}", "AB") for i in range(700)] + [("chunk", f"b{i}", "ＡB") for i in range(3)]
+    df = spark.createDataFrame(rows, "rec_kind string, rec_id string, text string")
+    got = {(r.id_a, r.id_b) for r in canonical_text.same_looking(df).collect()}
+    assert got == {(f"a{i:04d}", f"b{j}") for i in range(700) for j in range(3)}
+    assert {(r.class_id, r.spellings) for r in canonical_text.same_looking_classes(df).collect()} == {("a0000", 2)}
+
+
+def test_every_composed_character_has_the_form_of_its_parts(canonical):
+    for code in range(0x80, 0x30000):
+        char = chr(code)
+        apart = unicodedata.normalize("NFD", char)
+        if not 0xD800 <= code < 0xE000 and char != apart and unicodedata.normalize("NFC", apart) == char:
+            assert canonical(char) == canonical(apart) and canonical(f"x{char}y") == canonical(f"x{apart}y"), hex(code)
 
 
 def _sets(text, k):
@@ -79,10 +92,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0), [near_duplicates.CHUNK]).count() == 0
 
 
-def test_hot_copies_are_a_star(spark):
-    rows = [("chunk", f"{i:04d}", "许多人转载了同一段文字内容") for i in range(300)] + [("chunk", "x", "许多人转载了同一段文字内容啊")]
-    got = {(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "rec_kind string, rec_id string, text string"), [near_duplicates.CHUNK]).collect()}
-    assert got == {("0000", f"{i:04d}") for i in range(1, 300)} | {("0000", "x")}
+def test_copies_of_a_text_are_one_class_and_all_pairs(spark):
+    rows = [("chunk", f"{i:04d}", "许多人转载了同一段文字内容") for i in range(600)] + [("chunk", "x", "许多人转载了同一段文字内容啊"), ("chunk", "y", "完全不同的另外一篇文章")]
+    df = spark.createDataFrame(rows, "rec_kind string, rec_id string, text string")
+    got = {(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs(df, [near_duplicates.CHUNK]).collect()}
+    names = [f"{i:04d}" for i in range(600)] + ["x"]
+    assert got == set(combinations(names, 2))
+    classes = {r.rec_id: (r.class_id, r.links) for r in near_duplicates.near_duplicate_classes(df, [near_duplicates.CHUNK]).collect()}
+    assert classes["0599"] == ("0000", 1) and classes["x"] == ("x", 1) and classes["y"] == ("y", 0) and len(classes) == 602
+
+
+def test_a_hot_band_is_divided(spark):
+    """20,000 rows of one key: every pair meets once, and no task has more than a few blocks' pairs."""
+    rows = spark.range(20_000).select(F.lit("k").alias("band"), F.col("id").alias("member"))
+    met = pairs_within(rows, ["band"], ["member"], (F.col("a_member") + F.col("b_member")) % 5000 == 0)
+    assert met.select(F.least("a_member", "b_member"), F.greatest("a_member", "b_member")).distinct().count() == met.count() == sum((min(s, 19_999) - max(0, s - 19_999) + 1) // 2 for s in range(5000, 39_999, 5000)) + 0
+    keys = met.sparkSession.range(1).select(F.lit((20_000 / 512 + 1) ** 2 / 2).alias("n")).first().n
+    assert keys > 700  # so many join keys of 512 * 512 pairs share the work
 
 
 def test_sketch_estimates_similarity():
@@ -123,12 +149,49 @@ def test_similar_vectors_recall(spark):
 
 def test_graph_search_finds_the_nearest():
     rng = np.random.default_rng(0)
-    x = similar_vectors._unit(rng.normal(size=(3000, 24)).astype(np.float32))
+    centres = rng.normal(size=(200, 24))
+    x = similar_vectors._unit((centres[rng.integers(200, size=24_000)] + 0.6 * rng.normal(size=(24_000, 24))).astype(np.float32))
     centroids, pivots = similar_vectors.balanced_cells(x, 8)
-    graph = similar_vectors.CentroidGraph.build(centroids, pivots)
+    assert len(centroids) > 2 * similar_vectors.FEW  # so many that the graph is used
+    graph = similar_vectors.CentroidGraph.build(centroids, np.concatenate([pivots, centroids[:: similar_vectors.PIVOT]]))
     ids, scores = graph.search(x[:500], 5)
     best = np.argmax(x[:500] @ centroids.T, axis=1)
-    assert (ids[:, 0] == best).mean() > 0.85 and (np.diff(scores, axis=1) <= 1e-6).all()
+    assert (ids[:, 0] == best).mean() > 0.95 and (np.diff(scores, axis=1) <= 1e-6).all()
+
+
+def _recall(spark, x, k=5):
+    df = spark.createDataFrame([(f"v{i:05d}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<float>").repartition(4)
+    got = {}
+    for r in similar_vectors.similar_vectors(df, k).collect():
+        got.setdefault(r.chunk_id, set()).add(r.neighbour)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hit = 0
+    for i in range(0, len(x), 7):
+        scores = unit @ unit[i]
+        scores[i] = -2
+        hit += len({f"v{j:05d}" for j in np.argsort(-scores)[:k]} & got[f"v{i:05d}"])
+    return hit / (k * len(range(0, len(x), 7)))
+
+
+def test_recall_without_threshold_over_many_regions_shards_and_lists(spark, monkeypatch):
+    """12,000 vectors in more than 1,000 lists, many shards and regions."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32))
+    x = (centres[rng.zipf(1.5, 12_000).clip(1, 60) - 1] + 0.5 * rng.normal(size=(12_000, 32))).astype(np.float32)
+    made = []
+    monkeypatch.setattr(similar_vectors, "SHARD", 1500)
+    monkeypatch.setattr(similar_vectors, "LIST", 20)  # 12,000 vectors, each in one list at least and in two shards or more
+    fit = similar_vectors.Regions.fit.__func__
+    monkeypatch.setattr(similar_vectors.Regions, "fit", classmethod(lambda cls, *a: made.append(fit(cls, *a)) or made[-1]))
+    assert _recall(spark, x) >= 0.95
+    assert len(made[0].readers) >= 2
+
+
+def test_long_shards_are_divided_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 8)).astype(np.float32)
+    monkeypatch.setattr(similar_vectors, "LONGEST", 200)
+    assert _recall(spark, x) >= 0.99
 
 
 LEXICON = "term string, kind string, entity_type string, canonical string, ord int"

@@ -6,6 +6,8 @@ import re
 import pytest
 
 from newsloom.llm import shared_spans, splitting
+from newsloom.runtime import settings
+from newsloom.sources.versions import ConcurrentWrite
 
 
 def _brute(texts, span):
@@ -21,7 +23,7 @@ def _brute(texts, span):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 5])
+@pytest.mark.parametrize("batches", [1, 9])
 def test_spans_equal_brute_force(spark, batches):
     rng = random.Random(batches)
     text = lambda n: "".join(rng.choice("甲乙丙丁戊己庚辛x ") for _ in range(n))
@@ -43,13 +45,36 @@ def test_spans_of_nothing(spark):
         shared_spans.shared_spans(docs, window=120)
 
 
-def test_runs_are_compacted(spark):
-    docs = spark.createDataFrame([(i, f"{i:04d}" * 50) for i in range(9)], "doc_id bigint, text string")
-    index = shared_spans.FingerprintIndex(spark, fanout=2)
-    prints = shared_spans.fingerprints(docs)
-    for i in range(9):
-        index.add(prints.where(f"rec = {i}"))
-    assert [len(t) for t in index.tiers] == [1, 0, 0, 1]
+def test_index_of_another_session(spark, tmp_path):
+    """Batches are added to an index that another session has written; tiers are verified and compacted."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("甲乙丙丁戊己庚辛") for _ in range(n))
+    passage = text(150)
+    texts = {i: text(60) + (passage if i % 3 == 0 else "") + text(80) for i in range(18)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    root = f"file://{tmp_path}/index"
+    for part in range(6):
+        session = spark.newSession()
+        index = shared_spans.FingerprintIndex(session, root, fanout=2, buckets=3)
+        rows = session.createDataFrame([(k, v) for k, v in texts.items() if k % 6 == part], "doc_id bigint, text string")
+        index.add(rows, corpus=session.createDataFrame([(k, v) for k, v in texts.items() if k % 6 <= part], "doc_id bigint, text string"))
+    assert [len(t) for t in index.state["tiers"]] == [0, 1, 1] and index.number == 6
+    late = shared_spans.FingerprintIndex(spark.newSession(), root)
+    late.verify(docs)
+    assert {r.doc_id: r.shared_chars for r in late.spans().collect()} == _brute(texts, 120)
+    with pytest.raises(ConcurrentWrite):
+        index.add(docs)
+
+
+def test_runs_are_merged_without_a_shuffle(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"{i % 5:04d}" * 50) for i in range(30)], "doc_id bigint, text string")
+    index = shared_spans.FingerprintIndex(spark, f"file://{tmp_path}/index", fanout=9)
+    for part in range(3):
+        index.add(docs.where(f"doc_id % 3 = {part}"))
+    with settings(spark, index._settings()):
+        runs = [index.run(p) for p in index.runs()]
+        plan = index.hits(runs[2], runs[:2])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort [" not in plan
 
 
 TOKEN = re.compile(r"[㐀-鿿]|[A-Za-z0-9_]+|[^\s]")
