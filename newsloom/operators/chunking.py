@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.functions.text import TOKEN_SPACED, WS
+from newsloom.functions.text import TOKEN_SPACED, WS, token_count
+from newsloom.runtime import materialize
 
 
 def check_window(size: int, overlap: int) -> None:
@@ -33,16 +34,18 @@ def chunk_id(doc_id: Column, page: Column, index: Column, content: Column) -> Co
 def chunk_pages(pages: DataFrame, size: int = 1024, overlap: int = 256, position: str = "page_pos") -> DataFrame:
     """Chunks of pages (doc_id, page_number, text, ``position``, and any more columns).
 
-    Chunk numbers run through a document in the order of ``position``. Pages without tokens give
-    nothing. Only the counts are shuffled for the running number, the text stays where it was read
-    unless one document has several pages.
+    Chunk numbers run through a document in the order of ``position``, which tells its pages apart. Pages
+    without tokens give nothing. Only the pages' chunk counts are shuffled for the running number; what
+    is joined back to the texts is a number for each page that isn't the first of its document.
     """
     check_window(size, overlap)
     step = size - overlap
-    counted = pages.withColumn("_tokens", spaced_tokens(F.col("text"))).where(F.size("_tokens") > 0).withColumn("_k", window_count(F.size("_tokens"), size, overlap))
+    counts = pages.select("doc_id", position, window_count(token_count(F.col("text")), size, overlap).alias("_k")).where("_k > 0")
     before = Window.partitionBy("doc_id").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counted.withColumn("_first", F.coalesce(F.sum("_k").over(before), F.lit(0)))
-    rows = numbered.select("*", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_i"))
+    later = materialize(counts.select("doc_id", position, F.sum("_k").over(before).alias("_first")).where("_first > 0"), "page-numbers")
+    numbered = pages.join(later, (pages["doc_id"] == later["doc_id"]) & pages[position].eqNullSafe(later[position]), "left").select(*(pages[c] for c in pages.columns), F.coalesce("_first", F.lit(0)).alias("_first"))
+    counted = numbered.withColumn("_tokens", spaced_tokens(F.col("text"))).where(F.size("_tokens") > 0).withColumn("_k", window_count(F.size("_tokens"), size, overlap))
+    rows = counted.select("*", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_i"))
     content = F.regexp_replace(F.array_join(F.slice("_tokens", F.col("_i") * step + 1, F.lit(size)), ""), f"[{WS}]+$", "")
     out = rows.withColumn("content", content).withColumn("chunk_index", (F.col("_first") + F.col("_i")).cast("int"))
     out = out.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("page_number"), F.col("chunk_index"), F.col("content")))

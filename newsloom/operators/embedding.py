@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.columns import let
-
 #: Fixed value: a CJK character or an ASCII word.
 FEATURE = r"[㐀-鿿]|[A-Za-z0-9_]+"
 DIMENSIONS = 384
@@ -30,13 +28,10 @@ def features(text: Column) -> Column:
     return F.concat(one, pairs)
 
 
-def sha_place(digest: Column, dimensions: int) -> Column:
-    """The place of a feature, from the hex digits of its SHA-256."""
-    return (F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % dimensions).cast("int")
-
-
-def sha_sign(digest: Column) -> Column:
-    return F.when(F.conv(F.substring(digest, 16, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
+def sha_place(feature: str, dimensions: int) -> tuple[int, int]:
+    """Place and sign of a feature from the hex digits of its SHA-256."""
+    digest = hashlib.sha256(feature.encode()).hexdigest()
+    return int(digest[:15], 16) % dimensions, 1 if int(digest[15], 16) % 2 else -1
 
 
 def blake_place(feature: str, dimensions: int) -> tuple[int, int]:
@@ -44,57 +39,92 @@ def blake_place(feature: str, dimensions: int) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "big") % dimensions, 1 if raw[8] % 2 else -1
 
 
-def feature_counts(texts: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """``key, feature, n``; counted before the shuffle by the partial aggregate."""
-    return texts.select(key, F.explode(features(F.col(text))).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
+SCHEMES = {"sha256": sha_place, "blake2b": blake_place}
+_FEATURE = re.compile(FEATURE)
+MOST_KNOWN = 400_000  # features that a task remembers
+
+
+class Folder:
+    """Signed feature counts of texts, one text at a time; places of features that were met are remembered."""
+
+    def __init__(self, dimensions: int, scheme: str):
+        if scheme not in SCHEMES:
+            raise ValueError("scheme must be sha256 or blake2b")
+        self.dimensions, self.place = dimensions, SCHEMES[scheme]
+        self.numbers: dict[str, int] = {}
+        self.words: list[str] = []
+        self.pairs: dict[int, tuple[int, int]] = {}
+        self.single: list[tuple[int, int]] = []
+
+    def _number(self, word: str) -> int:
+        found = self.numbers.get(word)
+        if found is None:
+            found = self.numbers[word] = len(self.words)
+            self.words.append(word)
+            self.single.append(self.place(word, self.dimensions))
+        return found
+
+    def totals(self, texts: list[str | None]) -> np.ndarray:
+        """A row of signed counts a text."""
+        if len(self.words) > MOST_KNOWN or len(self.pairs) > MOST_KNOWN:
+            self.numbers, self.words, self.pairs, self.single = {}, [], {}, []
+        number, lists = self._number, []
+        for text in texts:
+            lists.append([number(w) for w in ("\n".join(_FEATURE.findall(text)).lower().split("\n") if text else ()) if w])
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        words = np.fromiter((w for one in lists for w in one), dtype=np.int64, count=int(sizes.sum()))
+        rows = np.repeat(np.arange(len(lists)), sizes)
+        out = np.zeros(len(lists) * self.dimensions)
+        if len(words):
+            single = np.array(self.single, dtype=np.int64)
+            out += np.bincount(rows * self.dimensions + single[words, 0], weights=single[words, 1], minlength=len(out))
+            beside = np.flatnonzero(rows[1:] == rows[:-1])
+            codes, back = np.unique((words[beside] << 32) | words[beside + 1], return_inverse=True)
+            known = np.array([self._pair(c) for c in codes.tolist()], dtype=np.int64).reshape(-1, 2)
+            out += np.bincount(rows[beside] * self.dimensions + known[back, 0], weights=known[back, 1], minlength=len(out))
+        return out.reshape(len(lists), self.dimensions)
+
+    def _pair(self, code: int) -> tuple[int, int]:
+        found = self.pairs.get(code)
+        if found is None:
+            found = self.pairs[code] = self.place(f"{self.words[code >> 32]}::{self.words[code & 0xFFFFFFFF]}", self.dimensions)
+        return found
+
+
+def _embedded(batches: Iterator[pa.RecordBatch], dimensions: int, scheme: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows and their unit vectors, a few hundred texts at a time."""
+    folder = Folder(dimensions, scheme)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            totals = folder.totals(part.column(1).to_pylist())
+            length = np.sqrt(np.einsum("ij,ij->i", totals, totals))[:, None]
+            yield part, totals / np.where(length == 0, 1, length)
+
 
+def hash_embed_sparse(texts: DataFrame, dimensions: int = DIMENSIONS, scheme: str = "sha256", key: str = "chunk_id", text: str = "content") -> DataFrame:
+    """``key, place, value``: non-zero places of unit vectors; texts without features have none. All features of a text are in its row: no shuffle."""
+    if scheme not in SCHEMES:
+        raise ValueError("scheme must be sha256 or blake2b")
 
-def _entries(texts: DataFrame, dimensions: int, scheme: str, key: str, text: str) -> DataFrame:
-    """``key, entries array<struct<place,total>>``: signed counts that aren't 0; texts without features have no row."""
-    if scheme == "sha256":
-        # one row per text and place leaves the map side
-        hashed = F.transform(features(F.col(text)), lambda f: let(F.sha2(f, 256), lambda h: F.struct(sha_place(h, dimensions).alias("place"), sha_sign(h).alias("sign"))))
-        placed = texts.select(key, F.explode(hashed).alias("f")).groupBy(key, F.col("f.place").alias("place")).agg(F.sum("f.sign").alias("total"))
-    elif scheme == "blake2b":
-        counts = feature_counts(texts, key, text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, unit in _embedded(batches, dimensions, scheme):
+            row, place = np.nonzero(unit)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(unit[row, place])], names=[key, "place", "value"])
 
-        def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = [blake_place(f, dimensions) for f in batch["feature"]]
-                yield pd.DataFrame({"feature": batch["feature"], "place": [p for p, _ in found], "sign": [s for _, s in found]})
+    return texts.select(key, text).mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, place int, value double")
 
-        vocabulary = counts.select("feature").distinct().mapInPandas(places, "feature string, place int, sign int")
-        placed = counts.join(vocabulary, "feature").groupBy(key, "place").agg(F.sum(F.col("n") * F.col("sign")).alias("total"))
-    else:
+
+def hash_embed(texts: DataFrame, dimensions: int = DIMENSIONS, scheme: str = "sha256", key: str = "chunk_id", text: str = "content", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key, carry..., embedding array<double>`` of every row; a text without features, or null, has the zero vector."""
+    if scheme not in SCHEMES:
         raise ValueError("scheme must be sha256 or blake2b")
-    # at most ``dimensions`` entries a text
-    return placed.groupBy(key).agg(F.filter(F.collect_list(F.struct("place", "total")), lambda x: x["total"] != 0).alias("entries"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, unit in _embedded(batches, dimensions, scheme):
+            ends = pa.array(np.arange(len(unit) + 1, dtype=np.int32) * dimensions)
+            kept = [rows.column(0), *rows.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(ends, pa.array(unit.reshape(-1)))], names=[key, *carry, "embedding"])
 
-def hash_embed_sparse(texts: DataFrame, dimensions: int = DIMENSIONS, scheme: str = "sha256", key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """``key, place, value``: non-zero places of unit vectors; texts without features have none.
-
-    Scheme sha256 stays on the JVM. Scheme blake2b hashes each distinct feature once in Python and
-    joins the places back.
-    """
-    found = _entries(texts, dimensions, scheme, key, text)
-    norm = F.sqrt(F.aggregate("entries", F.lit(0).cast("bigint"), lambda a, x: a + x["total"] * x["total"]).cast("double"))
-    return found.withColumn("norm", norm).select(key, F.explode("entries").alias("e"), "norm").select(key, "e.place", (F.col("e.total") / F.col("norm")).alias("value"))
-
-
-def hash_embed(texts: DataFrame, dimensions: int = DIMENSIONS, scheme: str = "sha256", key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """``key, embedding array<double>`` of every text; a text without features, or null, has the zero vector."""
-    rows = texts.select(key).distinct().join(_entries(texts, dimensions, scheme, key, text), key, "left")
-    flat = rows.select(key, F.transform("entries", lambda e: e["place"]).alias("places"), F.transform("entries", lambda e: e["total"]).alias("totals"))
-
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros((batch.num_rows, dimensions))
-            sizes = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            out[np.repeat(np.arange(batch.num_rows), sizes), batch.column(1).flatten().to_numpy(zero_copy_only=False)] = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            length = np.linalg.norm(out, axis=1, keepdims=True)
-            out /= np.where(length == 0, 1, length)
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dimensions)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)))], names=[key, "embedding"])
-
-    return flat.mapInArrow(dense, f"`{key}` {texts.schema[key].dataType.simpleString()}, embedding array<double>")
+    kinds = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in (key, *carry))
+    return texts.select(key, text, *carry).mapInArrow(run, f"{kinds}, embedding array<double>")

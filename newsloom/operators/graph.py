@@ -67,42 +67,66 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.array(F.substring(text, i, F.lit(1)), F.substring(text, i, F.lit(2))))))
 
 
+def _keyed(texts: DataFrame, column: str, grams: DataFrame) -> DataFrame:
+    """``texts`` with ``gram``: the one of a text's characters and pairs that stands in the fewest of the other side's texts (``grams``: gram, n).
+
+    A text with one that stands in none of them can't be inside any, and is left out.
+    """
+    own = texts.select(column, F.explode(_grams(F.col(column))).alias("gram"))
+    rated = own.join(grams, "gram", "left").groupBy(column).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    return rated.where("least.n > 0").select(column, F.col("least.gram").alias("gram"))
+
+
+def _inside(small: DataFrame, inner: str, large: DataFrame, outer: str) -> DataFrame:
+    """``inner, outer``: distinct texts of ``small`` that stand in distinct texts of ``large``.
+
+    An equi-join by the rarest character pair of the inner text, so that a usual pair joins nothing
+    that a rarer one can.
+    """
+    spread = large.select(outer, F.explode(_grams(F.col(outer))).alias("gram"))
+    return _keyed(small, inner, spread.groupBy("gram").agg(F.count("*").alias("n"))).join(spread, "gram").where(F.col(outer).contains(F.col(inner))).select(inner, outer)
+
+
 def seeds(questions: DataFrame, names: DataFrame) -> DataFrame:
     """``query_id, name``: graph nodes that a question names.
 
     A node is a seed if the question holds its name, or a term holds it, or it holds a term (the
-    last two in lower case). Every such pair shares the first two characters of the shorter text
-    (its only one, if it has one), so the tests run on an equi-join by character pairs, not on all
+    last two in lower case). The tests run on equi-joins by character pairs of the distinct texts, not on all
     pairs of questions and nodes.
     """
     nodes = names.where("name is not null").select("name", F.lower("name").alias("low"))
     q = questions.where(F.size("terms") > 0).select("query_id", "question", "terms")
-    asked = q.select("query_id", "question", F.explode(_grams(F.col("question"))).alias("gram"))
-    by_name = nodes.withColumn("gram", F.substring("name", 1, 2))
-    exact = asked.join(by_name, "gram").where(F.col("question").contains(F.col("name"))).select("query_id", "name")
+    exact = _inside(nodes.select("name").distinct(), "name", q.select("question").distinct(), "question").join(q.select("query_id", "question"), "question").select("query_id", "name")
     terms = q.select("query_id", F.explode("terms").alias("term"))
-    distinct_terms = terms.select("term").distinct()
-    inside_node = distinct_terms.withColumn("gram", F.substring("term", 1, 2)).join(nodes.select("name", "low", F.explode(_grams(F.col("low"))).alias("gram")), "gram").where(F.col("low").contains(F.col("term")))
-    inside_term = distinct_terms.select("term", F.explode(_grams(F.col("term"))).alias("gram")).join(nodes.withColumn("gram", F.substring("low", 1, 2)), "gram").where(F.col("term").contains(F.col("low")))
-    by_term = inside_node.select("term", "name").unionByName(inside_term.select("term", "name")).distinct()
+    distinct_terms, low = terms.select("term").distinct(), nodes.select("low").distinct()
+    by_term = _inside(distinct_terms, "term", low, "low").unionByName(_inside(low, "low", distinct_terms, "term")).distinct()
+    named = terms.join(by_term, "term").join(nodes, "low").select("query_id", "name")
     empty = q.select("query_id", F.lit("").alias("name")).join(nodes.select("name").distinct(), "name").select("query_id", "name")
-    return exact.unionByName(terms.join(by_term, "term").select("query_id", "name")).unionByName(empty).distinct()
+    return exact.unionByName(named).unionByName(empty).distinct()
 
 
-def traverse(seeded: DataFrame, relations: DataFrame, hops: int = 2, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """``query_id, id, hop, pos``: the relations within ``hops`` of the seeds, in order of (hop, seq), cut at ``limit``.
+def adjacency(relations: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """``name, seq, id, source, target``: of each node its 2 * limit earliest relations; made once for an index.
 
     Only a query with fewer than ``limit`` relations goes on, so of a node's relations its
     2 * limit earliest decide: fewer than ``limit`` of them can have been seen before, and the
     rest fill the query. That bounds what a hub node (a title, a frequent body) sends, without a
-    change of the result. Every hop is a written table, and all hops share the same adjacency.
+    change of the result.
     """
-    hops, limit = max(1, hops), max(1, limit)
     # edges that differ in their document only are one edge: the earliest
     edges = relations.groupBy("source", "relation", "target", "chunk_id").agg(F.min(F.struct("seq", "id")).alias("e")).select("source", "target", "e.seq", "e.id")
     ends = edges.select("seq", "id", "source", "target", F.explode(F.array_distinct(F.array("source", "target"))).alias("name"))
-    near = ends.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("seq"))).where(F.col("n") <= 2 * limit).drop("n")
-    near = materialize(near, "adjacency")
+    return ends.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("seq"))).where(F.col("n") <= 2 * max(1, limit)).drop("n")
+
+
+def traverse(seeded: DataFrame, relations: DataFrame, hops: int = 2, limit: int = DEFAULT_LIMIT, near: DataFrame | None = None) -> DataFrame:
+    """``query_id, id, hop, pos``: the relations within ``hops`` of the seeds, in order of (hop, seq), cut at ``limit``.
+
+    ``near`` is the adjacency of ``relations`` for this limit or a larger one, if there is one. Every hop is a
+    written table, and all hops share the same adjacency.
+    """
+    hops, limit = max(1, hops), max(1, limit)
+    near = materialize(adjacency(relations, limit), "adjacency") if near is None else near
     frontier = materialize(seeded.select("query_id", "name").distinct(), "frontier")
     visited, seen = frontier, None
     for hop in range(1, hops + 1):
@@ -131,11 +155,12 @@ def fallback(questions: DataFrame, seeded: DataFrame, relations: DataFrame, limi
     return hits.join(first, "relation").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", "id", F.lit(0).alias("hop"), "pos")
 
 
-def search(questions: DataFrame, relations: DataFrame, hops: int = 2, limit: int = DEFAULT_LIMIT, doc_ids: list[str] | None = None, aliases: tuple[tuple[str, str], ...] = (), dialect: str = "native") -> DataFrame:
+def search(questions: DataFrame, relations: DataFrame, hops: int = 2, limit: int = DEFAULT_LIMIT, doc_ids: list[str] | None = None, aliases: tuple[tuple[str, str], ...] = (), dialect: str = "native", near: DataFrame | None = None) -> DataFrame:
     """Relations for each question (query_id, question), best first: ``query_id, pos, hop`` and the relation.
 
     ``relations`` are merged ones. Dialect ``path`` clamps the hops to 1..4, takes seeds by the
-    first two tests only, has no fallback, and applies the document scope after the traversal.
+    first two tests only, has no fallback, and applies the document scope after the traversal. ``near``:
+    the adjacency of ``relations``, read instead of made; a scope inside the traversal makes its own.
     """
     if dialect not in ("native", "path"):
         raise ValueError("dialect must be native or path")
@@ -147,11 +172,11 @@ def search(questions: DataFrame, relations: DataFrame, hops: int = 2, limit: int
         terms = asked.select("query_id", "question", "terms")
         direct = F.col("question").contains(F.col("name")) | F.exists("terms", lambda t: F.lower("name").contains(t))
         found_seeds = found_seeds.join(terms, "query_id").where(direct).select("query_id", "name")
-        reach = traverse(found_seeds, scope, min(4, max(1, hops)), limit if not doc_ids else 1 << 30)
+        reach = traverse(found_seeds, scope, min(4, max(1, hops)), limit if not doc_ids else 1 << 30, None if doc_ids else near)
         kept = reach.join(scoped(relations, doc_ids), "id")
         order = Window.partitionBy("query_id").orderBy("pos")
         return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
-    hits = traverse(found_seeds, scope, hops, limit).unionByName(fallback(asked, found_seeds, scope, limit))
+    hits = traverse(found_seeds, scope, hops, limit, None if doc_ids else near).unionByName(fallback(asked, found_seeds, scope, limit))
     return hits.join(scope, "id")
 
 

@@ -3,8 +3,10 @@
 Each text is reduced to a shape mask: digits become ``d``, Latin letters ``a``, all else stays. A
 mask fixes the length and the place of every field, so each distinct mask is mapped to a parser
 once and all texts of that mask are converted together as one matrix of code points. Local times
-go through transition tables of the IANA zones (one sorted array of switch times a zone, made from
-the zone database of the driver, whose version is part of the table).
+go through transition tables of the IANA zones (one sorted array of switch times a zone). The driver reads its zone
+files once and sends them, with their version, to all tasks, which make the tables from them and
+never look at zone files of their own; so all instants of a run come from one version. Zone and
+date order of a feed are joined to the records.
 
 Rules: missing smaller units are zero; an hour stands alone if an hour sign, a T or AM or PM shows
 that it is one. Every year of the calendar holds, 1 to 9999, as the zone database has it: local mean
@@ -13,13 +15,16 @@ a Unix count in s, ms, us or ns (10, 13, 16, 19). A zone in the text wins: offse
 bracketed IANA name or 北京时间. Else the zone of the feed holds; without a known feed the result
 is null. A local time that occurs twice means the first, a skipped one takes the offset before the
 change. An abbreviation means the feed's own zone if that has it, else the one feed zone that has
-it. Null, empty and blank texts, words, and dates that don't exist give null. Texts of any length
-are safe; those longer than ``LONGEST`` characters once spaces are cleaned denote no time, as no
-notation is as long.
+it. Null, empty and blank texts, words, and dates that don't exist give null. Texts of any length are
+safe: beyond ``LONGEST`` characters, without spaces and a label in front, no notation goes on.
 """
 
 from __future__ import annotations
 
+import importlib.resources
+import importlib.util
+import io
+import pathlib
 import re
 import unicodedata
 import zoneinfo
@@ -54,6 +59,7 @@ _DATE = r"""(?:(?P<Y>dddd)\s*(?P<sep1>[-/.年])\s*(?P<M>dd?)\s*[-/.月]\s*(?P<D>
 _TIME = r"""(?:(?P<cn>上午|下午|凌晨|早上|中午|晚上)?\s*(?:(?P<h>dd?)\s*(?:[:时点]\s*(?P<m>dd?)(?:\s*[:分]\s*(?P<s>dd?)(?:[.,](?P<f>d{1,9}))?秒?|分)?|[时点]整?)|(?P<h2>dd)(?P<m2>dd)(?P<s3>dd)(?:[.,](?P<f2>d{1,9}))?|(?P<bare>(?<!d)(?P<h4>dd?))))"""
 _ZONE = r"""(?:\s*(?P<w1>a+))?(?:\s*(?P<w2>a+))?(?:\s*(?P<sg>[+-])(?P<oh>dd?)(?::?(?P<om>dd))?)?(?:\s*\[(?P<zone>[a/_+d-]+)\])?"""
 _SHAPE = re.compile(rf"(?:(?:发布时间|发布日期|更新时间|时间|日期|a+)\s*:\s*)?(?P<bj>北京时间)?\s*{_DATE}(?:(?:(?P<T>a)|\s*,?\s*){_TIME}{_ZONE}|(?P<only>{_ZONE.replace('P<', 'P<o_')}))", re.X)
+_LABEL = re.compile(r"^(?:发布时间|发布日期|更新时间|时间|日期|[A-Za-z]+) ?: ?")
 _TO_MASK = str.maketrans({**{chr(c): "d" for c in range(48, 58)}, **{chr(c): "a" for c in (*range(65, 91), *range(97, 123))}})
 
 
@@ -70,29 +76,49 @@ class ZoneTable:
         return local - self.offsets[np.searchsorted(self.switches, listed, side="right")]
 
 
-def zone_version() -> str:
-    """The version of the zone database, as far as the system tells."""
-    for folder in zoneinfo.TZPATH:
-        try:
-            with open(f"{folder}/tzdata.zi") as lines:
-                return lines.readline().split()[-1]
-        except OSError:
-            continue
-    try:
-        import tzdata
-
-        return tzdata.IANA_VERSION
-    except ImportError:
-        return "unknown"
-
-
-@lru_cache(maxsize=None)
-def zone_table(name: str) -> ZoneTable | None:
-    """Transitions of the years of ``_LISTED`` and of one cycle more, found by halving weeks; None for unknown names."""
-    try:
-        zone = zoneinfo.ZoneInfo(name)
-    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
-        return None
+@dataclass
+class Zones:
+    """Zone files by name, of one version of the database; tables are made when they are asked for."""
+
+    version: str
+    raw: dict[str, bytes]
+    tables: dict[str, ZoneTable] = field(default_factory=dict)
+
+    @classmethod
+    @lru_cache(maxsize=1)
+    def of_system(cls) -> Zones:
+        """All zones of this machine's database (some 600 files, about a MB)."""
+        raw, version = {}, "unknown"
+        for folder in zoneinfo.TZPATH:
+            try:
+                with open(f"{folder}/tzdata.zi") as lines:
+                    version = lines.readline().split()[-1]
+                    break
+            except OSError:
+                continue
+        packaged = importlib.resources.files("tzdata") if importlib.util.find_spec("tzdata") else None
+        if version == "unknown" and packaged:
+            version = importlib.import_module("tzdata").IANA_VERSION
+        for name in zoneinfo.available_timezones():
+            places = [pathlib.Path(folder, name) for folder in zoneinfo.TZPATH] + ([packaged.joinpath("zoneinfo", *name.split("/"))] if packaged else [])
+            for place in places:
+                if place.is_file():
+                    raw[name] = place.read_bytes()
+                    break
+        return cls(version, raw)
+
+    def table(self, name: str | None) -> ZoneTable | None:
+        """None for unknown names."""
+        if name not in self.raw:
+            return None
+        if name not in self.tables:
+            self.tables[name] = _transitions(self.raw[name], name)
+        return self.tables[name]
+
+
+def _transitions(raw: bytes, name: str) -> ZoneTable:
+    """Transitions of the years of ``_LISTED`` and of one cycle more, found by halving weeks."""
+    zone = zoneinfo.ZoneInfo.from_file(io.BytesIO(raw), key=name)
 
     def offset(second: int) -> int:
         return int((_EPOCH + timedelta(seconds=second)).astimezone(zone).utcoffset().total_seconds())
@@ -138,6 +164,8 @@ def clean(text: str | None) -> str:
     if not text:
         return ""
     text = " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).split())
+    if len(text) > LONGEST:
+        text = _LABEL.sub("", text, count=1)
     if len(text) > LONGEST:
         return ""
     if any(c in _CHINESE or c == "十" for c in text):
@@ -158,18 +186,24 @@ def _digits(found: re.Match[str]) -> str:
 class Converter:
     """Texts to microseconds since 1970 UTC, by shape."""
 
-    def __init__(self, feeds: dict[str, tuple[str | None, str | None]], version: str | None = None):
-        self.feeds = feeds
-        self.version = version or zone_version()
-        self.zones = [z for z in dict.fromkeys(tz for tz, _ in feeds.values() if tz) if zone_table(z)]
+    def __init__(self, feeds: dict[str, tuple[str | None, str | None]] | None = None, zones: Zones | None = None, names: list[str] | None = None):
+        """``names``: the zones of all feeds; by default those of ``feeds``."""
+        self.feeds = feeds or {}
+        self.known = zones or Zones.of_system()
+        self.zones = [z for z in dict.fromkeys(sorted(names) if names is not None else (tz for tz, _ in self.feeds.values())) if self.known.table(z)]
         self.zone_number = {z: i for i, z in enumerate(self.zones)}
         self.shared: dict[str, int | None] = {}
         for zone in self.zones:
-            for name, offset in zone_table(zone).names.items():
+            for name, offset in self.known.table(zone).names.items():
                 self.shared[name] = offset if self.shared.get(name, offset) == offset else None
         self.shared |= {"UTC": 0, "GMT": 0, "Z": 0, "UT": 0}
 
     def convert(self, texts: list[str | None], sources: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """As convert_local, by the feeds of ``sources``."""
+        found = [self.feeds.get(s, (None, None)) for s in sources]
+        return self.convert_local(texts, [tz for tz, _ in found], [order for _, order in found])
+
+    def convert_local(self, texts: list[str | None], zones: list[str | None], orders: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Values and whether they hold."""
         n = len(texts)
         out, good = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
@@ -181,8 +215,8 @@ class Converter:
                     rows = by_mask[mask] = ([], [])
                 rows[0].append(i)
                 rows[1].append(plain)
-        feed_zone = np.array([self.zone_number.get(self.feeds.get(s, (None, None))[0], -1) for s in sources])
-        feed_order = np.array([{"mdy": 1, "dmy": 2, "ymd": 3}.get(self.feeds.get(s, (None, None))[1], 0) for s in sources])
+        feed_zone = np.array([self.zone_number.get(z, -1) for z in zones])
+        feed_order = np.array([{"mdy": 1, "dmy": 2, "ymd": 3}.get(o, 0) for o in orders])
         for mask, (at, plain) in by_mask.items():
             spans = shape_parser(mask)
             if spans is not None:
@@ -243,7 +277,7 @@ class Converter:
                     if up in ("AM", "PM") and "h" in spans and not half[i]:
                         half[i] = 1 + (up == "PM")
                     else:
-                        own = zone_table(self.zones[zone[i]]).names.get(up) if zone[i] >= 0 else None
+                        own = self.known.table(self.zones[zone[i]]).names.get(up) if zone[i] >= 0 else None
                         value = own if own is not None else self.shared.get(up)
                         good[i] &= value is not None and not fixed[i]
                         offset[i] = value or 0
@@ -267,11 +301,11 @@ class Converter:
             local = local + (number("f") * 10 ** (6 - (b - a)) if b - a <= 6 else number("f") // 10 ** (b - a - 6))
         out = local - offset
         if "bj" in spans:
-            return zone_table("Asia/Shanghai").to_utc(local) if not fixed.all() else out, good
+            return self.known.table("Asia/Shanghai").to_utc(local) if not fixed.all() else out, good
         if "zone" in spans and not fixed.all():
             for name in set(names := word("zone")):
                 rows = np.array([w == name for w in names])
-                table = zone_table(name)
+                table = self.known.table(name)
                 good &= ~rows | (table is not None)
                 if table is not None:
                     out[rows] = table.to_utc(local[rows])
@@ -281,31 +315,42 @@ class Converter:
             if number_ < 0:
                 good[rows] = False
             else:
-                out[rows] = zone_table(self.zones[number_]).to_utc(local[rows])
+                out[rows] = self.known.table(self.zones[number_]).to_utc(local[rows])
         return out, good
 
 
-def read_feeds(feeds: DataFrame, limit: int = 10_000) -> dict[str, tuple[str | None, str | None]]:
-    """Zone and date order by source. The table has a row a newsroom; more than ``limit`` raise."""
-    rows = feeds.where("source is not null").groupBy("source").agg(F.min("tz").alias("tz"), F.min("date_order").alias("o")).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("feeds has too many rows for a lookup table")
-    return {r.source: (r.tz, r.o) for r in rows}
-
+def normalize_times(records: DataFrame, feeds: DataFrame, keys: list[str], raw: str = "publish_time", source: str = "source", zones: Zones | None = None) -> DataFrame:
+    """``keys`` and ``utc_us``: one row per row of ``records``, null where no instant is denoted.
 
-def normalize_times(records: DataFrame, feeds: DataFrame, keys: list[str], raw: str = "publish_time", source: str = "source") -> DataFrame:
-    """``keys`` and ``utc_us``: one row per row of ``records``, null where no instant is denoted."""
-    table, version = read_feeds(feeds), zone_version()
+    A source that ``feeds`` names more than once has its smallest zone and order. ``zones``: the zone files to
+    use, by default the driver's.
+    """
+    spark = records.sparkSession
+    zones = zones or Zones.of_system()
+    sent = spark.sparkContext.broadcast((zones.version, zones.raw))
+    table = feeds.where("source is not null").groupBy(F.col("source").alias("_feed")).agg(F.min("tz").alias("_tz"), F.min("date_order").alias("_order"))
+    # at most as many as the zone database has
+    names = sorted({r._tz for r in table.select("_tz").distinct().where(F.col("_tz").isin(sorted(zones.raw))).collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        converter = Converter(table, version)
+        converter = Converter(zones=_received(*sent.value), names=names)
         for batch in batches:
             k = len(keys)
-            values, good = converter.convert(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist())
+            values, good = converter.convert_local(*(batch.column(i).to_pylist() for i in range(k, k + 3)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(values, mask=~good)], names=[*keys, "utc_us"])
 
     kinds = ", ".join(f"`{k}` {records.schema[k].dataType.simpleString()}" for k in keys)
-    return records.select(*keys, raw, source).mapInArrow(run, f"{kinds}, utc_us bigint")
+    rows = records.select(*keys, F.col(raw).alias("_raw"), F.col(source).alias("_feed")).join(table, "_feed", "left")
+    return rows.select(*keys, "_raw", "_tz", "_order").mapInArrow(run, f"{kinds}, utc_us bigint")
+
+
+_made: dict[tuple[str, int], Zones] = {}
+
+
+def _received(version: str, raw: dict[str, bytes]) -> Zones:
+    """One per Python worker and database, so that tables are made once."""
+    key = (version, hash(tuple(sorted(raw.items()))))
+    return _made.setdefault(key, Zones(version, raw))
 
 
 def found_times(documents: DataFrame, chunks: DataFrame, feeds: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 BLOCK = 4096
+SENT = 64_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,72 +42,87 @@ def topk_one(vectors: DataFrame, query: list[float], k: int, key: str = "chunk_i
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
-def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", vector: str = "embedding", block: int = BLOCK, sent: int = SENT) -> DataFrame:
     """``query_key, key, score, rank``: the k nearest vectors of every query.
 
-    The queries are a stated set; they are taken in blocks of ``block`` (a proven bound of what is
-    sent to the executors at once), each compared with every batch of vectors as one matrix
-    product. Only k rows per query, block and task leave a task. Vectors of another length than the
-    queries and nulls are left out. A key that is repeated counts once, with its best score; copies
-    are put together before a list is cut, so they never take the place of another key.
+    The queries are a stated set. They are taken in turns of at most ``sent`` bytes, which is what a scan of the
+    vectors sends to the executors; within a scan, blocks of ``block`` vectors meet blocks of ``block``
+    queries as one matrix product, so a task holds block * block scores. Single precision picks
+    candidates with a margin, double precision decides. k keys a query and block of vectors leave a
+    task. Vectors of another length than the queries and nulls are left out. A key that is
+    repeated counts once, with its best score; copies are put together before a list is cut.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     spark = vectors.sparkSession
     kind, query_kind = vectors.schema[key].dataType, queries.schema[query_key].dataType
+    schema = f"`{query_key}` {query_kind.simpleString()}, `{key}` {kind.simpleString()}, score double"
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
     asked = queries.where(F.col(query_key).isNotNull() & F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
     arrow, query_arrow = to_arrow_type(kind), to_arrow_type(query_kind)
-    parts = []
-    for ids, matrix in _blocks(asked, block):
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            scale = np.linalg.norm(matrix, axis=1)
-            unit = matrix / np.where(scale == 0, 1, scale)[:, None]
-            best_scores = np.full((len(ids), 0), -np.inf)
-            best_keys = np.empty((len(ids), 0), dtype=object)
-            for batch in batches:
-                listed = batch.column(1)
-                fit = np.flatnonzero(np.asarray(pa.compute.list_value_length(listed)) == matrix.shape[1])
-                if not len(fit):
-                    continue
-                x = listed.take(pa.array(fit)).flatten().to_numpy().reshape(len(fit), -1)
-                size = np.linalg.norm(x, axis=1)
-                scores = np.round(unit @ (x / np.where(size == 0, 1, size)[:, None]).T, 12)
-                names = np.array(batch.column(0).take(pa.array(fit)).to_pylist(), dtype=object)
-                order = np.argsort(names, kind="stable")  # ties go to the smaller key
-                scores, names = scores[:, order], names[order]
-                first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-                if len(first) < len(names):  # one column a key, before anything is cut
-                    scores, names = np.fmax.reduceat(scores, first, axis=1), names[first]
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                both = np.concatenate([best_scores, np.take_along_axis(scores, top, axis=1)], axis=1)
-                keys = np.concatenate([best_keys, names[top]], axis=1)
-                code = np.unique(keys, return_inverse=True)[1].reshape(keys.shape)
-                by_key = np.lexsort((-both, code), axis=1)
-                codes = np.take_along_axis(code, by_key, axis=1)
-                again = np.zeros(codes.shape, dtype=bool)
-                again[:, 1:] = codes[:, 1:] == codes[:, :-1]
-                both[np.nonzero(again)[0], by_key[again]] = -np.inf  # a key of an earlier batch keeps its best score
-                rank = np.lexsort((code, -both), axis=1)[:, :k]
-                best_scores, best_keys = np.take_along_axis(both, rank, axis=1), np.take_along_axis(keys, rank, axis=1)
-            q, at = np.nonzero(np.isfinite(best_scores))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], query_arrow), pa.array(list(best_keys[q, at]), arrow), pa.array(best_scores[q, at])], names=[query_key, key, "score"])
-
-        parts.append(rows.mapInArrow(run, f"`{query_key}` {query_kind.simpleString()}, `{key}` {kind.simpleString()}, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"`{query_key}` {query_kind.simpleString()}, `{key}` {kind.simpleString()}, score double, rank int")
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+    found = None
+    for ids, matrix in _turns(asked, sent):
+        question = spark.sparkContext.broadcast((pa.array(ids, query_arrow), _unit(matrix)))
+
+        def run(batches: Iterator[pa.RecordBatch], question=question) -> Iterator[pa.RecordBatch]:
+            ids, unit = question.value
+            for names, x in _vector_blocks(batches, unit.shape[1], block):
+                for a in range(0, len(unit), block):
+                    q, at, scores = _nearest(unit[a : a + block], x, names, k)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + a)), pa.array(names[at].tolist(), arrow), pa.array(scores)], names=[query_key, key, "score"])
+
+        part = rows.mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], f"{schema}, rank int")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return found.groupBy(query_key, key).agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(asked: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Blocks of queries, fetched one after the other."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size == 0, 1, size)
+
+
+def _vector_blocks(batches: Iterator[pa.RecordBatch], size: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and unit vectors of ``block`` rows, in order of keys, so that ties go to the smaller key."""
+    names: list = []
+    parts: list[np.ndarray] = []
+
+    def ready() -> tuple[np.ndarray, np.ndarray]:
+        keys = np.array(names, dtype=object)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], _unit(np.concatenate(parts)[order])
+
+    for batch in batches:
+        listed = batch.column(1)
+        fit = np.flatnonzero(np.asarray(pc.list_value_length(listed)) == size)
+        for a in range(0, len(fit), block):
+            rows = pa.array(fit[a : a + block])
+            if len(names) + len(rows) > block:
+                yield ready()
+                names, parts = [], []
+            names += batch.column(0).take(rows).to_pylist()
+            parts.append(listed.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size))
+    if names:
+        yield ready()
+
+
+def _nearest(unit: np.ndarray, x: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row of x, score) of at least the k best keys of each query; ``names`` are sorted."""
+    rough = np.nan_to_num(unit.astype(np.float32) @ x.astype(np.float32).T, nan=-np.inf)
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    best = rough if len(first) == len(names) else np.fmax.reduceat(rough, first, axis=1)  # one column a key
+    if best.shape[1] > k:
+        bar = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k, None] - np.float32(1e-5)
+        q, at = np.nonzero((rough >= bar) & (rough > -np.inf))
+    else:
+        q, at = np.nonzero(np.isfinite(rough))
+    return q, at, np.round(np.einsum("ij,ij->i", unit[q], x[at]), 12)
+
+
+def _turns(asked: DataFrame, sent: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Queries of at most ``sent`` bytes together, fetched one after the other."""
     ids: list = []
     vectors: list = []
     size = None
@@ -114,8 +131,8 @@ def _blocks(asked: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
         if len(row.v) != size:
             raise ValueError("queries must have one length")
         ids.append(row.q)
-        vectors.append(row.v)
-        if len(ids) == block:
+        vectors.append(np.array(row.v))
+        if len(ids) * size * 8 >= sent:
             yield ids, np.array(vectors)
             ids, vectors = [], []
     if ids:

@@ -19,7 +19,8 @@ from newsloom.functions.text import token_count
 from newsloom.lexicon import Lexicon
 from newsloom.operators import answering, catalog, chunking, embedding, extraction, graph, retrieval, timestamps, vectors
 from newsloom.plans import sql
-from newsloom.sources import text
+from newsloom.runtime import materialize
+from newsloom.sources import files, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2026-06-01"
@@ -34,22 +35,43 @@ def _lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
     return Lexicon.from_table(_table(spark, sf_dir, "lexicon"))
 
 
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _questions(spark: SparkSession, sf_dir: str, every: int = ASKED) -> DataFrame:
     """Headlines as questions."""
-    return _table(spark, sf_dir, "documents").where((F.col("doc_id") % ASKED == 0) & F.col("title").isNotNull()).select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
+    return _table(spark, sf_dir, "documents").where((F.col("doc_id") % every == 0) & F.col("title").isNotNull()).select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
+
+
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _indexed(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the index over ``sf_dir``: written by the first query of the application that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = materialize(make(), name)
+    return spark.read.schema(_KEPT[key].schema).parquet(_KEPT[key]._newsloom_path)
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks once each: the rows of one chunk_id are exact copies."""
-    rows = _table(spark, sf_dir, "chunks").where("chunk_id is not null")
-    one = F.struct("doc_id", "content", "title", "source", "page_number", "publish_time", "chunk_index")
-    return rows.groupBy("chunk_id").agg(F.min(one).alias("c")).select("chunk_id", "c.*")
+    """Chunks once each: the rows of one chunk_id are exact copies, and the first in its file stays.
+
+    Only ids and places are shuffled; what is joined back to the rows are the ids that occur more than once.
+    """
+    placed = _table(spark, sf_dir, "chunks").where("chunk_id is not null").withColumn("_at", F.struct("_metadata.file_path", "_metadata.row_index"))
+    again = _indexed(spark, sf_dir, "repeated-chunks", lambda: placed.groupBy("chunk_id").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("chunk_id", "_first"))
+    once = placed.join(again, "chunk_id", "left").where("_first is null or _at = _first")
+    return once.select("chunk_id", "doc_id", "content", "title", "source", "page_number", "publish_time", "chunk_index")
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_relations(_table(spark, sf_dir, "relations"))
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Merged relations and their adjacency."""
+    merged = _indexed(spark, sf_dir, "relations", lambda: _merged(spark, sf_dir))
+    return merged, _indexed(spark, sf_dir, "adjacency", lambda: graph.adjacency(merged))
+
+
 # sources
 
 
@@ -66,6 +88,16 @@ def guessed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.title(text.sanitize(F.col("text")), F.col("doc_key")).alias("guess"))
 
 
+def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a text, web or CSV file."""
+    rows = _table(spark, sf_dir, "documents").where("text is not null").withColumn("t", F.translate("text", "<>&", ""))
+    kind, quoted = F.col("doc_id") % 3, F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('", x'))
+    raw = F.when(kind == 0, F.col("text")).when(kind == 1, F.concat(F.lit("<div><p>"), "t", F.lit("</p> <b>end</b></div>"))).otherwise(quoted)
+    suffix = F.when(kind == 0, ".txt").when(kind == 1, ".html").otherwise(".csv")
+    pages = files.parse_files(rows.select(F.concat(F.lit("/in/d"), F.col("doc_id").cast("string"), suffix).alias("path"), raw.cast("binary").alias("content")))
+    return pages.select("doc_id", "source", F.col("metadata")["file_type"].alias("file_type"), F.length("text").alias("chars"), F.md5("text").alias("page"))
+
+
 # chunking
 
 
@@ -190,6 +222,13 @@ def quoted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy(F.col("m.name").alias("name")).agg(F.count("*").alias("n"))
 
 
+def quoted_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted names and companies of fixed sentences, as the tables hold no quotation mark."""
+    rows = spark.createDataFrame(sql.SENTENCE_ROWS, "id int, sentence string")
+    parts = [rows.select("id", F.explode(extraction._matches(F.col("sentence"), pattern)).alias("m"), F.lit(kind).alias("kind")) for pattern, kind in ((extraction.QUOTED, "quoted"), (extraction.COMPANY, "company"))]
+    return parts[0].unionByName(parts[1]).select("id", "m.name", "kind")
+
+
 def relation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = _lexicon(spark, sf_dir)
     rows = extraction.sentences(_chunks(spark, sf_dir).select("chunk_id", "content"))
@@ -226,12 +265,18 @@ def graph_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.seeds(graph.question_terms(_questions(spark, sf_dir), _lexicon(spark, sf_dir).aliases), names)
 
 
-def _search(hops: int, limit: int = 30, dialect: str = "native", relation_names: bool = False) -> Query:
+def _scope(spark: SparkSession, sf_dir: str) -> list[str]:
+    """A hundred documents to search in, the same at every size."""
+    return [r.doc_id for r in _table(spark, sf_dir, "relations").where("doc_id is not null").select("doc_id").distinct().orderBy(F.md5("doc_id")).limit(100).collect()]
+
+
+def _search(hops: int, limit: int = 30, dialect: str = "native", relation_names: bool = False, scope: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         asked = _questions(spark, sf_dir)
         if relation_names:
             asked = _table(spark, sf_dir, "lexicon").where("kind = 'rule'").select(F.col("ord").cast("bigint").alias("query_id"), F.concat(F.lit("？"), "term", F.lit("？")).alias("question"))
-        found = graph.search(asked, _merged(spark, sf_dir), hops, limit, None, _lexicon(spark, sf_dir).aliases, dialect)
+        merged, near = _graph(spark, sf_dir)
+        found = graph.search(asked, merged, hops, limit, _scope(spark, sf_dir) if scope else None, _lexicon(spark, sf_dir).aliases, dialect, near)
         return found.select("query_id", "pos", "hop", "id")
 
     return run
@@ -305,19 +350,41 @@ def extractive_answers(spark: SparkSession, sf_dir: str, whole: bool = False) ->
     return answering.answers(answering.prompts(asked, evidence)).select("query_id", "answer")
 
 
-def _answered(mode: str) -> Query:
+def _found(spark: SparkSession, sf_dir: str, mode: str, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    chunks = _chunks(spark, sf_dir).where("content is not null")
+    stored = _indexed(spark, sf_dir, "content-vectors", lambda: embedding.hash_embed(chunks, carry=("doc_id",))) if mode != "graph" else None
+    merged, near = _graph(spark, sf_dir)
+    return evidence_for(asked, chunks, stored, merged, _lexicon(spark, sf_dir), mode, 5, EngineConfig(), as_of=F.lit(AS_OF).cast("date"), scheme="sha256", near=near)
+
+
+def _answered(mode: str, every: int = ASKED) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        chunks = _chunks(spark, sf_dir).where("content is not null")
-        stored = chunks.select("chunk_id", "doc_id").join(embedding.hash_embed(chunks), "chunk_id")
-        lexicon = _lexicon(spark, sf_dir)
-        asked = _questions(spark, sf_dir)
-        evidence, found = evidence_for(asked, chunks, stored, _merged(spark, sf_dir), lexicon, mode, 5, EngineConfig(), as_of=F.lit(AS_OF).cast("date"), scheme="sha256")
+        asked = _questions(spark, sf_dir, every)
+        evidence, found = _found(spark, sf_dir, mode, asked)
         return answering.answers(answering.prompts(asked, evidence, found))
 
     return run
 
 
-flagship = _answered("hybrid")
+def _evidence_of(mode: str) -> Query:
+    """Evidence with its scores, as it is cited."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cited = answering.citations(_found(spark, sf_dir, mode, _questions(spark, sf_dir))[0])
+        return cited.select("query_id", "number", "chunk_id", F.round("score", 6).alias("score"), "title")
+
+    return run
+
+
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that nothing in the index answers."""
+    asked = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("query_id"), F.concat(F.lit("!"), F.col("n_nationkey").cast("string")).alias("question"))
+    evidence, found = _found(spark, sf_dir, "graph", asked)
+    return answering.answers(answering.prompts(asked, evidence, found))
+
+
+#: Over all headlines, so that a small table asks questions too.
+flagship = _answered("hybrid", 1)
 
 
 # catalogue
@@ -361,15 +428,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     plain = [
-        text_documents, labelled_dates, guessed_titles, token_counts, chunk_texts, chunk_pages, unsearchable, feature_totals, hash_embedding, hash_embedding_blake, content_features, content_embedding, content_embedding_blake,
-        cosine_topk, cosine_batch, cosine_scoped, chunk_lookup, chunk_lookup_all, vector_upsert, sentence_split, lexicon_mentions, company_names, quoted_names, relation_labels, extracted_relations,
+        text_documents, labelled_dates, guessed_titles, parsed_files, token_counts, chunk_texts, chunk_pages, unsearchable, feature_totals, hash_embedding, hash_embedding_blake, content_features, content_embedding, content_embedding_blake,
+        cosine_topk, cosine_batch, cosine_scoped, chunk_lookup, chunk_lookup_all, vector_upsert, sentence_split, lexicon_mentions, company_names, quoted_names, quoted_examples, relation_labels, extracted_relations,
         merged_relations, graph_entities, graph_counts, question_terms, graph_seeds, simple_edges, node_styles, date_bonus, graph_channel, graph_evidence, rank_fusion, rank_fusion_all,
         citations, first_sentences, prompt_texts, extractive_answers, catalog_rows, catalog_listing, catalog_display, catalog_get, engine_stats, payload_codec, p5_found,
     ]
     out: dict[str, Query] = {f.__name__: f for f in plain}
     out |= {f"{f.__name__}_all": partial(f, whole=True) for f in (citations, prompt_texts, extractive_answers)}
-    out |= {"graph_one_hop": _search(1), "graph_two_hops": _search(2), "graph_limit": _search(2, 3), "graph_fallback": _search(2, 30, "native", True), "graph_path_dialect": _search(2, 30, "path")}
+    out |= {"graph_one_hop": _search(1), "graph_two_hops": _search(2), "graph_limit": _search(2, 3), "graph_fallback": _search(2, 30, "native", True), "graph_path_dialect": _search(2, 30, "path"), "graph_scoped": _search(2, 30, scope=True), "graph_path_scoped": _search(2, 30, "path", scope=True)}
     out |= {"answers_vector": _answered("vector"), "answers_graph": _answered("graph"), "answers_hybrid": _answered("hybrid")}
+    out |= {"evidence_vector": _evidence_of("vector"), "evidence_hybrid": _evidence_of("hybrid"), "refused": refused}
     return out
 
 

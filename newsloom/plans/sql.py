@@ -32,16 +32,26 @@ SEEDS = "seeds AS (SELECT DISTINCT query_id, name FROM q, names WHERE contains(q
 PATH_SEEDS = "seeds AS (SELECT DISTINCT query_id, name FROM q, names WHERE contains(question, name) AND query_id IN (SELECT query_id FROM terms) UNION SELECT DISTINCT query_id, name FROM terms, names WHERE contains(lower(name), term))"
 
 
-def _walk(hops: int, limit: int, seeds: str = SEEDS) -> str:
-    """Distances of nodes, then hops of edges, in full; the earliest of edges that differ in their document."""
+SCOPE = "scope AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM relations WHERE doc_id IS NOT NULL) ORDER BY md5(doc_id) LIMIT 100)"
+ALL_ROWS = 1 << 30
+
+
+def _walk(hops: int, limit: int, seeds: str = SEEDS, scoped: str = "") -> str:
+    """Distances of nodes, then hops of edges, in full; the earliest of edges that differ in their document. ``scoped``: native scopes before, path after the walk."""
     parts = ["edges AS (SELECT source, target, min(seq) AS seq, arg_min(id, seq) AS id FROM merged GROUP BY source, relation, target, chunk_id)", "d0 AS (SELECT query_id, name FROM seeds)"]
     for h in range(1, hops + 1):
         parts.append(f"h{h} AS (SELECT DISTINCT query_id, seq, id, source, target FROM d{h - 1} d JOIN edges e ON d.name = e.source OR d.name = e.target)")
         parts.append(f"d{h} AS (SELECT query_id, name FROM d{h - 1} UNION SELECT query_id, unnest([source, target]) FROM h{h})")
     union = " UNION ALL ".join(f"SELECT query_id, seq, id, {h} AS hop FROM h{h}" for h in range(1, hops + 1))
     parts.append(f"reach AS (SELECT query_id, seq, id, min(hop) AS hop FROM ({union}) GROUP BY query_id, seq, id)")
-    parts.append(f"placed AS (SELECT query_id, id, hop, row_number() OVER (PARTITION BY query_id ORDER BY hop, seq) AS pos FROM reach QUALIFY pos <= {limit})")
-    return f"WITH {MERGED}, {QUESTIONS}, {TERMS}, {ENDS}, {seeds}, " + ", ".join(parts) + " SELECT query_id, CAST(pos AS INTEGER) AS pos, CAST(hop AS INTEGER) AS hop, id FROM placed"
+    within = "WHERE id IN (SELECT id FROM merged WHERE doc_id IN (SELECT doc_id FROM scope))" if scoped == "path" else ""
+    parts.append(f"placed AS (SELECT query_id, id, hop, row_number() OVER (PARTITION BY query_id ORDER BY hop, seq) AS pos FROM reach {within} QUALIFY pos <= {limit})")
+    merged = MERGED
+    if scoped:
+        merged = f"{SCOPE}, {MERGED}"
+    if scoped == "native":
+        merged = f"{SCOPE}, {MERGED.replace('merged AS', 'merged_all AS', 1)}, merged AS (SELECT * FROM merged_all WHERE doc_id IN (SELECT doc_id FROM scope))"
+    return f"WITH {merged}, {QUESTIONS}, {TERMS}, {ENDS}, {seeds}, " + ", ".join(parts) + " SELECT query_id, CAST(pos AS INTEGER) AS pos, CAST(hop AS INTEGER) AS hop, id FROM placed"
 
 
 def _topk(k: int, where: str = "") -> str:
@@ -97,14 +107,40 @@ def _embedded(name: str, source: str) -> str:
       {name}_v AS (SELECT id, place, CAST(total AS DOUBLE) / sqrt(CAST(sum(total * total) OVER (PARTITION BY id) AS DOUBLE)) AS value FROM {name}_p WHERE total <> 0)"""
 
 
-def _answers(mode: str) -> str:
+def _date() -> str:
+    plain = "replace(regexp_replace(trim(publish_time), '[年月/.]', '-', 'g'), '日', '')"
+    return f"CASE WHEN regexp_full_match({plain}, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN CAST(try_strptime({plain}, '%Y-%m-%d') AS DATE) END"
+
+
+def _bonus() -> str:
+    return "CASE WHEN d IS NULL THEN 0.0 ELSE 0.03 / (1 + greatest(date_diff('day', d, DATE '2026-06-01'), 0) / 365.0) END"
+
+
+#: Sentences with quoted names and companies, for both engines.
+SENTENCE_ROWS = [
+    (1, "《上市公司分红指导意见》由中国证监会发布，华夏银行表示支持"), (2, "“绿色金融试点办法”与\"数字人民币规划\"同时公布"), (3, "没有引号的句子，只有平安保险"), (4, "《短》《  空白名称通知  》之后是《另一份文件规定》"),
+    (5, "“未闭合的引号"), (6, "\"abc\"和\"ab\""), (7, "据悉，国泰君安证券、中信集团：招商银行。"), (8, "《这个名称刚好超过三十二个字符因此不应该被识别为一个引用的名称因为它实在太长了》"), (9, "《内有“嵌套”引号》"),
+]
+
+
+def values() -> str:
+    return ", ".join(f"({i}, '{s}')" for i, s in SENTENCE_ROWS)
+
+
+def _answers(mode: str, cited: bool = False) -> str:
     """Answers from five pieces of evidence a question, of the vector list, the graph list or both."""
     vector = f"""{_embedded('qe', 'SELECT query_id AS id, question AS text FROM q')}, {_embedded('ce', 'SELECT chunk_id AS id, content AS text FROM chunk_rows WHERE content IS NOT NULL')},
-      vl AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.id AS query_id, b.id AS chunk_id, round(sum(a.value * b.value), 12) AS score FROM qe_v a JOIN ce_v b USING (place) GROUP BY 1, 2) QUALIFY rank <= {10 if mode == "hybrid" else 5})"""
+      vl AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.id AS query_id, b.id AS chunk_id, round(sum(a.value * b.value), 12) AS score FROM qe_v a JOIN ce_v b USING (place) GROUP BY 1, 2) QUALIFY rank <= {10 if mode == "hybrid" else 5})"""
     graph = """gl0 AS (SELECT query_id, chunk_id, min(pos) AS first, max(confidence) AS score FROM placed JOIN merged USING (id) WHERE chunk_id IN (SELECT chunk_id FROM chunk_rows WHERE content IS NOT NULL) GROUP BY query_id, chunk_id),
       gl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM gl0)"""
     fused = """u AS (SELECT query_id, chunk_id, rank, 0 AS turn, 1.0 AS w FROM vl UNION ALL SELECT query_id, chunk_id, rank, 1, 0.9 FROM gl),
       fu AS (SELECT query_id, chunk_id, sum(CAST(w AS DOUBLE) / (60 + rank)) AS score, min(turn * 1000000000 + rank) AS place FROM u GROUP BY query_id, chunk_id), l AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 15) DESC, place) AS rank FROM fu)"""
+    if cited:
+        bonus = f"coalesce((SELECT bonus FROM bonuses WHERE bonuses.chunk_id = vl.chunk_id), 0)"
+        ranked = {"vector": f"{vector}, l AS (SELECT query_id, chunk_id, rank, score + {bonus} AS score FROM vl)", "hybrid": f"{vector}, {graph}, {fused.replace('AS rank FROM fu', 'AS rank, score FROM fu')}"}[mode]
+        walk = _walk(2, 30).split(" SELECT query_id, CAST(pos", 1)[0]
+        dated = f"bonuses AS (SELECT chunk_id, {_bonus()} AS bonus FROM (SELECT chunk_id, {_date()} AS d FROM chunk_rows))"
+        return f"{walk}, {CHUNKS}, {dated}, {ranked} SELECT query_id, CAST(rank AS INTEGER) AS number, chunk_id, round(score, 6) AS score, title FROM l JOIN chunk_rows USING (chunk_id) WHERE rank <= 5"
     parts = {"vector": f"{vector}, l AS (SELECT * FROM vl)", "graph": f"{graph}, l AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, first) AS rank FROM gl)", "hybrid": f"{vector}, {graph}, {fused}"}[mode]
     walk = _walk(2, 30).split(" SELECT query_id, CAST(pos", 1)[0]
     return f"""{walk}, {CHUNKS}, {parts}, s AS (SELECT query_id, rank, {_first_sentence("coalesce(content, '')")} AS s FROM l JOIN chunk_rows USING (chunk_id) WHERE rank <= 3),
@@ -188,6 +224,17 @@ def statements() -> dict[str, str]:
         "answers_vector": _answers("vector"),
         "answers_graph": _answers("graph"),
         "answers_hybrid": _answers("hybrid"),
+        "evidence_vector": _answers("vector", True),
+        "evidence_hybrid": _answers("hybrid", True),
+        "refused": "SELECT CAST(n_nationkey AS BIGINT) AS query_id, '!' || n_nationkey AS question, '当前知识库没有检索到足够证据，暂时无法给出可靠结论。' AS answer FROM nation",
+        "graph_scoped": _walk(2, 30, scoped="native"),
+        "graph_path_scoped": _walk(2, 30, PATH_SEEDS, "path"),
+        "quoted_examples": f"SELECT id, name, kind FROM (SELECT id, unnest(regexp_extract_all(sentence, '{QUOTED}', 1)) AS name, 'quoted' AS kind FROM (VALUES {values()}) t(id, sentence) UNION ALL SELECT id, unnest(regexp_extract_all(sentence, '{COMPANY}', 1)), 'company' FROM (VALUES {values()}) t(id, sentence))",
+        "parsed_files": f"""WITH f AS (SELECT doc_id AS k, translate(text, '<>&', '') AS t, text FROM documents WHERE text IS NOT NULL),
+          r AS (SELECT 'd' || k || '.txt' AS source, 'txt' AS file_type, text AS raw, replace(text, chr(0), '') AS page FROM f WHERE k % 3 = 0
+            UNION ALL SELECT 'd' || k || '.html', 'html', '<div><p>' || t || '</p> <b>end</b></div>', CASE WHEN {_strip('t')} = '' THEN 'end' ELSE {_strip('t')} || chr(10) || 'end' END FROM f WHERE k % 3 = 1
+            UNION ALL SELECT 'd' || k || '.csv', 'csv', '"' || replace(text, '"', '""') || '", x', {_strip('text')} || ' | x' FROM f WHERE k % 3 = 2)
+          SELECT substr(sha256(raw), 1, 24) AS doc_id, source, file_type, CAST(length(page) AS INTEGER) AS chars, md5(page) AS page FROM r""",
         "catalog_rows": f"WITH {CATALOG} SELECT * FROM cat",
         "catalog_listing": f"WITH {CATALOG} SELECT doc_id, indexed_at, chunk_count FROM cat",
         "catalog_display": f"WITH {CATALOG} SELECT doc_id, title, source, coalesce(publish_time, '') AS publish_time, chunk_count, coalesce(title, '') || ' · ' || substr(doc_id, 1, 8) AS choice FROM cat",

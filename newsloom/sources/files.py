@@ -6,7 +6,7 @@ import csv
 import io
 import os
 import re
-import shutil
+import uuid
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -14,6 +14,7 @@ from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,21 +27,13 @@ _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.parts: list[str] = []
-
-    def handle_data(self, data: str) -> None:
-        if data.strip():
-            self.parts.append(data.strip())
-
-
 def html_text(raw: str) -> str:
     """All text nodes, scripts and styles with them, stripped, one a line."""
-    reader = _Text()
-    reader.feed(raw)
-    return "\n".join(reader.parts)
+    lines: list[str] = []
+    events = HTMLParser()
+    events.handle_data = lambda node: lines.extend(filter(None, [node.strip()]))
+    events.feed(raw)
+    return "\n".join(lines)
 
 
 def _csv(raw: bytes) -> list[Page]:
@@ -134,39 +127,52 @@ def check_paths(paths: list[str]) -> None:
             raise ValueError(f"unsupported file type: {Path(path).suffix}")
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_files(spark: SparkSession, paths: list[str], uploads: str | None = None) -> DataFrame:
     """``doc_id, title, source, publish_time, metadata, page_pos, page_number, text``: a row a page."""
     check_paths(paths)
-    return parse_files(spark.read.format("binaryFile").load(paths))
+    return parse_files(spark.read.format("binaryFile").load(paths), uploads)
+
 
+def parse_files(files: DataFrame, uploads: str | None = None) -> DataFrame:
+    """As read_files, of rows (path, content); the one place where files meet Python.
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """As read_files, of rows (path, content); the one place where files meet Python."""
+    With ``uploads``, the tasks copy each file there, and metadata has its ``stored_path``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             pages = [[{"text": t, "page_number": n} for t, n in parse_bytes(Path(path).suffix, raw)] for path, raw in zip(batch["path"], batch["content"], strict=True)]
-            yield pd.DataFrame({"path": batch["path"], "doc_id": batch["doc_id"], "pages": pages})
+            stored = [store_copy(raw, Path(path).suffix, doc, uploads) if uploads else None for path, raw, doc in zip(batch["path"], batch["content"], batch["doc_id"], strict=True)]
+            yield pd.DataFrame({"path": batch["path"], "doc_id": batch["doc_id"], "pages": pages, "stored": stored})
 
     hashed = files.select("path", "content", T.doc_id(F.col("content")).alias("doc_id"))
-    parsed = hashed.mapInPandas(run, "path string, doc_id string, pages array<struct<text:string,page_number:int>>")
+    parsed = hashed.mapInPandas(run, "path string, doc_id string, pages array<struct<text:string,page_number:int>>, stored string")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     whole = F.transform("pages", lambda p: p["text"])
+    metadata = F.map_from_entries(F.filter(F.array(
+        F.struct(F.lit("file_type"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("value")),
+        F.struct(F.lit("original_path"), F.col("path").alias("value")),
+        F.struct(F.lit("stored_path"), F.col("stored").alias("value")),
+    ), lambda e: e["value"].isNotNull()))
     described = parsed.select(
         "doc_id",
         T.title(F.array_join(F.slice(whole, 1, 3), "\n"), F.regexp_replace(name, r"\.[^.]*$", "")).alias("title"),
         name.alias("source"),
         T.publish_time(whole).alias("publish_time"),
-        F.create_map(F.lit("file_type"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)), F.lit("original_path"), F.col("path")).alias("metadata"),
+        metadata.alias("metadata"),
         "pages",
     )
     return described.select("doc_id", "title", "source", "publish_time", "metadata", F.posexplode("pages").alias("page_pos", "page")).select("doc_id", "title", "source", "publish_time", "metadata", "page_pos", "page.page_number", "page.text")
 
 
-def store_copy(path: str, doc_id: str, uploads: str) -> str:
-    """Copy a file to its content address; nothing is done if it lies there."""
-    target = Path(uploads) / f"{doc_id}{Path(path).suffix.lower()}"
-    target.parent.mkdir(parents=True, exist_ok=True)
-    if Path(path).resolve() != target.resolve():
-        shutil.copyfile(path, target)
-    return str(target)
+def store_copy(raw: bytes, suffix: str, doc_id: str, uploads: str) -> str:
+    """Write a file's bytes to their content address; nothing is done if they lie there."""
+    system, folder = fs.FileSystem.from_uri(uploads if "://" in uploads else os.path.abspath(uploads))
+    target = f"{folder.rstrip('/')}/{doc_id}{suffix.lower()}"
+    if system.get_file_info(target).size != len(raw):
+        system.create_dir(folder, recursive=True)
+        part = f"{target}.{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as out:
+            out.write(raw)
+        system.move(part, target)
+    return target

@@ -100,8 +100,9 @@ def test_paths(tmp_path, spark):
     (tmp_path / "a.txt").write_text("发布日期：2026-01-02\n正文内容在此", encoding="utf-8")
     row = files.read_files(spark, [str(tmp_path / "a.txt")]).first()
     assert (row.source, row.publish_time, row.page_number, row.metadata["file_type"]) == ("a.txt", "2026-01-02", None, "txt")
-    stored = files.store_copy(str(tmp_path / "a.txt"), row.doc_id, str(tmp_path / "up"))
-    assert stored.endswith(f"{row.doc_id}.txt") and files.store_copy(stored, row.doc_id, str(tmp_path / "up")) == stored
+    copied = files.read_files(spark, [str(tmp_path / "a.txt")], str(tmp_path / "up")).first().metadata["stored_path"]
+    assert copied == str(tmp_path / "up" / f"{row.doc_id}.txt") and (tmp_path / "up" / f"{row.doc_id}.txt").read_text(encoding="utf-8").startswith("发布日期")
+    assert files.store_copy((tmp_path / "a.txt").read_bytes(), ".TXT", row.doc_id, str(tmp_path / "up")) == copied
 
 
 def test_config(tmp_path, monkeypatch):
@@ -119,9 +120,9 @@ def test_connectors_say_what_is_missing(spark):
     rows = spark.createDataFrame([("a", "d", [1.0])], "chunk_id string, doc_id string, embedding array<double>")
     with pytest.raises(ValueError, match="base_url"):
         connectors.remote_embed(rows, "", "m")
-    for call in (lambda: connectors.write_points(rows, "u", "c"), lambda: connectors.write_graph(rows, "u", "a", "b")):
-        try:
-            call()
-        except RuntimeError as error:
-            assert "package" in str(error)
+    for make in (connectors.VectorService, connectors.GraphService):
+        with pytest.raises(ValueError, match="url"):
+            make("")
+    with pytest.raises(RuntimeError, match="failed"):
+        connectors.VectorService("http://127.0.0.1:9").count()
     assert connectors.point_id("x") == connectors.point_id("x")

@@ -1,5 +1,6 @@
 """Vector search, fusion, answers, catalogue, engine and the registered queries."""
 
+import shutil
 import datetime
 import hashlib
 import math
@@ -14,6 +15,8 @@ from newsloom.config import EngineConfig
 from newsloom.engine import EvidenceEngine
 from newsloom.lexicon import Lexicon
 from newsloom.operators import answering, catalog, extraction, retrieval, vectors
+from newsloom.sources import store
+from newsloom.sources.versions import ConcurrentWrite
 from newsloom.streaming.file_index import index_stream
 
 
@@ -200,3 +203,45 @@ def test_blake_embedding_of_contents(spark, data):
             totals[int.from_bytes(raw[:8], "big") % 384] += 1 if raw[8] % 2 else -1
         want = totals / (np.linalg.norm(totals) or 1)
         assert found.get(r.chunk_id, {}) == pytest.approx({i: v for i, v in enumerate(want) if v}, abs=1e-6)
+
+
+def test_nothing_is_indexed_yet(spark, tmp_path):
+    engine = EvidenceEngine(spark, EngineConfig(warehouse=str(tmp_path / "w"), embedding_dimensions=16))
+    asked = spark.createDataFrame([(1, "证监会推动什么改革？")], "query_id int, question string")
+    for mode in ("vector", "graph", "hybrid"):
+        found = engine.ask(asked, mode)
+        assert [r.answer for r in found.answers.collect()] == [answering.REFUSAL] and found.citations.count() == 0
+    assert engine.documents().count() == 0
+    assert engine.stats().first().asDict() == {"documents": 0, "chunks": 0, "entities": 0, "relations": 0, "vector_backend": "native", "graph_backend": "native"}
+    for blank in ("", " \n", "\u3000", None):
+        with pytest.raises(ValueError, match="问题"):
+            engine.ask(spark.createDataFrame([(1, blank)], "query_id int, question string"))
+
+
+def test_store_writes_deltas(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FANOUT", 3)
+    root = f"file://{tmp_path}/s"
+    kept = store.Store(spark, root)
+    columns = store.SCHEMAS["vectors"]
+    rows = lambda *r: spark.createDataFrame([(c, d, [float(v)]) for c, d, v in r], columns)
+    for i in range(4):
+        base, state = kept.state()
+        kept.commit(base, state, {"vectors": rows(("a", "x", i), (f"b{i}", "y", i))})
+    base, state = kept.state()
+    assert [d["level"] for d in state["tables"]["vectors"]] == [1, 0]
+    reader = kept.read("vectors", state)
+    kept.commit(base, state, {"vectors": rows(("n", "y", 9))}, removed=spark.createDataFrame([("y",)], "doc_id string"))
+    assert {(r.chunk_id, r.embedding[0]) for r in kept.read("vectors").collect()} == {("a", 3.0), ("n", 9.0)}
+    assert reader.count() == 5  # a reader of the older version still has it
+    with pytest.raises(ConcurrentWrite):
+        kept.commit(base, state, {"vectors": rows(("z", "z", 1))})
+    assert kept.read("vectors").count() == 2 and kept.vacuum() > 0 and kept.read("vectors").count() == 2 and kept.vacuum() == 0
+
+
+def test_commit_does_not_read_the_store(spark, tmp_path):
+    kept = store.Store(spark, f"file://{tmp_path}/s")
+    base, state = kept.state()
+    kept.commit(base, state, {"catalog": spark.createDataFrame([("d", "t", "s", None, "p", 1, None)], store.SCHEMAS["catalog"])})
+    shutil.rmtree(kept.state()[1]["tables"]["catalog"][0]["path"].removeprefix("file://"))
+    base, state = kept.state()
+    kept.commit(base, state, {"catalog": spark.createDataFrame([("e", "t", "s", None, "p", 1, None)], store.SCHEMAS["catalog"])})

@@ -7,7 +7,7 @@ from zoneinfo import ZoneInfo
 import numpy as np
 import pytest
 
-from newsloom.operators.timestamps import LONGEST, Converter, clean, found_times, normalize_times, shape_parser, zone_table
+from newsloom.operators.timestamps import LONGEST, Converter, Zones, clean, found_times, normalize_times, shape_parser
 
 FEEDS = {"sh": ("Asia/Shanghai", "ymd"), "ny": ("America/New_York", "mdy"), "ldn": ("Europe/London", "dmy"), "chi": ("America/Chicago", "mdy"), "none": (None, None)}
 
@@ -87,7 +87,7 @@ def test_no_hour_alone(text):
 
 @pytest.mark.parametrize("name", ["America/New_York", "Europe/London", "Australia/Sydney", "Asia/Shanghai", "Africa/Casablanca"])
 def test_zones_of_every_year(name):
-    rng, zone, table = random.Random(4), ZoneInfo(name), zone_table(name)
+    rng, zone, table = random.Random(4), ZoneInfo(name), Zones.of_system().table(name)
     for _ in range(600):
         local = datetime(rng.choice([rng.randrange(2, 9998), rng.randrange(1850, 2150)]), 1, 1) + timedelta(minutes=rng.randrange(60 * 24 * 365))
         want = (local.replace(tzinfo=zone, fold=0) - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
@@ -108,7 +108,7 @@ def test_zone_is_needed():
 def test_local_times_follow_the_zone_database():
     rng = random.Random(3)
     for name in ("America/New_York", "Europe/London", "Australia/Sydney", "Asia/Shanghai", "Asia/Tokyo"):
-        zone, table = ZoneInfo(name), zone_table(name)
+        zone, table = ZoneInfo(name), Zones.of_system().table(name)
         for _ in range(400):
             local = datetime(2021, 1, 1) + timedelta(minutes=rng.randrange(60 * 24 * 365 * 5))
             want = (local.replace(tzinfo=zone, fold=0) - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
@@ -133,3 +133,21 @@ def test_tables(spark):
     assert out == {("document", "1"): _utc(2025, 9, 18, 16), ("chunk", "c"): 1742539230 * 10**6}
     assert normalize_times(docs, feeds, ["doc_id"]).count() == 5
     assert found_times(docs.limit(0), chunks.limit(0), feeds.limit(0)).count() == 0
+
+
+def test_zones_are_those_that_are_sent(spark):
+    """The tasks use the files of the run, not their own; a version without a zone doesn't know it."""
+    sent = Zones("made", {"Asia/Shanghai": Zones.of_system().raw["Asia/Tokyo"]})
+    rows = spark.createDataFrame([(1, "2024-01-01 09:00", "sh"), (2, "2024-01-01 09:00", "ny")], "id bigint, publish_time string, source string")
+    feeds = spark.createDataFrame([("sh", "Asia/Shanghai", "ymd"), ("ny", "America/New_York", "mdy")], "source string, tz string, date_order string")
+    got = {r.id: r.utc_us for r in normalize_times(rows, feeds, ["id"], zones=sent).collect()}
+    assert got == {1: 1_704_067_200_000_000, 2: None}
+    assert Zones.of_system().version != ""
+
+
+def test_many_sources_and_long_labels(spark):
+    feeds = spark.range(12_000).selectExpr("concat('s', id) as source", "'UTC' as tz", "'ymd' as date_order")
+    label = "x" * 5000
+    rows = spark.createDataFrame([(1, "2024-01-01", "s11999"), (2, f"{label}: 2024-01-01", "s1"), (3, label * 10, "s1"), (4, "2024-01-01 " + label, "s1")], "id bigint, publish_time string, source string")
+    got = {r.id: r.utc_us for r in normalize_times(rows, feeds, ["id"]).collect()}
+    assert got == {1: 1_704_067_200_000_000, 2: 1_704_067_200_000_000, 3: None, 4: None}
