@@ -7,7 +7,7 @@ smallest and largest key), bucketed and sorted by hash like all runs of the inde
 merge-joins its run with the runs there are: a hash of the batch that another record holds is a hit of the
 batch's records, and of the old record if it was the only one until then. So every record meets each
 hash that it shares once, when its second holder arrives, and a hash that stands in a third of the texts
-costs one row a run. Hits wait in a log until they are verified: the texts that are hit, no others, are
+costs one row a run. Hits and the batch's hashes wait in a log until they are verified: the texts that are hit, no others, are
 read, every span of ``span`` characters whose own smallest window was hit is hashed, and these marks are
 appended. A full tier of runs is verified and then compacted to one run of the next.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.runtime import drop, file_system, materialize, settings, table_path
+from newsloom.runtime import file_system, settings, table_path
 from newsloom.sources.versions import Versions
 
 SPAN = 120
@@ -118,11 +118,13 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return documents.where(F.length(text) >= span).select(F.col(key).alias("rec"), text).mapInArrow(run, f"rec {kind}, fp bigint")
 
 
-_MERGED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+#: Bucketed files keep their order when they are read; equal plans of different batches share their compiled code. A
+#: union of bucketed files says that it is partitioned like them, but Spark 4.1 doesn't run it so: that must be off.
+_MERGED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false", "spark.sql.codegen.useIdInClassName": "false", "spark.sql.unionOutputPartitioning": "false"}
 
 
 class FingerprintIndex:
-    """Runs (fp, low, high) in tiers, hits that wait (rec, fp), and verified marks (mark, rec, place), in a folder.
+    """Runs (fp, low, high) in tiers, hits that wait and verified marks (mark, rec, place), in a folder.
 
     ``buckets`` is the number of files of a run; it is fixed when the index is made (by default the session's
     shuffle partitions) and is to be chosen for the size the index will have.
@@ -134,7 +136,7 @@ class FingerprintIndex:
         self.spark, self.root, self.fanout = spark, root.rstrip("/"), fanout
         self.versions = Versions(spark, self.root)
         self.number, found = self.versions.latest()
-        self.state = found or {"span": span, "window": window, "kind": kind, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "tiers": [[]], "pending": [], "marks": []}
+        self.state = found or {"span": span, "window": window, "kind": kind, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "batches": 0, "tiers": [[]], "pending": [], "marks": []}
         self.tables: dict[str, DataFrame] = {}
 
     # tables
@@ -168,35 +170,35 @@ class FingerprintIndex:
 
     # adding
 
-    def hits(self, run: DataFrame, olds: list[DataFrame]) -> DataFrame:
+    def hits(self, fresh: DataFrame, olds: list[DataFrame]) -> DataFrame:
         """``fp, old``: hashes of a batch's run that two records hold; ``old``: the one record that held it before.
 
-        All sides are bucketed and sorted by fp: a merge join without a shuffle or a sort.
+        All runs are bucketed and sorted by fp: every old one is merge-joined without a shuffle or a sort; only what
+        matches is shuffled, for the last aggregate.
         """
-        joined, low, high = run, [F.col("low")], [F.col("high")]
-        for i, old in enumerate(olds):
-            joined = joined.join(old.select("fp", F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}")).hint("merge"), "fp", "left")
-            low.append(F.col(f"low{i}"))
-            high.append(F.col(f"high{i}"))
-        least, most = (F.least(*low), F.greatest(*high)) if olds else (low[0], high[0])
-        old_low = F.coalesce(F.least(*low[1:]), low[1]) if len(olds) > 1 else low[1] if olds else F.lit(None)
-        old_high = F.coalesce(F.greatest(*high[1:]), high[1]) if len(olds) > 1 else high[1] if olds else F.lit(None)
-        return joined.where(least != most).select("fp", F.when(old_low == old_high, old_low).cast(self.state["kind"]).alias("old"))
+        kind = self.state["kind"]
+        none = F.lit(None).cast(kind)
+        met = fresh.where("low <> high").select("fp", "low", "high", none.alias("old_low"), none.alias("old_high"))
+        for old in olds:
+            before = old.select("fp", F.col("low").alias("old_low"), F.col("high").alias("old_high"))
+            met = met.unionByName(fresh.hint("merge").join(before.hint("merge"), "fp").select("fp", "low", "high", "old_low", "old_high"))
+        once = met.groupBy("fp").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("old_low").alias("old_low"), F.max("old_high").alias("old_high"))
+        shared = once.where(F.least("low", "old_low") != F.greatest("high", "old_high"))
+        return shared.select("fp", F.when(F.col("old_low") == F.col("old_high"), F.col("old_low")).alias("old"))
 
     def add(self, documents: DataFrame, key: str = "doc_id", text: str = "text", corpus: DataFrame | None = None) -> None:
         """Add a batch. ``corpus`` holds the texts of all keys added so far, for the verification of full tiers."""
         s = self.state
-        prints = materialize(fingerprints(documents, key, text, s["span"], s["window"]), "fps")
+        paths = {"prints": self._new("prints"), "hits": self._new("hits")}
+        batch = F.lit(s["batches"]).alias("batch")
         with settings(self.spark, self._settings()):
-            folded = prints.groupBy("fp").agg(F.min("rec").alias("low"), F.max("rec").alias("high"))
-            fresh = self._write_run(folded)
-            hits = self.hits(self.run(fresh), [self.run(p) for p in self.runs()])
-            pending = self._new("hits")
-            own = prints.join(hits.select("fp"), "fp", "left_semi").select("rec", "fp")
-            own.unionByName(hits.where("old is not null").select(F.col("old").alias("rec"), "fp")).write.option("compression", "zstd").parquet(pending)
-        drop(prints)
+            fingerprints(documents, key, text, s["span"], s["window"]).select("rec", "fp", batch).write.option("compression", "zstd").parquet(paths["prints"])
+            prints = self._read([paths["prints"]], self._prints())
+            fresh = self._write_run(prints.groupBy("fp").agg(F.min("rec").alias("low"), F.max("rec").alias("high")))
+            self.hits(self.run(fresh), [self.run(p) for p in self.runs()]).select("fp", "old", batch).write.option("compression", "zstd").parquet(paths["hits"])
+        s["batches"] += 1
         s["tiers"][0].append(fresh)
-        s["pending"].append(pending)
+        s["pending"].append(paths)
         gone: list[str] = []
         if len(s["tiers"][0]) >= self.fanout and corpus is not None:
             gone += self._verified(corpus, key, text)
@@ -210,6 +212,9 @@ class FingerprintIndex:
             tier += 1
         self._publish(gone)
 
+    def _prints(self) -> str:
+        return f"rec {self.state['kind']}, fp bigint, batch int"
+
     def _compacted(self, runs: list[str]) -> str:
         rows = self.run(runs[0])
         for more in runs[1:]:
@@ -255,12 +260,15 @@ class FingerprintIndex:
                 yield pa.RecordBatch.from_arrays([recs, pa.array(mark), pa.array(place)], names=["rec", "mark", "place"])
 
         # a text has at most one hash a character
-        held = self._read(s["pending"], f"rec {kind}, fp bigint").groupBy("rec").agg(F.collect_set("fp").alias("fps"))
+        prints = self._read([p["prints"] for p in s["pending"]], self._prints())
+        hits = self._read([p["hits"] for p in s["pending"]], f"fp bigint, old {kind}, batch int")
+        own = prints.join(hits, ["batch", "fp"], "left_semi").select("rec", "fp")
+        held = own.unionByName(hits.where("old is not null").select(F.col("old").alias("rec"), "fp")).groupBy("rec").agg(F.collect_set("fp").alias("fps"))
         texts = corpus.where(F.length(text) >= span).select(F.col(key).alias("rec"), F.col(text).alias("body"))
         path = self._new("marks")
         with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
             texts.join(held, "rec").select("rec", "body", "fps").mapInArrow(spans, f"rec {kind}, mark bigint, place int").write.option("compression", "zstd").parquet(path)
-        gone, s["pending"] = s["pending"], []
+        gone, s["pending"] = [path for p in s["pending"] for path in p.values()], []
         s["marks"].append(path)
         return gone
 

@@ -46,6 +46,7 @@ SHARE, MOST_FITTED = 0.1, 65_536
 LEAST_LEAF = 16
 LONGEST = 65_536
 MOST_PARTS = 20_000
+PASSES = 2  # the shards are compared in so many turns, each of which ships its part of the vectors
 DEGREE, POOL = 16, 48
 BEAM, TURNS, EXPAND = 24, 8, 6
 FEW = 1024  # up to so many centroids, comparing all takes less time than the search
@@ -429,10 +430,17 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, key: st
     entries = entries.select("shard", "cell.i", "cell.j", "code", "raw", (F.col("holds") & (F.col("cell.i") == F.col("own"))).alias("member"), (F.col("cell.j") == F.col("own")).alias("asks"))
     # a partition a group, as far as hashes allow: groups are few and large
     parts = int(min(MOST_PARTS, max(8, 3 * -(-total // SHARD))))
-    found = entries.repartition(parts, "shard", "i", "j").groupBy("shard", "i", "j").applyInArrow(compare, "code bigint, other bigint, cosine double")
-    # the same pair has the same cosine in every list but for rounding
-    found = materialize(found.groupBy("code", "other").agg(F.max("cosine").alias("cosine")), "found")
+    compared = []
+    for turn in range(PASSES):
+        part = entries.where(F.pmod(F.xxhash64("shard"), F.lit(PASSES)) == turn).repartition(parts, "shard", "i", "j")
+        compared.append(materialize(part.groupBy("shard", "i", "j").applyInArrow(compare, "code bigint, other bigint, cosine double"), "compared"))
     drop(placed, long)
+    pairs = compared[0]
+    for more in compared[1:]:
+        pairs = pairs.unionByName(more)
+    # the same pair has the same cosine in every shard but for rounding
+    found = materialize(pairs.groupBy("code", "other").agg(F.max("cosine").alias("cosine")), "found")
+    drop(*compared)
 
     named = rows.select("code", "id")
     few = named.withColumn("n", F.dense_rank().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)

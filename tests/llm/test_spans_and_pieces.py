@@ -74,7 +74,18 @@ def test_runs_are_merged_without_a_shuffle(spark, tmp_path):
     with settings(spark, index._settings()):
         runs = [index.run(p) for p in index.runs()]
         plan = index.hits(runs[2], runs[:2])._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort [" not in plan
+    below = plan[plan.index("Union") :]
+    assert below.count("SortMergeJoin") == 2 and "Exchange" not in below and " Sort [" not in below and plan.count("Exchange") == 1
+
+
+def test_compaction_keeps_one_row_a_hash(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"{i % 5:04d}" * 50) for i in range(30)], "doc_id bigint, text string")
+    index = shared_spans.FingerprintIndex(spark, f"file://{tmp_path}/index", fanout=3)
+    for part in range(3):
+        index.add(docs.where(f"doc_id % 3 = {part}"), corpus=docs)
+    assert [len(t) for t in index.state["tiers"]] == [0, 1]
+    rows = index.run(index.runs()[0])
+    assert rows.count() == rows.select("fp").distinct().count() > 0
 
 
 TOKEN = re.compile(r"[㐀-鿿]|[A-Za-z0-9_]+|[^\s]")
