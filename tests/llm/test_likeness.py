@@ -174,10 +174,10 @@ def _recall(spark, x, k=5):
 
 
 def test_recall_without_threshold_over_many_regions_shards_and_lists(spark, monkeypatch):
-    """12,000 vectors in more than 1,000 lists, many shards and regions."""
+    """12,000 vectors in more than 1,000 lists, several shards and regions."""
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(60, 32))
-    x = (centres[rng.zipf(1.5, 12_000).clip(1, 60) - 1] + 0.5 * rng.normal(size=(12_000, 32))).astype(np.float32)
+    x = (centres[rng.zipf(1.5, 12_000).clip(1, 60) - 1] + 0.3 * rng.normal(size=(12_000, 32)) @ np.diag(1 / np.arange(1, 33) ** 0.5)).astype(np.float32)
     made = []
     monkeypatch.setattr(similar_vectors, "SHARD", 1500)
     monkeypatch.setattr(similar_vectors, "LIST", 20)  # 12,000 vectors, each in one list at least and in two shards or more
@@ -212,6 +212,9 @@ def test_name_variants(spark):
         ["玄洲证券监督管理委员会", "玄证监"],
     ]
     groups += [[n] for n in names if n != groups[0][0]]
+    # short forms are learned: Ted and Theodore share three more surnames of many
+    groups += [[f"Theodore {s}", f"Ted {s}"] for s in ("Vantorquil", "Moswelpan", "Kidgavolo")]
+    groups += [[f"{g} {s}"] for g, s in zip(["Robert", "Alice", "Edward"] * 6, ["Bruvenzo", "Calmidor", "Dastfelm", "Erquonis", "Fjordwin", "Gapselko", "Hulmbrat", "Ixtavori", "Jemprudo", "Kwarzenu", "Lopfigam", "Mudqesti", "Nyrbovex", "Oxculpha", "Pimdrego", "Quastivu", "Rhezomil", "Sturbacq"])]
     flat = [(name, g) for g, group in enumerate(groups) for name in group]
     rows = [(i, name, "公司", 0) for i, (name, _) in enumerate(flat)]
     extra = [(900, flat[0][0], "Entity", 0), (901, None, "公司", 0), (902, " ", "公司", 0), (903, "关于某事项的第3号公告", "文档", 0), (0, flat[0][0], "公司", 0), (904, "长" * 5000, "公司", 0)]
@@ -225,6 +228,12 @@ def test_name_variants(spark):
     assert name_variants.found_variants(entities.limit(0), relations.limit(0), lexicon.limit(0)).count() == 0
 
 
+def test_partners_are_learned():
+    counts = {"margaret": 18, "peggy": 2, "robert": 17, "john": 300, "mary": 280}
+    found = name_variants.learn_partners([("margaret", "peggy", 2), ("margaret", "robert", 1), ("john", "mary", 90)], counts, 1000)
+    assert found == {"margaret": {"peggy"}, "peggy": {"margaret"}}
+
+
 def test_all_readings_of_a_romanised_name():
     words = [["yu", "e", "chuan", "e", "jiang"], ["zui", "e", "kuo", "xian", "geng"], ["xi", "an", "xi", "an", "xi", "an"], ["mu", "chuan"]]
     said = {x for w in words for x in w} | {"xian", "yue", "ec", "chu", "an", "a", "n", "ku", "o", "kuox", "gen", "g", "i", "ji", "ang", "jian", "ch", "u"}
