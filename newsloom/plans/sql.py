@@ -226,7 +226,7 @@ def statements() -> dict[str, str]:
         "answers_hybrid": _answers("hybrid"),
         "evidence_vector": _answers("vector", True),
         "evidence_hybrid": _answers("hybrid", True),
-        "refused": "SELECT CAST(n_nationkey AS BIGINT) AS query_id, '!' || n_nationkey AS question, '当前知识库没有检索到足够证据，暂时无法给出可靠结论。' AS answer FROM nation",
+        "refused": "SELECT CAST(n_nationkey AS BIGINT) AS query_id, '!' || (n_nationkey % 10) AS question, '当前知识库没有检索到足够证据，暂时无法给出可靠结论。' AS answer FROM nation",
         "graph_scoped": _walk(2, 30, scoped="native"),
         "graph_path_scoped": _walk(2, 30, PATH_SEEDS, "path"),
         "quoted_examples": f"SELECT id, name, kind FROM (SELECT id, unnest(regexp_extract_all(sentence, '{QUOTED}', 1)) AS name, 'quoted' AS kind FROM (VALUES {values()}) t(id, sentence) UNION ALL SELECT id, unnest(regexp_extract_all(sentence, '{COMPANY}', 1)), 'company' FROM (VALUES {values()}) t(id, sentence))",

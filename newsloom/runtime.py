@@ -72,14 +72,15 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, executors may be lost.
 
-    Spark deletes the shuffle files of the write when it has ended.
+    With ``release``, Spark deletes the shuffle files of the write as soon as it has ended, which bounds the disk
+    that a chain of large writes needs.
     """
     spark = df.sparkSession
     path = table_path(spark, name)
-    with settings(spark, {_CLEANUP: "true"}):
+    with settings(spark, {_CLEANUP: "true"} if release else {}):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._newsloom_path = path
