@@ -203,32 +203,32 @@ def near_duplicates(records: DataFrame, measures: list[Measure]) -> tuple[DataFr
 
     by_class = Window.partitionBy("band").orderBy("text_class")
     neighbours = _bands(rows, by_kind).withColumns({"before": F.lag("text_class").over(by_class), "after": F.lead("text_class").over(by_class)})
-    kept = materialize(neighbours.where("before <> text_class or after <> text_class").select("band", "text_class").distinct(), "kept-bands")
+    kept = materialize(neighbours.where("before <> text_class or after <> text_class").select("band", "text_class").distinct(), "kept-bands", True)
     asked = kept.select("text_class").distinct()
-    texts = materialize(_signed(rows.select("rec_kind", "text_class", "text").join(asked, "text_class", "left_semi").dropDuplicates(["text_class"]), by_kind), "texts")
-    signed = materialize(kept.join(texts.select("text_class", "rec_kind", "high", "low"), "text_class"), "signed")
+    texts = materialize(_signed(rows.select("rec_kind", "text_class", "text").join(asked, "text_class", "left_semi").dropDuplicates(["text_class"]), by_kind), "texts", True)
+    signed = materialize(kept.join(texts.select("text_class", "rec_kind", "high", "low"), "text_class"), "signed", True)
     drop(kept)
     most = F.lit(0)
     for m in measures:
         most = F.when(F.col("rec_kind") == m.kind, m.most_unequal).otherwise(most)
     unequal = F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high"))) + F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low")))
     near = pairs_within(signed, ["rec_kind", "band"], ["text_class", "high", "low"], unequal <= most)
-    candidates = materialize(near.select(F.least("a_text_class", "b_text_class").alias("a"), F.greatest("a_text_class", "b_text_class").alias("b")).distinct(), "candidates")
+    candidates = materialize(near.select(F.least("a_text_class", "b_text_class").alias("a"), F.greatest("a_text_class", "b_text_class").alias("b")).distinct(), "candidates", True)
     left = texts.select("rec_kind", F.col("text_class").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("text_class").alias("b"), F.col("text").alias("text_b"))
-    linked = materialize(_verify(candidates.join(right, "b").join(left, "a"), by_kind), "linked")
+    linked = materialize(_verify(candidates.join(right, "b").join(left, "a"), by_kind), "linked", True)
     drop(signed, texts, candidates)
-    return linked, materialize(rows.select("rec_kind", "text_class", "rec_id").distinct(), "members")
+    return linked, materialize(rows.select("rec_kind", "text_class", "rec_id").distinct(), "members", True)
 
 
 def near_duplicate_pairs(records: DataFrame, measures: list[Measure]) -> DataFrame:
     """``rec_kind, id_a, id_b`` of all records (rec_kind, rec_id, text) that are nearly the same, copies included."""
     linked, members = near_duplicates(records, measures)
     several = members.groupBy("rec_kind", "text_class").agg(F.count("*").alias("n")).where("n > 1").select("rec_kind", "text_class")
-    copies = materialize(members.join(several, ["rec_kind", "text_class"], "left_semi"), "copies")
+    copies = materialize(members.join(several, ["rec_kind", "text_class"], "left_semi"), "copies", True)
     own = pairs_within(copies, ["rec_kind", "text_class"], ["rec_id"], F.lit(True)).select("rec_kind", F.col("a_rec_id").alias("x"), F.col("b_rec_id").alias("y"))
     ends = linked.select("rec_kind", F.col("a").alias("text_class")).unionByName(linked.select("rec_kind", F.col("b").alias("text_class"))).distinct()
-    groups = materialize(members.join(ends, ["rec_kind", "text_class"], "left_semi").select("rec_kind", F.col("text_class").alias("group"), F.col("rec_id").alias("id")), "groups")
+    groups = materialize(members.join(ends, ["rec_kind", "text_class"], "left_semi").select("rec_kind", F.col("text_class").alias("group"), F.col("rec_id").alias("id")), "groups", True)
     across = expand_links(linked, groups, ["rec_kind"]).where("x <> y")
     return across.unionByName(own).select("rec_kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

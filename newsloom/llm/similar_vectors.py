@@ -373,9 +373,9 @@ def posted(rows: DataFrame, size: int, points: np.ndarray, total: int) -> DataFr
     share = sent.value.share
     drawn = rows if share == 1.0 else rows.where(F.pmod(F.xxhash64("code", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
     # a region that the share leaves without a row has no shards of its own; its vectors read its neighbours'
-    shards = materialize(drawn.mapInArrow(region_of, kind).groupBy("region").applyInArrow(fit, "region int, shard bigint, raw binary"), "shards")
+    shards = materialize(drawn.mapInArrow(region_of, kind).groupBy("region").applyInArrow(fit, "region int, shard bigint, raw binary"), "shards", True)
     both = shards.mapInArrow(read_by, kind).unionByName(routed)
-    out = materialize(both.repartition("region").sortWithinPartitions("region", "turn", "code").mapInArrow(place, "code bigint, raw binary, shards array<bigint>, members int"), "placed")
+    out = materialize(both.repartition("region").sortWithinPartitions("region", "turn", "code").mapInArrow(place, "code bigint, raw binary, shards array<bigint>, members int"), "placed", True)
     drop(shards)
     return out
 
@@ -417,7 +417,7 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, key: st
         return pa.table({"code": codes[i], "other": codes[j], "cosine": cosine})
 
     # shards that are too long for one group, by their number of blocks; at most one in LONGEST rows
-    long = materialize(placed.select(F.explode("shards").alias("shard")).groupBy("shard").count().where(F.col("count") > LONGEST).select("shard", F.ceil(F.col("count") / LONGEST).cast("int").alias("blocks")), "long-shards")
+    long = materialize(placed.select(F.explode("shards").alias("shard")).groupBy("shard").count().where(F.col("count") > LONGEST).select("shard", F.ceil(F.col("count") / LONGEST).cast("int").alias("blocks")), "long-shards", True)
     entries = placed.select("code", "raw", "members", F.posexplode("shards").alias("at", "shard")).join(long, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     entries = entries.withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))
@@ -433,18 +433,18 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, key: st
     compared = []
     for turn in range(PASSES):
         part = entries.where(F.pmod(F.xxhash64("shard"), F.lit(PASSES)) == turn).repartition(parts, "shard", "i", "j")
-        compared.append(materialize(part.groupBy("shard", "i", "j").applyInArrow(compare, "code bigint, other bigint, cosine double"), "compared"))
+        compared.append(materialize(part.groupBy("shard", "i", "j").applyInArrow(compare, "code bigint, other bigint, cosine double"), "compared", True))
     drop(placed, long)
     pairs = compared[0]
     for more in compared[1:]:
         pairs = pairs.unionByName(more)
     # the same pair has the same cosine in every shard but for rounding
-    found = materialize(pairs.groupBy("code", "other").agg(F.max("cosine").alias("cosine")), "found")
+    found = materialize(pairs.groupBy("code", "other").agg(F.max("cosine").alias("cosine")), "found", True)
     drop(*compared)
 
     named = rows.select("code", "id")
     few = named.withColumn("n", F.dense_rank().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)
-    firsts = materialize(few.groupBy("code").agg(F.array_sort(F.collect_set("id")).alias("firsts")), "firsts")
+    firsts = materialize(few.groupBy("code").agg(F.array_sort(F.collect_set("id")).alias("firsts")), "firsts", True)
     others = found.join(firsts.withColumnRenamed("code", "other"), "other").select("code", "cosine", F.explode("firsts").alias("neighbour"))
     own = firsts.where((F.size("firsts") > 1) & F.lit(least <= 1.0)).select("code", F.lit(1.0).alias("cosine"), F.explode("firsts").alias("neighbour"))
     best = (
