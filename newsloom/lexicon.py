@@ -15,7 +15,7 @@ RULES = [("属于", "属于"), ("任职", "任职于"), ("发布", "发布"), ("
 POLICY_WORDS = ["意见", "办法", "规定", "规划", "通知"]
 DEFAULT_RELATION = "关联"
 SOURCE_RELATION = "来源于"
-MOST_TERMS = 500  # the terms become one expression
+MOST_TERMS = 200_000  # a lexicon is a parameter that every task holds
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class Lexicon:
 
     @classmethod
     def from_table(cls, table: DataFrame) -> Lexicon:
-        """From rows (term, kind, entity_type, canonical, ord); a parameter table of at most ``MOST_TERMS`` rows."""
+        """From rows (term, kind, entity_type, canonical, ord); a parameter table that every task holds, of at most ``MOST_TERMS`` rows."""
         rows = table.where("term is not null").limit(MOST_TERMS + 1).collect()
         if len(rows) > MOST_TERMS:
             raise ValueError(f"a lexicon has at most {MOST_TERMS} terms")

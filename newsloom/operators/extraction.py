@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from newsloom.lexicon import DEFAULT_RELATION, SOURCE_RELATION, Lexicon
 #: Name patterns.
 COMPANY = rf"(?:^|[，。；：、{WS}])([㐀-鿿A-Za-z0-9·]{{2,18}}?(?:股份有限公司|有限责任公司|集团|银行|证券|保险|科技|公司))"
 QUOTED = "[《“\"]([^》”\"]{3,32})[》”\"]"
+INLINE = 500  # terms of a list that are written out as expressions
 _ENTITY = "struct<name:string,type:string,pos:int>"
 
 
@@ -44,14 +47,29 @@ def _matches(sentence: Column, pattern: str) -> Column:
     return let(read, lambda m: F.when(F.size(m["whole"]) > 0, walked(m)).otherwise(none))
 
 
+def _table(rows: list[tuple[str, str]]) -> Column:
+    """A long list as one literal (surface, name), folded once and walked by each row."""
+    return F.from_json(F.lit(json.dumps([{"s": s, "n": n} for s, n in rows], ensure_ascii=False)), "array<struct<s:string,n:string>>")
+
+
 def _terms(sentence: Column, terms: list[tuple[str, str]], kind: str) -> Column:
-    """(canonical, first place) of each term in the sentence, in the order of ``terms``."""
+    """(canonical, first place) of each term in the sentence, in the order of ``terms``; a long list is a literal, not an expression a term."""
     if not terms:
         return F.array().cast(f"array<{_ENTITY}>")
-    tried = F.array(*(_entity(F.lit(canonical), kind, F.instr(sentence, surface) - 1) for surface, canonical in terms))
+    if len(terms) > INLINE:
+        tried = F.transform(_table(terms), lambda t: _entity(t["n"], kind, F.instr(sentence, t["s"]) - 1))
+    else:
+        tried = F.array(*(_entity(F.lit(canonical), kind, F.instr(sentence, surface) - 1) for surface, canonical in terms))
     return F.filter(tried, lambda e: e["pos"] >= 0)
 
 
+def _first(sentence: Column, terms: list[tuple[str, str]], default: str | None) -> Column:
+    """The name of the first term that stands in the sentence."""
+    if len(terms) > INLINE:
+        return F.coalesce(F.get(F.filter(_table(terms), lambda t: F.instr(sentence, t["s"]) > 0), F.lit(0))["n"], F.lit(default).cast("string"))
+    return F.coalesce(*(F.when(sentence.contains(s), n) for s, n in terms), F.lit(default).cast("string"))
+
+
 def candidates(sentence: Column, lexicon: Lexicon) -> Column:
     """All entity candidates in order of trial: institutions, companies, industries, quoted names."""
     companies = F.transform(_matches(sentence, COMPANY), lambda m: _entity(m["name"], "公司", m["pos"]))
@@ -83,15 +101,12 @@ def entities_of(sentence: Column, lexicon: Lexicon) -> Column:
 
 def relation_of(sentence: Column, lexicon: Lexicon) -> Column:
     """The label of the first rule whose marker stands in the sentence."""
-    out = F.lit(DEFAULT_RELATION)
-    for marker, label in reversed(lexicon.rules):
-        out = F.when(sentence.contains(marker), label).otherwise(out)
-    return out
+    return _first(sentence, list(lexicon.rules), DEFAULT_RELATION)
 
 
 def event_of(sentence: Column, lexicon: Lexicon) -> Column:
     """The first event term, in declared order, that stands in the sentence; else null."""
-    return F.coalesce(*(F.when(sentence.contains(t), t) for t in lexicon.events), F.lit(None).cast("string"))
+    return _first(sentence, [(t, t) for t in lexicon.events], None)
 
 
 def _edge(source: Column, relation: Column | str, target: Column, confidence: Column | float, source_type: Column, target_type: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,9 +57,10 @@ def question_terms(questions: DataFrame, aliases: tuple[tuple[str, str], ...] =
     """``questions`` with ``terms``: distinct words in order, lower case, and both names of each alias that occurs."""
     words = F.transform(F.regexp_extract_all("question", F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
     parts = [words]
-    for alias, canonical in aliases:
-        hit = F.col("question").contains(alias) | F.col("question").contains(canonical)
-        parts.append(F.when(hit, F.array(F.lit(alias.lower()), F.lit(canonical.lower()))).otherwise(F.array().cast("array<string>")))
+    if aliases:
+        table = F.from_json(F.lit(json.dumps([{"a": a, "c": c} for a, c in aliases], ensure_ascii=False)), "array<struct<a:string,c:string>>")
+        hit = F.filter(table, lambda x: (F.instr(F.col("question"), x["a"]) > 0) | (F.instr(F.col("question"), x["c"]) > 0))
+        parts.append(F.flatten(F.transform(hit, lambda x: F.array(F.lower(x["a"]), F.lower(x["c"])))))
     return questions.withColumn("terms", F.array_distinct(F.concat(*parts)))
 
 

@@ -189,9 +189,10 @@ def chunk_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"))
-    new = rows.where("chunk_id % 3 = 0").select((F.col("chunk_id") + 100).alias("chunk_id"), F.lit(-1).alias("doc_id"))
-    return vectors.upsert(rows, new).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """New rows for a third of the ids, with their vectors turned round."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"), "embedding")
+    new = rows.where("chunk_id % 3 = 0").select((F.col("chunk_id") + 100).alias("chunk_id"), F.lit(-1).alias("doc_id"), F.reverse("embedding").alias("embedding"))
+    return vectors.upsert(rows, new).select("chunk_id", "doc_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").alias("n"))
 
 
 # extraction
@@ -414,9 +415,11 @@ def engine_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON payloads to columns and back."""
-    rows = _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int").alias("p"))
-    return rows.select("event_id", F.col("p.k").alias("k"), F.to_json("p").alias("payload"))
+    """Chunks as JSON payloads and back."""
+    fields = ["chunk_id", "doc_id", "content", "title", "source", "page_number", "publish_time", "chunk_index"]
+    rows = _chunks(spark, sf_dir).select(*fields)
+    back = rows.select(F.from_json(F.to_json(F.struct(*fields)), rows.schema).alias("p")).select("p.*")
+    return back.select("chunk_id", "doc_id", F.md5("content").alias("content"), "title", "source", F.col("page_number").cast("string").alias("page_number"), "publish_time", "chunk_index")
 
 
 # times

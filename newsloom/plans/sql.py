@@ -178,7 +178,8 @@ def statements() -> dict[str, str]:
         "cosine_batch": _topk(10),
         "cosine_scoped": _topk(5, "AND e.label IN (1, 4)"),
         "chunk_lookup": f"WITH {CHUNKS} SELECT r.seq AS pos, chunk_id, c.doc_id, c.chunk_index FROM relations r JOIN chunk_rows c USING (chunk_id) WHERE r.seq % 100 = 0",
-        "vector_upsert": "SELECT doc_id, count(*) AS n FROM (SELECT vec_id + 100 AS id, -1 AS doc_id FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id + 100 FROM embeddings WHERE vec_id % 3 = 0)) GROUP BY doc_id",
+        "vector_upsert": """SELECT vec_id + 100 AS chunk_id, -1 AS doc_id, round(CAST(embedding[len(embedding)] AS DOUBLE), 6) AS first, CAST(len(embedding) AS INTEGER) AS n FROM embeddings WHERE vec_id % 3 = 0
+          UNION ALL SELECT vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6), CAST(len(embedding) AS INTEGER) FROM embeddings WHERE vec_id NOT IN (SELECT vec_id + 100 FROM embeddings WHERE vec_id % 3 = 0)""",
         "sentence_split": f"WITH s AS (SELECT doc_id, {_strip('x')} AS sentence FROM (SELECT doc_id, unnest(string_split_regex(text, '[。！？!?；;\\n]+')) AS x FROM documents WHERE text IS NOT NULL)) SELECT doc_id, count(*) AS n, CAST(max(length(sentence)) AS INTEGER) AS longest FROM s WHERE sentence <> '' GROUP BY doc_id",
         "lexicon_mentions": f"""WITH {CHUNKS}, {SENTENCES}, l AS (SELECT term, CASE WHEN kind = 'industry' THEN term ELSE coalesce(canonical, term) END AS name FROM lexicon WHERE kind IN ('institution', 'alias', 'industry'))
           SELECT name, count(*) AS n, CAST(sum(instr(sentence, term) - 1) AS BIGINT) AS places FROM sent, l WHERE contains(sentence, term) GROUP BY name""",
@@ -240,7 +241,7 @@ def statements() -> dict[str, str]:
         "catalog_display": f"WITH {CATALOG} SELECT doc_id, title, source, coalesce(publish_time, '') AS publish_time, chunk_count, coalesce(title, '') || ' · ' || substr(doc_id, 1, 8) AS choice FROM cat",
         "catalog_get": f"WITH {CATALOG} SELECT doc_id, title, chunk_count FROM cat WHERE doc_id = (SELECT min(doc_key) FROM documents)",
         "engine_stats": f"""WITH {CATALOG}, {MERGED} SELECT (SELECT count(*) FROM cat) AS documents, (SELECT count(DISTINCT chunk_id) FROM chunks) AS chunks, (SELECT count(*) FROM (SELECT source, source_type FROM merged UNION SELECT target, target_type FROM merged)) AS entities, (SELECT count(*) FROM merged) AS relations""",
-        "payload_codec": """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, '{"k":' || json_extract(props, '$.k') || '}' AS payload FROM events""",
+        "payload_codec": f"WITH {CHUNKS} SELECT chunk_id, doc_id, md5(content) AS content, title, source, CAST(page_number AS VARCHAR) AS page_number, publish_time, chunk_index FROM chunk_rows",
     }
     whole = {"rank_fusion": " QUALIFY rank <= 10", "citations": " WHERE v.rank <= 5", "prompt_texts": " WHERE v.rank <= 5", "extractive_answers": " WHERE v.rank <= 5", "chunk_lookup": " WHERE r.seq % 100 = 0"}
     out |= {f"{name}_all": out[name].replace(cut, "").replace(" QUALIFY rank <= 10)", ")") for name, cut in whole.items()}

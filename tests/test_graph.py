@@ -93,3 +93,31 @@ def test_lexicon_table_and_styles(spark):
 def test_companies_keep_their_places(spark):
     row = spark.createDataFrame([("甲公司，星河科技股份有限公司与，乙集团",)], "s string").select(extraction._matches(F.col("s"), extraction.COMPANY).alias("m")).first()
     assert [(m.name, m.pos) for m in row.m] == [("星河科技", 4)] or all("甲公司，星河科技股份有限公司与，乙集团"[m.pos :].startswith(m.name) for m in row.m)
+
+
+def test_a_long_lexicon_finds_the_same(spark, monkeypatch):
+    rows = [("c1", "d1", "标题", "中国证监会发布意见，推动资本市场改革；央行支持人工智能。术语0699号与华夏银行合作"), ("c2", "d1", None, "没有什么"), ("c3", "d2", "t", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, title string, content string")
+    more = spark.createDataFrame([(f"术语{i:04d}号", "industry", "行业", None, 1000 + i) for i in range(700)], "term string, kind string, entity_type string, canonical string, ord int")
+    lexicon = Lexicon.from_table(default_table(spark).unionByName(more))
+    plain = lambda df: sorted(map(repr, df.collect()))
+    long = plain(extraction.extract_relations(chunks, lexicon))
+    assert any("术语0699号" in r for r in long)
+    short = plain(extraction.extract_relations(chunks, Lexicon.default()))
+    monkeypatch.setattr(extraction, "INLINE", 0)
+    assert plain(extraction.extract_relations(chunks, Lexicon.default())) == short
+    monkeypatch.setattr(extraction, "INLINE", 10_000)
+    assert plain(extraction.extract_relations(chunks, lexicon)) == long
+
+
+def test_a_usual_pair_of_characters_is_no_hot_key(spark):
+    """All names and questions share a beginning: they are joined by a rarer pair."""
+    names = spark.range(3000).selectExpr("concat('股份公司', id, '号') as name")
+    asked = graph.question_terms(spark.range(300).selectExpr("id as query_id", "concat('股份公司', id * 7, '号怎么样') as question"))
+    got = {(r.query_id, r.name) for r in graph.seeds(asked, names).collect()}
+    want = set()
+    for q in range(300):
+        question = f"股份公司{q * 7}号怎么样"
+        terms = {"股份公司", "号怎么样"} | ({str(q * 7)} if q * 7 >= 10 else set())
+        want |= {(q, f"股份公司{i}号") for i in range(3000) if f"股份公司{i}号" in question or any(t in f"股份公司{i}号" for t in terms)}
+    assert got == want
