@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.config import EngineConfig
-from newsloom.functions.text import strip
 from newsloom.lexicon import Lexicon
 from newsloom.operators import answering, catalog, chunking, embedding, extraction, graph, retrieval, vectors
 from newsloom.runtime import materialize
@@ -94,8 +93,7 @@ class EvidenceEngine:
         """Answer questions (query_id, question) together; before anything is indexed, all are refused for want of evidence."""
         mode = retrieval.check_mode(mode)
         limit = retrieval.limit_of(top_k, self.config.top_k)
-        if questions.where(F.col("question").isNull() | (strip(F.col("question")) == "")).limit(1).count():
-            raise ValueError(answering.BLANK_QUESTION)
+        answering.check_questions(questions)
         state = self.store.state()[1]
         chunks, stored, relations = (self.store.read(t, state) for t in ("chunks", "vectors", "relations"))
         evidence, found = evidence_for(questions, chunks, stored, relations, self.lexicon, mode, limit, self.config, doc_ids, as_of, services=(self.vector_service, self.graph_service))

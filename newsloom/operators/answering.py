@@ -20,13 +20,17 @@ HEADER = "根据当前知识库，可以得到以下信息："
 FOOTER = "\n以上结论仅依据已索引材料，请结合原文发布日期和完整上下文核验。"
 BLANK_QUESTION = "问题不能为空"
 EVIDENCE = r"(?s)\[证据(\d+)\].*?\n内容：(.*?)(?=\n\[证据\d+\]|\n\n图谱关系：|\z)"
+EVIDENCE_TITLE, EVIDENCE_SOURCE, EVIDENCE_DATE, EVIDENCE_PAGE, EVIDENCE_TEXT = "标题：", "来源：", "发布日期：", "页码：", "内容："
+NO_PAGE, NO_DATE, NOTHING = "无", "未提供", "无"
+PROMPT_QUESTION, PROMPT_TEXTS, PROMPT_EDGES, PROMPT_END = "用户问题：", "\n\n文本证据：\n", "\n\n图谱关系：\n", "\n\n请直接给出答案，并按规则引用证据。"
+SYSTEM = "只依据给出的证据和图谱关系回答；证据不足时说明不足；每个结论标注证据编号；不编造数字、日期和来源；不提供投资建议。"
 MOST_EXCERPT, MOST_SENTENCE, MOST_POINTS, MOST_RELATIONS = 220, 180, 3, 30
 
 
-def check_question(question: str) -> str:
-    if not question.strip():
+def check_questions(questions: DataFrame) -> None:
+    """Null questions and those of white space only raise."""
+    if questions.where(F.col("question").isNull() | (strip(F.col("question")) == "")).limit(1).count():
         raise ValueError(BLANK_QUESTION)
-    return question
 
 
 def excerpt(content: Column) -> Column:
@@ -52,18 +56,18 @@ def first_sentence(text: Column) -> Column:
 
 
 def evidence_block() -> Column:
-    """Six lines of one row of evidence; a missing or zero page prints 无."""
-    page = F.when(F.coalesce(F.col("page_number"), F.lit(0)) == 0, "无").otherwise(F.col("page_number").cast("string"))
-    date = F.when(F.coalesce(F.col("publish_time"), F.lit("")) == "", "未提供").otherwise(F.col("publish_time"))
+    """Six lines of one row of evidence; a missing or zero page prints NO_PAGE."""
+    page = F.when(F.coalesce(F.col("page_number"), F.lit(0)) == 0, NO_PAGE).otherwise(F.col("page_number").cast("string"))
+    date = F.when(F.coalesce(F.col("publish_time"), F.lit("")) == "", NO_DATE).otherwise(F.col("publish_time"))
     none = F.lit("")
     return F.concat_ws(
         "\n",
         F.concat(F.lit("[证据"), F.col("rank").cast("string"), F.lit("]")),
-        F.concat(F.lit("标题："), F.coalesce("title", none)),
-        F.concat(F.lit("来源："), F.coalesce("source", none)),
-        F.concat(F.lit("发布日期："), date),
-        F.concat(F.lit("页码："), page),
-        F.concat(F.lit("内容："), F.coalesce("content", none)),
+        F.concat(F.lit(EVIDENCE_TITLE), F.coalesce("title", none)),
+        F.concat(F.lit(EVIDENCE_SOURCE), F.coalesce("source", none)),
+        F.concat(F.lit(EVIDENCE_DATE), date),
+        F.concat(F.lit(EVIDENCE_PAGE), page),
+        F.concat(F.lit(EVIDENCE_TEXT), F.coalesce("content", none)),
     )
 
 
@@ -81,9 +85,9 @@ def prompts(questions: DataFrame, evidence: DataFrame, relations: DataFrame | No
         out = out.join(lines, "query_id", "left")
     else:
         out = out.withColumn("lines", F.lit(None).cast("array<struct<_n:int,line:string>>"))
-    body = F.coalesce(F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n"), F.lit("无"))
-    edges = F.coalesce(F.array_join(F.transform("lines", lambda b: b["line"]), "\n"), F.lit("无"))
-    prompt = F.concat(F.lit("用户问题："), "question", F.lit("\n\n文本证据：\n"), body, F.lit("\n\n图谱关系：\n"), edges, F.lit("\n\n请直接给出答案，并按规则引用证据。"))
+    body = F.coalesce(F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n"), F.lit(NOTHING))
+    edges = F.coalesce(F.array_join(F.transform("lines", lambda b: b["line"]), "\n"), F.lit(NOTHING))
+    prompt = F.concat(F.lit(PROMPT_QUESTION), "question", F.lit(PROMPT_TEXTS), body, F.lit(PROMPT_EDGES), edges, F.lit(PROMPT_END))
     return out.select("query_id", "question", prompt.alias("prompt"), F.coalesce(F.size("blocks"), F.lit(0)).alias("n_evidence"))
 
 
@@ -100,9 +104,6 @@ def answers(prompted: DataFrame) -> DataFrame:
     return prompted.select("query_id", "question", extractive(F.col("prompt")).alias("answer"))
 
 
-SYSTEM = "只依据给出的证据和图谱关系回答；证据不足时说明不足；每个结论标注证据编号；不编造数字、日期和来源；不提供投资建议。"
-
-
 def remote_answers(prompted: DataFrame, base_url: str, model: str, api_key: str = "", timeout: int = 120) -> DataFrame:
     """Answers of a chat-completions service, one request a row; connections are made by the tasks."""
     if not base_url:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: The patterns that results depend on, in the notation of the second engine.
 WS = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 TOKEN = rf"[\x{{3400}}-\x{{9fff}}]|[A-Za-z0-9_]+|[^{WS}]"
 SPACED = rf"(?:{TOKEN})[{WS}]*"
