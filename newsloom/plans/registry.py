@@ -62,6 +62,13 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.select("chunk_id", "doc_id", "content", "title", "source", "page_number", "publish_time", "chunk_index")
 
 
+def _spread_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As _chunks, for work on the contents: a table of fewer pieces than there are cores is dealt out to all cores."""
+    cores = spark.sparkContext.defaultParallelism
+    few = _table(spark, sf_dir, "chunks").select("chunk_id").rdd.getNumPartitions() < cores
+    return _chunks(spark, sf_dir).repartition(cores) if few else _chunks(spark, sf_dir)
+
+
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_relations(_table(spark, sf_dir, "relations"))
 
@@ -139,7 +146,7 @@ def hash_embedding_blake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).where("content is not null").select("chunk_id", "content")
+    return _spread_chunks(spark, sf_dir).where("content is not null").select("chunk_id", "content")
 
 
 def content_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,19 +213,19 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexicon_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = _lexicon(spark, sf_dir)
     terms = [(s, c) for s, c in lexicon.institutions] + [(t, t) for t in lexicon.industries]
-    rows = extraction.sentences(_chunks(spark, sf_dir).select("chunk_id", "content"))
+    rows = extraction.sentences(_spread_chunks(spark, sf_dir).select("chunk_id", "content"))
     hits = rows.select("chunk_id", F.explode(extraction._terms(F.col("sentence"), terms, "x")).alias("e"))
     return hits.groupBy(F.col("e.name").alias("name")).agg(F.count("*").alias("n"), F.sum("e.pos").alias("places"))
 
 
 def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extraction.sentences(_chunks(spark, sf_dir).select("chunk_id", "content"))
+    rows = extraction.sentences(_spread_chunks(spark, sf_dir).select("chunk_id", "content"))
     hits = rows.select(F.explode(extraction._matches(F.col("sentence"), extraction.COMPANY)).alias("m"))
     return hits.groupBy(F.col("m.name").alias("name")).agg(F.count("*").alias("n"))
 
 
 def quoted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extraction.sentences(_chunks(spark, sf_dir).select("chunk_id", "content"))
+    rows = extraction.sentences(_spread_chunks(spark, sf_dir).select("chunk_id", "content"))
     hits = rows.select(F.explode(extraction._matches(F.col("sentence"), extraction.QUOTED)).alias("m"))
     return hits.groupBy(F.col("m.name").alias("name")).agg(F.count("*").alias("n"))
 
@@ -232,13 +239,13 @@ def quoted_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = _lexicon(spark, sf_dir)
-    rows = extraction.sentences(_chunks(spark, sf_dir).select("chunk_id", "content"))
+    rows = extraction.sentences(_spread_chunks(spark, sf_dir).select("chunk_id", "content"))
     labelled = rows.select(extraction.relation_of(F.col("sentence"), lexicon).alias("label"), extraction.event_of(F.col("sentence"), lexicon).alias("event"))
     return labelled.groupBy("label", "event").agg(F.count("*").alias("n"))
 
 
 def extracted_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.extract_relations(_chunks(spark, sf_dir), _lexicon(spark, sf_dir))
+    return extraction.extract_relations(_spread_chunks(spark, sf_dir), _lexicon(spark, sf_dir))
 
 
 # graph
@@ -353,7 +360,7 @@ def extractive_answers(spark: SparkSession, sf_dir: str, whole: bool = False) ->
 
 def _found(spark: SparkSession, sf_dir: str, mode: str, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     chunks = _chunks(spark, sf_dir).where("content is not null")
-    stored = _indexed(spark, sf_dir, "content-vectors", lambda: embedding.hash_embed(chunks, carry=("doc_id",))) if mode != "graph" else None
+    stored = _indexed(spark, sf_dir, "content-vectors", lambda: embedding.hash_embed(_spread_chunks(spark, sf_dir).where("content is not null"), carry=("doc_id",))) if mode != "graph" else None
     merged, near = _graph(spark, sf_dir)
     return evidence_for(asked, chunks, stored, merged, _lexicon(spark, sf_dir), mode, 5, EngineConfig(), as_of=F.lit(AS_OF).cast("date"), scheme="sha256", near=near)
 
