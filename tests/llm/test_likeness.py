@@ -264,6 +264,24 @@ def test_learned_tables_are_never_cut(spark, monkeypatch, bound, what):
         name_variants.name_bodies(entities, relations, spark.createDataFrame([], LEXICON))
 
 
+def test_ends_of_cores_are_no_trades_however_many_names_there_are(spark):
+    """Every last character of a core with 股份 has as many neighbours as a trade."""
+    rng = np.random.default_rng(3)
+    cores = sorted({"".join(rng.choice(list("沐川宿骐金义泰朗溪钧通骏霄明礼恒荒航锐腾锦天玄鹏"), 4)) for _ in range(450)})
+    companies = [(f"{('珩山', '澜州')[i % 2]}{c}{('智能装备', '环境治理')[i // 2 % 2]}有限公司", f"{c}股份") for i, c in enumerate(cores)]
+    names = [n for pair in companies for n in pair]
+    entities = spark.createDataFrame(list(enumerate(names)), "entity_id bigint, name string")
+    relations = spark.createDataFrame([(a, a) for a, _ in companies], "source string, target string")
+    body = {r.entity_id: r.body for r in name_variants.name_bodies(entities, relations, spark.createDataFrame([], LEXICON)).collect()}
+    apart = [companies[i] for i in range(len(companies)) if body[2 * i] != body[2 * i + 1]]
+    assert not apart, (len(apart), apart[:3])
+
+
+def test_coincidences_are_weighed_against_chance():
+    assert name_variants.beyond_chance(2, 0) and name_variants.beyond_chance(2, 2e-5) and name_variants.beyond_chance(400, 20.0)
+    assert not name_variants.beyond_chance(2, 0.15) and not name_variants.beyond_chance(3, 0.15) and not name_variants.beyond_chance(25, 20.0)
+
+
 def test_components(spark):
     nodes = spark.range(1, 60).toDF("node")
     edges = spark.range(1, 40).selectExpr("id as node", "id + 1 as parent")
