@@ -148,6 +148,32 @@ def traverse(seeded: DataFrame, relations: DataFrame, hops: int = 2, limit: int
     return seen.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", "id", "hop", "pos")
 
 
+def reach_scope(seeded: DataFrame, relations: DataFrame, wanted: DataFrame, hops: int) -> DataFrame:
+    """``query_id, id, hop``: the relations of ``wanted`` within ``hops`` of the seeds, without a limit.
+
+    As in a traversal of all ``relations``, edges that differ in their document only are the earliest. A relation's hop is one
+    more than the distance of its nearer end, so distances of names are kept, not the relations on the way, and only of names
+    from which a wanted relation can still be met.
+    """
+    edge = ["source", "relation", "target", "chunk_id"]
+    first = relations.join(wanted.select(*edge).distinct(), edge, "left_semi").groupBy(*edge).agg(F.min(F.struct("seq", "id")).alias("e")).select("e.id")
+    goals = materialize(wanted.join(first, "id", "left_semi").select("id", F.explode(F.array_distinct(F.array("source", "target"))).alias("name")), "goals")
+    ways = relations.select(F.explode(F.array(F.struct(F.col("source").alias("name"), F.col("target").alias("other")), F.struct(F.col("target").alias("name"), F.col("source").alias("other")))).alias("w")).select("w.*")
+    useful = [goals.select("name").distinct()]  # names from which a wanted relation is so many steps away at most
+    for _ in range(hops - 1):
+        nearer = useful[-1]
+        useful.append(materialize(nearer.union(ways.join(nearer.withColumnRenamed("name", "other"), "other", "left_semi").select("name")).distinct(), "useful"))
+    frontier = materialize(seeded.join(useful[-1], "name", "left_semi").select("query_id", "name").distinct(), "frontier")
+    known = frontier.withColumn("far", F.lit(0))
+    for step in range(1, hops):
+        into = useful[hops - 1 - step]
+        steps = ways.join(into.withColumnRenamed("name", "other"), "other", "left_semi").distinct()
+        next_ = frontier.join(steps, "name").select("query_id", F.col("other").alias("name")).distinct()
+        frontier = materialize(next_.join(known.select("query_id", "name"), ["query_id", "name"], "left_anti"), "frontier")
+        known = known.unionByName(frontier.withColumn("far", F.lit(step)))
+    return known.join(goals, "name").groupBy("query_id", "id").agg((F.min("far") + 1).alias("hop"))
+
+
 def fallback(questions: DataFrame, seeded: DataFrame, relations: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """``query_id, id, hop, pos`` for questions with terms but no seed: relations whose name holds a term."""
     terms = questions.join(seeded.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.explode("terms").alias("term"))
@@ -175,9 +201,12 @@ def search(questions: DataFrame, relations: DataFrame, hops: int = 2, limit: int
         terms = asked.select("query_id", "question", "terms")
         direct = F.col("question").contains(F.col("name")) | F.exists("terms", lambda t: F.lower("name").contains(t))
         found_seeds = found_seeds.join(terms, "query_id").where(direct).select("query_id", "name")
-        reach = traverse(found_seeds, scope, min(4, max(1, hops)), limit if not doc_ids else 1 << 30, None if doc_ids else near)
-        kept = reach.join(scoped(relations, doc_ids), "id")
-        order = Window.partitionBy("query_id").orderBy("pos")
+        hops = min(4, max(1, hops))
+        if not doc_ids:
+            return traverse(found_seeds, scope, hops, limit, near).where(F.col("pos") <= limit).join(relations, "id")
+        wanted = scoped(relations, doc_ids)
+        kept = reach_scope(found_seeds, relations, wanted, hops).join(wanted, "id")
+        order = Window.partitionBy("query_id").orderBy("hop", "seq")
         return kept.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
     hits = traverse(found_seeds, scope, hops, limit, None if doc_ids else near).unionByName(fallback(asked, found_seeds, scope, limit))
     return hits.join(scope, "id")

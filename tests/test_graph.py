@@ -121,3 +121,29 @@ def test_a_usual_pair_of_characters_is_no_hot_key(spark):
         terms = {"股份公司", "号怎么样"} | ({str(q * 7)} if q * 7 >= 10 else set())
         want |= {(q, f"股份公司{i}号") for i in range(3000) if f"股份公司{i}号" in question or any(t in f"股份公司{i}号" for t in terms)}
     assert got == want
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3, 4])
+def test_a_scoped_path_search_keeps_no_relations_on_the_way(spark, monkeypatch, hops):
+    """Against a traversal of all relations; what is written is far less than what lies within the hops."""
+    rows = [(i, f"n{i * 7 % 61}", "owns", f"n{i * i % 53}", f"c{i % 5}", f"d{i % 40}", 0.5, "A", "B") for i in range(1500)]
+    rows += [(2000 + i, f"n{i}", "owns", "hub", "c", f"d{i % 3}", 0.5, "A", "B") for i in range(60)] + [(2100 + i, "m0", "near", f"n{i}", "c9", "d1", 0.5, "A", "B") for i in range(3)]
+    rows += [(3000 + i, *r[1:5], "d1", *r[6:]) for i, r in enumerate(rows[:200])]  # the same edges in another document
+    merged = graph.merge_relations(spark.createDataFrame(rows, SCHEMA)).cache()
+    asked = spark.createDataFrame([(i, f"about n{10 + i}") for i in range(30)] + [(90, "m0?"), (91, "nothing")], "query_id int, question string")
+    names = merged.select(F.explode(F.array("source", "target")).alias("name")).distinct()
+    terms = graph.question_terms(asked)
+    direct = F.col("question").contains(F.col("name")) | F.exists("terms", lambda t: F.lower("name").contains(t))
+    seeded = terms.crossJoin(names).where(direct).select("query_id", "name")
+    whole = graph.traverse(seeded, merged, hops, 1 << 30).join(graph.scoped(merged, ["d1", "d7"]), "id").collect()
+    want = {}
+    for r in sorted(whole, key=lambda r: r.pos):
+        want.setdefault(r.query_id, []).append((r.hop, r.seq))
+    written = []
+    keep = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name, *a: written.append((name, keep(df, name, *a))) or written[-1][1])
+    got = {}
+    for r in graph.search(asked, merged, hops, 25, ["d1", "d7"], dialect="path").orderBy("pos").collect():
+        got.setdefault(r.query_id, []).append((r.hop, r.seq))
+    assert got == {q: v[:25] for q, v in want.items()} and got
+    assert max(df.count() for name, df in written if name != "seeds") <= 2500  # questions by names, not by relations
