@@ -234,6 +234,16 @@ def test_partners_are_learned():
     assert found == {"margaret": {"peggy"}, "peggy": {"margaret"}}
 
 
+def test_partners_of_crowded_surnames(spark):
+    """Short forms whose surnames all have more than MOST_GIVEN given names; other names of those surnames aren't linked."""
+    crowded = [f"crowd{i}" for i in range(40)]
+    rows = [(s, f"own{i}x{j}") for i, s in enumerate(crowded) for j in range(60)] + [(s, g) for s in crowded[:20] for g in ("theodore", "ted")]
+    rows += [(crowded[i], f"rare{j}") for j in range(20) for i in (j % 12, (j * 5 + 1) % 12)] + [(f"lone{i}", f"name{i % 40}") for i in range(2000)]
+    read = spark.createDataFrame([("latin", s, g) for s, g in rows], "kind string, core string, place string")
+    assert name_variants._partners(read) == {"theodore": {"ted"}, "ted": {"theodore"}}
+    assert name_variants._partners(read.limit(0)) == {}
+
+
 def test_all_readings_of_a_romanised_name():
     words = [["yu", "e", "chuan", "e", "jiang"], ["zui", "e", "kuo", "xian", "geng"], ["xi", "an", "xi", "an", "xi", "an"], ["mu", "chuan"]]
     said = {x for w in words for x in w} | {"xian", "yue", "ec", "chu", "an", "a", "n", "ku", "o", "kuox", "gen", "g", "i", "ji", "ang", "jian", "ch", "u"}
